@@ -1,0 +1,8 @@
+"""Queries of the bar engine and their SQL."""
+
+QUERIES = {}
+ORACLES = {}
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
