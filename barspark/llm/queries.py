@@ -7,8 +7,9 @@ result.  SQL stands beside it where SQL can express it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barspark.llm import neardup
+from barspark.llm import decontam, langid, neardup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,8 +20,26 @@ def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), neardup.MinMaxConfig(shingle=4, percent=80))
 
 
+def op5_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model = langid.train(documents, ~langid.held_out(F.col("doc_id")))
+    return langid.predict(documents, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_minmax_neardup": op3_minmax_neardup,
+    "op5_winnow_decontam": op5_winnow_decontam,
+    "op10_hierarchical_langid": op10_hierarchical_langid,
 }
 
 ORACLES: dict[str, str] = {}
