@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontam, langid, neardup
+from barspark.llm import decontam, langid, lengths, neardup, records
+from barspark.llm.common import Workspace
+
+#: File of the public tokenizer that the token queries use.
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +41,18 @@ def op5_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "records").root
+    index = records.write_records(_read(spark, sf_dir, "documents"), path, records.RecordConfig(tokenizer_path(), END_ID))
+    found = records.with_starts(records.read_checksums(spark, path), index)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = lengths.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), extra=1)
+    return lengths.length_histogram(counts)
+
+
 def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     model = langid.train(documents, ~langid.held_out(F.col("doc_id")))
@@ -39,6 +62,8 @@ def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minmax_neardup": op3_minmax_neardup,
     "op5_winnow_decontam": op5_winnow_decontam,
+    "op6_token_records": op6_token_records,
+    "op9_length_histogram": op9_length_histogram,
     "op10_hierarchical_langid": op10_hierarchical_langid,
 }
 
