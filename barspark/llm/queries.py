@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontam, langid, lengths, neardup, records
+from barspark.llm import ann, decontam, langid, lengths, neardup, records
 from barspark.llm.common import Workspace
 
 #: File of the public tokenizer that the token queries use.
@@ -31,6 +31,12 @@ def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), neardup.MinMaxConfig(shingle=4, percent=80))
 
 
+def op4_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _read(spark, sf_dir, "embeddings")
+    found = ann.nearest(embeddings, embeddings.where(F.col("vec_id") % 100 == 0), k=10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op5_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,6 +67,7 @@ def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_minmax_neardup": op3_minmax_neardup,
+    "op4_multiprobe_ann": op4_multiprobe_ann,
     "op5_winnow_decontam": op5_winnow_decontam,
     "op6_token_records": op6_token_records,
     "op9_length_histogram": op9_length_histogram,
