@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann, decontam, langid, lengths, neardup, records
+from barspark.llm import ann, decontam, langid, lengths, neardup, records, secrets, urlfilter
 from barspark.llm.common import Workspace
 
 #: File of the public tokenizer that the token queries use.
@@ -27,6 +27,35 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.concat_ws(",", "base"), 256).alias("base_sha256"), F.concat_ws(",", "spans").alias("spans"))
+
+
+#: The rules that the query is given; the longest match wins.
+RULES = [
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+]
+#: Globs for URLs that no rule fits: markers of pages without text of their own.
+GLOBS = [
+    urlfilter.Rule("block", "*", "/*.exe"),
+    urlfilter.Rule("block", "*", "/*.zip"),
+    urlfilter.Rule("block", "*", "/login"),
+    urlfilter.Rule("block", "*", "/cart"),
+    urlfilter.Rule("block", "*", "/*/wp-admin/"),
+    urlfilter.Rule("block", "ads.*", "/"),
+]
+
+
+def op2_shift_and_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_read(spark, sf_dir, "pages"), RULES, GLOBS)
+
+
 def op3_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), neardup.MinMaxConfig(shingle=4, percent=80))
 
@@ -66,6 +95,8 @@ def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_battery": op1_secret_battery,
+    "op2_shift_and_urls": op2_shift_and_urls,
     "op3_minmax_neardup": op3_minmax_neardup,
     "op4_multiprobe_ann": op4_multiprobe_ann,
     "op5_winnow_decontam": op5_winnow_decontam,
@@ -74,4 +105,35 @@ QUERIES = {
     "op10_hierarchical_langid": op10_hierarchical_langid,
 }
 
-ORACLES: dict[str, str] = {}
+#: Host and path as the canonical URL has them.
+_PARTS = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+)"""
+
+ORACLES: dict[str, str] = {
+    "op2_shift_and_urls": _PARTS + r""", ruled AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/'
+         END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN path LIKE '/%.exe%' OR path LIKE '/%.zip%' OR path LIKE '/login%' OR path LIKE '/cart%' OR path LIKE '/%/wp-admin/%' THEN 'block'
+            WHEN (host LIKE 'ads.%' OR host LIKE '%.ads.%') AND path LIKE '/%' THEN 'block'
+            ELSE 'allow'
+       END AS verdict
+FROM ruled
+""",
+}
