@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann, decontam, langid, lengths, neardup, records, secrets, urlfilter
+from barspark.llm import ann, decontam, langid, lengths, neardup, records, secrets, substrings, urlfilter
 from barspark.llm.common import Workspace
 
 #: File of the public tokenizer that the token queries use.
@@ -83,6 +83,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_bytes(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lengths.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), extra=1)
     return lengths.length_histogram(counts)
@@ -101,6 +106,7 @@ QUERIES = {
     "op4_multiprobe_ann": op4_multiprobe_ann,
     "op5_winnow_decontam": op5_winnow_decontam,
     "op6_token_records": op6_token_records,
+    "op7_bwt_repeats": op7_bwt_repeats,
     "op9_length_histogram": op9_length_histogram,
     "op10_hierarchical_langid": op10_hierarchical_langid,
 }
