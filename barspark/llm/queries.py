@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann, decontam, langid, lengths, neardup, records, secrets, substrings, urlfilter
+from barspark.llm import ann, decontam, langid, lengths, mixing, neardup, records, secrets, substrings, urlfilter
 from barspark.llm.common import Workspace
 
 #: File of the public tokenizer that the token queries use.
@@ -88,6 +88,12 @@ def op7_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    shares = [F.element_at("posterior", i + 1).alias(f"p_{name}") for i, name in enumerate(sorted(mixing.MixConfig().targets))]
+    return found.select("doc_id", "n_tokens", "domain", *shares, "rate")
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lengths.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), extra=1)
     return lengths.length_histogram(counts)
@@ -107,6 +113,7 @@ QUERIES = {
     "op5_winnow_decontam": op5_winnow_decontam,
     "op6_token_records": op6_token_records,
     "op7_bwt_repeats": op7_bwt_repeats,
+    "op8_soft_mixing": op8_soft_mixing,
     "op9_length_histogram": op9_length_histogram,
     "op10_hierarchical_langid": op10_hierarchical_langid,
 }
