@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,9 @@ def texts(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return frame.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    """The UTF-8 bytes of a string column, without decoding them."""
-    return batch.column(name).cast(pa.large_binary()).to_pylist()
+def raw(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string column, without decoding them; few are held at a time."""
+    column = batch.column(name)
+    column = column.cast(pa.binary() if column.type == pa.string() else pa.large_binary())
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()

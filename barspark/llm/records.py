@@ -37,7 +37,7 @@ class RecordConfig:
 
     tokenizer: str
     end_id: int = 2
-    file_bytes: int = 16 << 20
+    file_bytes: int = 8 << 20
 
 
 def masked(data: bytes) -> int:

@@ -24,7 +24,7 @@ class PieceEncoder:
     again in every block that has it.
     """
 
-    def __init__(self, path: str, entries: int = 2_000_000, block: int = 2 << 20):
+    def __init__(self, path: str, entries: int = 1_000_000, block: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
