@@ -57,8 +57,9 @@ def _traits(text: Column) -> Column:
     """Pseudo-words, none of which a text can hold, for a text's shape."""
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
-    often = lambda pattern, every: F.regexp_count(text, F.lit(pattern)) * every > size
-    shapes = {" capitals": often("[A-Z]", 3), " marks": often("[#*&%$]{2,}", 50), " shouts": often("!!", 30), " bars": often(r"\|", 40), " short": size < 60}
+    matched = lambda pattern, every: F.regexp_count(text, F.lit(pattern)) * every > size
+    holds = lambda sign, every: (size - F.length(F.replace(text, F.lit(sign)))) * every > size
+    shapes = {" capitals": matched("[A-Z]", 3), " marks": matched("[#*&%$]{2,}", 50), " shouts": holds("!!", 15), " bars": holds("|", 40), " short": size < 60}
     return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in shapes.items())), lambda x: x.isNotNull())
 
 
@@ -83,7 +84,8 @@ def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: Mix
     named = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     order = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
     named = named.withColumn("at", F.row_number().over(order)).where(F.col("at") <= config.labelled).drop("at")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id")
+    # at most ``labelled`` rows for each domain
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(named), "id")
     seen = texts.select("domain", F.explode(_evidence(F.col("text"))).alias("word")).where("word <> ''")
     counts = seen.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)))
     totals = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -102,19 +104,24 @@ def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: Mix
     return [(r.word, [a - b for a, b in zip(r.log, r.absent)]) for r in rows], prior
 
 
-def posteriors(documents: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]], names: list[str]) -> DataFrame:
+def posteriors(documents: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]], names: list[str], work: Workspace) -> DataFrame:
     """doc_id, n_tokens (words of the whole text) and ``posterior`` by domain of every distinct doc_id.
 
-    A document of no known word has the posterior of their absence.
+    Texts are read once; what goes on is a document's length and its known
+    words.  A document of no known word has the posterior of their absence.
     """
-    words, prior = model
+    vocabulary, prior = model
     spark = documents.sparkSession
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"), _traits(F.col("text")).alias("traits"))
-    weights = spark.createDataFrame(words or [("", [0.0] * len(names))], "word string, weight array<double>")
+    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"), _traits(F.col("text")).alias("traits"))
+    edges = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    known = F.array(*(F.lit(w) for w, _ in vocabulary)).cast("array<string>")
+    read = split.select("doc_id", (F.size("words") - edges).cast("long").alias("n_tokens"), F.array_intersect(F.concat("words", "traits"), known).alias("known"))
+    read = work.table("read", read)
+    weights = spark.createDataFrame(vocabulary or [("", [0.0] * len(names))], "word string, weight array<double>")
     # at most ``vocabulary`` rows
-    known = source.select("doc_id", F.explode(F.concat("words", "traits")).alias("word")).join(F.broadcast(weights), "word").where("word <> ''").dropDuplicates(["doc_id", "word"])
-    scores = known.groupBy("doc_id").agg(*(F.sum(F.element_at("weight", i + 1)).alias(f"s{i}") for i in range(len(names))))
-    tokens = source.groupBy("doc_id").agg(F.max(F.size(F.filter("words", lambda w: w != ""))).cast("long").alias("n_tokens"))
+    pairs = read.select("doc_id", F.explode("known").alias("word")).distinct().join(F.broadcast(weights), "word")
+    scores = pairs.groupBy("doc_id").agg(*(F.sum(F.element_at("weight", i + 1)).alias(f"s{i}") for i in range(len(names))))
+    tokens = read.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(float(prior[i])) for i in range(len(names))]
     joined = tokens.join(scores, tokens.doc_id.eqNullSafe(scores.doc_id), "left").select(tokens.doc_id, "n_tokens", F.array(*logits).alias("logit"))
     odds = F.transform("logit", lambda x: F.exp(x - F.array_max("logit")))
@@ -176,7 +183,7 @@ def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()
     """
     names = sorted(config.targets)
     work = Workspace(documents.sparkSession, "mix")
-    members = work.table("members", posteriors(documents, learn(documents, labels, names, config), names))
+    members = work.table("members", posteriors(documents, learn(documents, labels, names, config), names, work))
     history, _ = fit_rates(members, names, config)
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return members.select("doc_id", "n_tokens", best.alias("domain"), "posterior", _rate(history).alias("rate"))
