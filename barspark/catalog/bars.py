@@ -163,7 +163,7 @@ m AS (SELECT symbol, ts, unnest(generate_series(before, ts - INTERVAL 1 MINUTE,
 e AS (SELECT *, (t AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS et FROM m)
 SELECT {KEY}, count(*) FILTER (WHERE hour(et) <> 17 AND isodow(CASE WHEN hour(et) >= 18 THEN et::DATE + 1 ELSE et::DATE END) <= 5) AS open_minutes FROM e GROUP BY symbol, ts""")
 def _(spark, d):
-    gaps = hourly(spark, d).select("symbol", "ts", F.lag("ts").over(V.W).alias("before")).where("ts - before > INTERVAL '4' HOUR")
+    gaps = hourly(spark, d).select("symbol", "ts", F.lag("ts").over(V.in_time()).alias("before")).where("ts - before > INTERVAL '4' HOUR")
     minutes = gaps.withColumn("t", F.explode(F.expr("sequence(before, ts - INTERVAL '1' MINUTE, INTERVAL '1' MINUTE)")))
     return minutes.groupBy("symbol", "ts").agg(F.count_if(T.session_day(F.col("t")).isNotNull()).alias("open_minutes")).select("symbol", secs(), "open_minutes")
 
@@ -172,7 +172,7 @@ def _(spark, d):
 SELECT {KEY}, coalesce(pc < po AND close > open AND close >= po AND open <= pc, false) AS engulfs_up, coalesce(pc > po AND close < open AND close <= po AND open >= pc, false) AS engulfs_down,
   b > 0 AND lw >= 2.0 * b AND uw <= 0.33 * b AS hammer, b > 0 AND uw >= 2.0 * b AND lw <= 0.33 * b AS star, high - low > 0 AND b <= 0.1 * (high - low) AS doji FROM c""")
 def _(spark, d):
-    po, pc = F.lag("open").over(V.W), F.lag("close").over(V.W)
+    po, pc = F.lag("open").over(V.in_time()), F.lag("close").over(V.in_time())
     frame = hourly(spark, d).withColumn("po", po).withColumn("pc", pc)
     up, down = (F.coalesce(f(F.col("po"), F.col("pc")), F.lit(False)) for f in (S.engulfs_up, S.engulfs_down))
     return frame.select("symbol", secs(), up.alias("engulfs_up"), down.alias("engulfs_down"), S.hammer().alias("hammer"), S.shooting_star().alias("star"), S.doji().alias("doji"))
@@ -181,7 +181,7 @@ def _(spark, d):
 @query("f15_exhaustion_wick", f"""{POS}, c AS (SELECT *, sign(lag(close, 1) OVER w - lag(close, 4) OVER w) AS trend FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts))
 SELECT {KEY}, coalesce((trend > 0 AND high - greatest(open, close) >= 2.0 * abs(close - open) AND high > low) OR (trend < 0 AND least(open, close) - low >= 2.0 * abs(close - open) AND high > low), false) AS exhausted FROM c""")
 def _(spark, d):
-    frame = hourly(spark, d).withColumn("trend", F.signum(F.lag("close", 1).over(V.W) - F.lag("close", 4).over(V.W)))
+    frame = hourly(spark, d).withColumn("trend", F.signum(F.lag("close", 1).over(V.in_time()) - F.lag("close", 4).over(V.in_time())))
     moved = F.col("high") > F.col("low")
     out = ((F.col("trend") > 0) & (S.upper_wick() >= 2.0 * S.body()) & moved) | ((F.col("trend") < 0) & (S.lower_wick() >= 2.0 * S.body()) & moved)
     return frame.select("symbol", secs(), F.coalesce(out, F.lit(False)).alias("exhausted"))
@@ -336,14 +336,14 @@ def _(spark, d):
 @query("w26_efficiency_ratio", f"""{POS}, s AS (SELECT *, abs(close - pc) AS step, abs(close - lag(close, 12) OVER (PARTITION BY symbol ORDER BY ts)) AS net FROM x)
 SELECT {KEY}, CASE WHEN count(step) OVER w = 12 AND sum(step) OVER w > 0 THEN round(net / sum(step) OVER w, 6) END AS er FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def _(spark, d):
-    frame = hourly(spark, d).withColumn("step", F.abs(F.col("close") - F.lag("close").over(V.W)))
+    frame = hourly(spark, d).withColumn("step", F.abs(F.col("close") - F.lag("close").over(V.in_time())))
     return frame.select("symbol", secs(), r6(V.efficiency_ratio(12), "er"))
 
 
 @query("w35_jumps", f"""{POS}, m AS (SELECT symbol, quantile_cont(abs(close - pc), 0.5) AS med FROM x GROUP BY symbol)
 SELECT {KEY.replace('symbol', 'x.symbol')}, round(abs(close - pc), 6) AS move FROM x JOIN m USING (symbol) WHERE abs(close - pc) > 5 * med""")
 def _(spark, d):
-    frame = hourly(spark, d).withColumn("move", F.abs(F.col("close") - F.lag("close").over(V.W)))
+    frame = hourly(spark, d).withColumn("move", F.abs(F.col("close") - F.lag("close").over(V.in_time())))
     usual = frame.groupBy("symbol").agg(F.percentile("move", F.lit(0.5)).alias("usual"))
     return frame.join(usual, "symbol").where("move > 5 * usual").select("symbol", secs(), r6("move", "move"))
 
@@ -352,7 +352,7 @@ def _(spark, d):
 SELECT symbol, max(gap) AS gap, min(ts) FILTER (WHERE gap = mx) AS ts FROM (SELECT *, max(gap) OVER (PARTITION BY symbol) AS mx FROM g) GROUP BY symbol""")
 def _(spark, d):
     t = F.unix_seconds(F.col("ts").cast("timestamp"))
-    frame = hourly(spark, d).select("symbol", t.alias("ts")).withColumn("gap", F.col("ts") - F.lag("ts").over(V.W)).where("gap is not null")
+    frame = hourly(spark, d).select("symbol", t.alias("ts")).withColumn("gap", F.col("ts") - F.lag("ts").over(V.in_time())).where("gap is not null")
     return frame.groupBy("symbol").agg(F.max("gap").alias("gap"), (-F.max_by(-F.col("ts"), F.struct(F.col("gap"), -F.col("ts")))).alias("ts"))
 
 
@@ -379,7 +379,7 @@ def _(spark, d):
 SELECT t.symbol, epoch(t.entry)::BIGINT AS ts, round(max(b.high) - any_value(t.price), 6) AS mfe, round(any_value(t.price) - min(b.low), 6) AS mae, count(*) AS n
 FROM t JOIN bars b ON t.symbol = b.symbol AND b.ts BETWEEN t.entry AND t.exit GROUP BY t.symbol, t.entry""")
 def _(spark, d):
-    trades = placed(spark, d).select("symbol", F.col("ts").alias("entry"), F.lead("ts", 5).over(V.W).alias("exit"), F.col("close").alias("price"), "pos").where("pos % 10 = 0 and exit is not null").drop("pos")
+    trades = placed(spark, d).select("symbol", F.col("ts").alias("entry"), F.lead("ts", 5).over(V.in_time()).alias("exit"), F.col("close").alias("price"), "pos").where("pos % 10 = 0 and exit is not null").drop("pos")
     met = J.in_range(trades, hourly(spark, d), ["symbol"], "entry", "exit", "ts", 6 * 3600)
     out = met.groupBy("symbol", "entry").agg(r6(F.max("high") - F.first("price"), "mfe"), r6(F.first("price") - F.min("low"), "mae"), F.count("*").alias("n"))
     return out.select("symbol", secs("entry"), "mfe", "mae", "n")

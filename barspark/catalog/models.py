@@ -10,7 +10,7 @@ from barspark.catalog.sql import ATR, POS
 from barspark.functions import scalars as C
 from barspark.functions.session import eastern, minute_of_day
 from barspark.operators import windows as V
-from barspark.operators.windows import W
+from barspark.operators.windows import in_time
 from barspark.plans import features as X
 from barspark.plans import models as M
 from barspark.plans import stats as S
@@ -21,8 +21,8 @@ pr AS (SELECT * FROM q WHERE p IS NOT NULL AND dead IS NULL)"""
 
 def scored(spark, d):
     """A deterministic probability that the next close falls, and whether it did."""
-    nxt = F.lead("close").over(W)
-    p = 1 / (1 + F.exp(-(F.col("close") - F.lag("close").over(W)) / 100))
+    nxt = F.lead("close").over(in_time())
+    p = 1 / (1 + F.exp(-(F.col("close") - F.lag("close").over(in_time())) / 100))
     frame = placed(spark, d).withColumn("p", p).withColumn("next", nxt).withColumn("y", F.when(F.col("next") < F.col("close"), 1.0).otherwise(0.0))
     return frame.where("p is not null and next is not null")
 
@@ -109,7 +109,7 @@ rv AS (SELECT *, ln(v) AS y, ln(lag(v) OVER w) AS x1, ln(avg(v) OVER (PARTITION
 
 def variance(spark, d):
     frame = placed(spark, d).withColumn("v", C.garman_klass() + 0.01)
-    return frame.withColumn("y", F.ln("v")).withColumn("x1", F.ln(F.lag("v").over(W))).withColumn("x2", F.ln(F.avg("v").over(V.rows(-6, -1)))).withColumn("slot", F.hour(eastern(F.col("ts"))))
+    return frame.withColumn("y", F.ln("v")).withColumn("x1", F.ln(F.lag("v").over(in_time()))).withColumn("x2", F.ln(F.avg("v").over(V.rows(-6, -1)))).withColumn("slot", F.hour(eastern(F.col("ts"))))
 
 
 @query("x12_garman_klass", f"{_RV} SELECT symbol, pos, round(v, 6) AS v FROM rv")
@@ -221,7 +221,7 @@ def _(spark, d):
 
 @query("ml02_multinomial_walk_forward")
 def _(spark, d):
-    frame = variance(spark, d).where("x1 is not null").withColumn("label", F.when(F.lead("close").over(W) > F.col("close"), 2).when(F.lead("close").over(W) < F.col("close"), 0).otherwise(1))
+    frame = variance(spark, d).where("x1 is not null").withColumn("label", F.when(F.lead("close").over(in_time()) > F.col("close"), 2).when(F.lead("close").over(in_time()) < F.col("close"), 0).otherwise(1))
     return M.multinomial(frame, ["x1", "x2"], "label", [0, 1, 2], "symbol").select("key", "class", *(r6(F.col("beta")[i], f"b{i}") for i in range(3)))
 
 

@@ -220,7 +220,7 @@ SELECT {KEY}, CASE WHEN d1 = d5 AND d5 = d20 AND least(c1, c5, c20) >= 0.1 THEN
 def _(spark, d):
     frame = placed(spark, d)
     for n in (1, 5, 20):
-        move = F.col("close") - F.lag("close", n).over(V.W)
+        move = F.col("close") - F.lag("close", n).over(V.in_time())
         frame = frame.withColumn(f"d{n}", F.signum(move)).withColumn(f"c{n}", F.least(F.abs(move) / 100, F.lit(1.0)))
     return G.horizon_policies(frame.where("d20 is not null"), ["1", "5", "20"], 0.1, 0.3).select("symbol", secs(), "agreement", "weighted", "most_sure", "longest")
 

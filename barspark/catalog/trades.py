@@ -9,7 +9,7 @@ from barspark.catalog import query
 from barspark.catalog.bars import placed, r6, ticks
 from barspark.catalog.sql import POS, TICKS
 from barspark.functions.session import eastern
-from barspark.operators.windows import W
+from barspark.operators.windows import in_time
 from barspark.plans import stats as S
 
 _TR = f"""{POS}, tr AS (
@@ -21,10 +21,10 @@ _TR = f"""{POS}, tr AS (
 
 def trades(spark, d):
     frame = placed(spark, d).withColumn("et", eastern(F.col("ts")))
-    pnl = F.lead("close", 4).over(W) - F.col("close")
+    pnl = F.lead("close", 4).over(in_time()) - F.col("close")
     seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
     out = frame.select(
-        "symbol", "pos", seconds(F.col("ts")).alias("entry"), seconds(F.lead("ts", 4).over(W)).alias("exit"), pnl.alias("pnl"), (pnl / 50.0).alias("r"),
+        "symbol", "pos", seconds(F.col("ts")).alias("entry"), seconds(F.lead("ts", 4).over(in_time())).alias("exit"), pnl.alias("pnl"), (pnl / 50.0).alias("r"),
         F.when(F.hour("et") < 8, "night").when(F.hour("et") < 16, "day").alias("setup"), F.when(F.col("close") > F.col("open"), "long").otherwise("short").alias("side"), F.to_date("et").alias("day"),
     )
     return out.where("pos % 3 = 0 and exit is not null")

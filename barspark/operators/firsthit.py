@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.operators.windows import W, rows
+from barspark.operators.windows import in_time, rows
 
 FAR = 1 << 30
 
 
-def steps_ahead(condition, n: int, columns: list[str], by=W) -> Column:  # noqa: ANN001
+def steps_ahead(condition, n: int, columns: list[str], by=None) -> Column:  # noqa: ANN001
     """Steps to the first of the next n rows that satisfies ``condition(row)``; null if none does."""
     ahead = F.collect_list(F.struct(*columns)).over(rows(1, n, by))
     hits = F.transform(ahead, lambda x, i: F.when(condition(x), i + 1))
     return F.array_min(hits)
 
 
-def triple_barrier(bars: DataFrame, up: Column, down: Column, n: int, by=W) -> DataFrame:  # noqa: ANN001
+def triple_barrier(bars: DataFrame, up: Column, down: Column, n: int, by=None) -> DataFrame:  # noqa: ANN001
     """outcome (up, down, ambiguous, timeout), steps and price move to the exit of an entry at each close.
 
     Within the next n rows: ``ambiguous`` where both barriers fall into one bar.

@@ -9,9 +9,6 @@ from barspark.functions.session import third_friday
 from barspark.operators import windows as V
 from barspark.operators.joins import as_of
 
-LINE = Window.partitionBy("symbol").orderBy("pos")
-
-
 def pivots(bars: DataFrame, width: int = 2) -> DataFrame:
     """One row per fractal pivot: symbol, pos, ts, kind (1 high, -1 low), price, confirm_pos."""
     marked = bars.withColumn("h_", V.fractal("high", True, width)).withColumn("l_", V.fractal("low", False, width))

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from barspark.functions.session import eastern
 
-W = Window.partitionBy("symbol").orderBy("ts")
 UNBOUNDED = Window.unboundedPreceding
 
 
-def rows(first: int, last: int, by: WindowSpec = W) -> WindowSpec:
-    return by.rowsBetween(first, last)
+def in_time() -> WindowSpec:
+    """A symbol's rows in time order (built on use: a window needs a running session)."""
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def rows(first: int, last: int, by: WindowSpec | None = None) -> WindowSpec:
+    return (by or in_time()).rowsBetween(first, last)
 
 
 def day_window() -> WindowSpec:
@@ -25,11 +29,11 @@ def day_window() -> WindowSpec:
 
 
 def position() -> Column:
-    return F.row_number().over(W) - 1
+    return F.row_number().over(in_time()) - 1
 
 
 def true_range(previous: Column | None = None) -> Column:
-    last = F.lag("close").over(W) if previous is None else previous
+    last = F.lag("close").over(in_time()) if previous is None else previous
     return F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - last), F.abs(F.col("low") - last))
 
 
@@ -81,7 +85,7 @@ def centered_swing(column: str, high: bool, k: int) -> Column:
 
 def confirmed(flag: Column, price: str, k: int) -> Column:
     """Price of the last swing, revealed k rows after it."""
-    return F.last(F.lag(F.when(flag, F.col(price)), k).over(W), ignorenulls=True).over(rows(UNBOUNDED, 0))
+    return F.last(F.lag(F.when(flag, F.col(price)), k).over(in_time()), ignorenulls=True).over(rows(UNBOUNDED, 0))
 
 
 def last_pivots(flag: str, price: str, k: int, n: int) -> Column:
@@ -110,7 +114,7 @@ def percent_rank_within(column: str, n: int) -> Column:
 
 
 def change_rate(column: str, n: int) -> Column:
-    before = F.lag(column, n).over(W)
+    before = F.lag(column, n).over(in_time())
     return (F.col(column) - before) / before
 
 
@@ -120,7 +124,7 @@ def island(changed: Column) -> Column:
 
 def run_length(frame: DataFrame, state: str, name: str = "run") -> DataFrame:
     """Rows since the state last changed, this one included."""
-    changed = ~F.col(state).eqNullSafe(F.lag(state).over(W)) | (F.row_number().over(W) == 1)
+    changed = ~F.col(state).eqNullSafe(F.lag(state).over(in_time())) | (F.row_number().over(in_time()) == 1)
     marked = frame.withColumn("island_", island(changed))
     return marked.withColumn(name, F.row_number().over(Window.partitionBy("symbol", "island_").orderBy("ts"))).drop("island_")
 
@@ -141,7 +145,7 @@ def forward_sum(column: Column, n: int, by: WindowSpec) -> Column:
 
 
 def forward_return(n: int, atr: str = "atr") -> Column:
-    return (F.lead("close", n).over(W) - F.col("close")) / F.when(F.col(atr) > 0, F.col(atr))
+    return (F.lead("close", n).over(in_time()) - F.col("close")) / F.when(F.col(atr) > 0, F.col(atr))
 
 
 def log_return(by: WindowSpec) -> Column:
@@ -154,5 +158,5 @@ def drawdown(column: str, by: WindowSpec) -> Column:
 
 def efficiency_ratio(n: int) -> Column:
     """Net move over n rows by the path walked; needs the column ``step``, each row's absolute change."""
-    path = trailing_sum(F.col("step"), n, W)
-    return F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(W)) / path)
+    path = trailing_sum(F.col("step"), n, in_time())
+    return F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(in_time())) / path)

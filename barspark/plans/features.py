@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.session import eastern, minute_of_day
 from barspark.operators import windows as V
-from barspark.operators.windows import W
+from barspark.operators.windows import in_time
 
 MARKET_STATE = [
     "atr_pct_of_price", "atr_regime_pctile", "vwap_distance_atr", "trend_slope_pct", "dist_to_swing_high_atr", "dist_to_swing_low_atr",
@@ -82,7 +82,7 @@ def intraday(bars: DataFrame, causal: bool = True, opening: tuple[int, int] = (5
     atr = _positive("atr")
     return frame.withColumns({
         "or_position": (F.col("close") - (F.col("or_h") + F.col("or_l")) / 2) / atr, "or_width": (F.col("or_h") - F.col("or_l")) / atr,
-        "session_phase": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("minute") - 570) / 390)), "momentum_6": (F.col("close") - F.lag("close", 6).over(W)) / atr,
+        "session_phase": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("minute") - 570) / 390)), "momentum_6": (F.col("close") - F.lag("close", 6).over(in_time())) / atr,
         "vwap_dev": (F.col("close") - F.sum(F.when(rth, typical)).over(so_far) / F.when(volume > 0, volume)) / atr, "vol_regime": F.col("atr") / _positive("usual_atr"),
         "overnight_gap": (first_open - F.col("prior_close")) / atr, "return_since_open": (F.col("close") - first_open) / atr, "participation": F.col("volume") / usual,
     })

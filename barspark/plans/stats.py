@@ -15,7 +15,8 @@ def _where(condition: Column, value: Column | str) -> Column:
     return F.when(condition, F.col(value) if isinstance(value, str) else value)
 
 
-WIN, LOSS = F.col("pnl") > 0, F.col("pnl") <= 0
+#: Conditions on a trade, as expressions.
+WIN, LOSS = "pnl > 0", "pnl <= 0"
 
 
 def profit_factor(pnl: str = "pnl") -> Column:
@@ -26,8 +27,8 @@ def profit_factor(pnl: str = "pnl") -> Column:
 
 def trade_aggregates() -> dict[str, Column]:
     return {
-        "n": F.count("*"), "win_rate": F.avg(F.when(WIN, 1.0).otherwise(0.0)), "avg_r": F.avg("r"), "profit_factor": profit_factor(), "total_pnl": F.sum("pnl"),
-        "avg_win": F.coalesce(F.avg(_where(WIN, "pnl")), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(_where(LOSS, "pnl")), F.lit(0.0)), "largest_win": F.max("pnl"), "largest_loss": F.min("pnl"),
+        "n": F.count("*"), "win_rate": F.avg(F.when(F.expr(WIN), 1.0).otherwise(0.0)), "avg_r": F.avg("r"), "profit_factor": profit_factor(), "total_pnl": F.sum("pnl"),
+        "avg_win": F.coalesce(F.avg(_where(F.expr(WIN), "pnl")), F.lit(0.0)), "avg_loss": F.coalesce(F.avg(_where(F.expr(LOSS), "pnl")), F.lit(0.0)), "largest_win": F.max("pnl"), "largest_loss": F.min("pnl"),
     }
 
 
@@ -48,7 +49,7 @@ def cube_counts(rows: DataFrame, keys: list[str], measure: Column) -> DataFrame:
 def streaks(trades: DataFrame, by: str, order: str) -> DataFrame:
     """Longest runs of wins and of losses."""
     w = Window.partitionBy(by).orderBy(order)
-    marked = trades.withColumn("win_", WIN)
+    marked = trades.withColumn("win_", F.expr(WIN))
     marked = marked.withColumn("run_", F.sum((~F.col("win_").eqNullSafe(F.lag("win_").over(w))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy(by, "run_", "win_").agg(F.count("*").alias("n"))
     longest = lambda flag: F.coalesce(F.max(F.when(F.col("win_") == flag, F.col("n"))), F.lit(0).cast("long"))

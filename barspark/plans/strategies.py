@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.session import eastern, in_window, minute_of_day
-from barspark.operators.windows import W, change_rate
+from barspark.operators.windows import in_time, change_rate
 
 
 def liquidity_sweep(bars: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def opening_range_breakout(bars: DataFrame, opening: tuple[int, int], cutoff: in
 
 def pullback(bars: DataFrame, least: float, n: int) -> DataFrame:
     """Close back across the fast average in the direction of the slow one's slope."""
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(in_time())
     frame = bars.withColumn("slope", change_rate("slow", n)).withColumn("before", before).where(F.col("fast").isNotNull() & (F.abs("slope") >= least))
     up = F.col("slope") > 0
     resumed = F.when(up, (F.col("before") <= F.col("fast")) & (F.col("close") > F.col("fast"))).otherwise((F.col("before") >= F.col("fast")) & (F.col("close") < F.col("fast")))
