@@ -15,14 +15,14 @@ from barspark.plans import features as X
 from barspark.plans import models as M
 from barspark.plans import stats as S
 
-_P = f"""{POS}, q AS (SELECT symbol, pos, ts, et, 1 / (1 + exp(-(close - pc) / 100)) AS p, CASE WHEN lead(close) OVER w < close THEN 1.0 ELSE 0.0 END AS y, CASE WHEN lead(close) OVER w IS NULL THEN 1 END AS dead FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+_P = f"""{POS}, q AS (SELECT symbol, pos, ts, et, round(1 / (1 + exp(-(close - pc) / 100)), 9) AS p, CASE WHEN lead(close) OVER w < close THEN 1.0 ELSE 0.0 END AS y, CASE WHEN lead(close) OVER w IS NULL THEN 1 END AS dead FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 pr AS (SELECT * FROM q WHERE p IS NOT NULL AND dead IS NULL)"""
 
 
 def scored(spark, d):
     """A deterministic probability that the next close falls, and whether it did."""
     nxt = F.lead("close").over(in_time())
-    p = 1 / (1 + F.exp(-(F.col("close") - F.lag("close").over(in_time())) / 100))
+    p = F.round(1 / (1 + F.exp(-(F.col("close") - F.lag("close").over(in_time())) / 100)), 9)  # so that equal moves tie
     frame = placed(spark, d).withColumn("p", p).withColumn("next", nxt).withColumn("y", F.when(F.col("next") < F.col("close"), 1.0).otherwise(0.0))
     return frame.where("p is not null and next is not null")
 
