@@ -149,21 +149,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by at least their first ``depth`` symbols, by doubling; symbols are below 2**15."""
+    """Suffixes sorted by at least their first ``depth`` symbols, by doubling; symbols are below 2**16 - 1.
+
+    Suffixes that agree that far may stand in any order.
+    """
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    key = ((padded[:n] << 16 | padded[1 : n + 1]) << 16 | padded[2 : n + 2]) << 15 | padded[3 : n + 3] >> 1
-    known = 3  # the fourth symbol's last bit did not fit
+    padded = np.concatenate([symbols.astype(U64) + U64(1), np.zeros(3, U64)])
+    bits = U64(16)
+    key = ((padded[:n] << bits | padded[1 : n + 1]) << bits | padded[2 : n + 2]) << bits | padded[3 : n + 3]
+    known = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
         if known >= depth or rank[order[-1]] == n - 1:
             return order
-        later = np.zeros(n, np.int64)
-        later[: n - known] = rank[known:] + 1
-        key = rank * (n + 1) + later
+        key = rank * (n + 1)
+        key[: n - known] += rank[known:] + 1
         known *= 2
 
 
@@ -176,6 +179,7 @@ def prefix_bounds(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndar
     n = len(symbols)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
+    met = np.zeros(n, bool)
     back = place[order - 1]  # where the suffix one symbol longer stands; of the whole text: the last suffix
     front = symbols[order]
     known = np.zeros(n + 1, bool)
@@ -190,7 +194,12 @@ def prefix_bounds(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndar
         at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
         to = back[at]
         owner[to] = name
-        to.sort()
+        if len(to) > n >> 5:  # in order, by marking them: they are different places
+            met[to] = True
+            to = np.flatnonzero(met)
+            met[to] = False
+        else:
+            to.sort()
         cut = np.ones(len(to) + 1, bool)
         cut[1:-1] = (to[1:] != to[:-1] + 1) | (owner[to[1:]] != owner[to[:-1]]) | (front[to[1:]] != front[to[:-1]])
         edge = np.flatnonzero(cut)
