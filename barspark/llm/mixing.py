@@ -114,8 +114,9 @@ def posteriors(documents: DataFrame, model: tuple[list[tuple[str, list[float]]],
     spark = documents.sparkSession
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"), _traits(F.col("text")).alias("traits"))
     edges = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
-    known = F.array(*(F.lit(w) for w, _ in vocabulary)).cast("array<string>")
-    read = split.select("doc_id", (F.size("words") - edges).cast("long").alias("n_tokens"), F.array_intersect(F.concat("words", "traits"), known).alias("known"))
+    known = [w for w, _ in vocabulary]
+    found = F.array_distinct(F.filter(F.concat("words", "traits"), lambda w: w.isin(known) if known else F.lit(False)))
+    read = split.select("doc_id", (F.size("words") - edges).cast("long").alias("n_tokens"), found.alias("known"))
     read = work.table("read", read)
     weights = spark.createDataFrame(vocabulary or [("", [0.0] * len(names))], "word string, weight array<double>")
     # at most ``vocabulary`` rows
@@ -130,12 +131,15 @@ def posteriors(documents: DataFrame, model: tuple[list[tuple[str, list[float]]],
 
 
 def _rate(history: list[list[float]]) -> Column:
-    """Fold of projected gradient steps, from rate 1; each entry of the history is a step's pull by domain."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in pull)) for pull in history))
-    dot = lambda pull: F.aggregate(F.zip_with("posterior", pull, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, F.lit(1.0), lambda rate, pull: F.greatest(F.lit(0.0), rate - dot(pull)))
+    """Projected gradient steps in turn, from rate 1; each entry of the history is a step's pull by domain.
+
+    The steps are one nested expression of plain arithmetic, which Spark compiles.
+    """
+    rate = F.lit(1.0)
+    for pull in history:
+        drop = sum((F.element_at("posterior", i + 1) * F.lit(float(x)) for i, x in enumerate(pull)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate - drop)
+    return rate
 
 
 def fit_rates(members: DataFrame, names: list[str], config: MixConfig) -> tuple[list[list[float]], list[float]]:
