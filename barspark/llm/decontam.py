@@ -247,4 +247,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, config: WinnowConf
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, config: WinnowConfig = WinnowConfig()) -> DataFrame:
     """Documents free of benchmark passages, with all their columns; rows without a doc_id stay."""
     hit = contamination(documents, benchmark, config).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("hit_id")).distinct()
-    return documents.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+    return documents.join(hit, documents["doc_id"] == hit["hit_id"], "left_anti")

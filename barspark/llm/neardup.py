@@ -226,5 +226,5 @@ def drop_near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConf
     Rows without a doc_id belong to no class and all stay.
     """
     verdicts = near_duplicates(documents, config).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = documents.join(verdicts, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = documents.join(verdicts, documents["doc_id"] == verdicts["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(documents.where(F.col("doc_id").isNull()))
