@@ -30,8 +30,11 @@ class MixConfig:
     At most ``vocabulary`` words are kept: those in at least ``support`` labelled
     documents whose log share in one domain leads all others by ``telling`` over
     the root of their documents.  Words that point to no one domain stay out, as
-    many weak ones of a text depend on one another.  At most ``labelled`` documents per domain are read.  ``steps`` bounds the iteration,
-    which ends when no domain's expected share is off by more than ``close``.
+    many weak ones of a text depend on one another.  At most ``labelled`` documents
+    per domain are read.  ``steps`` bounds the iteration,
+    which ends when no domain's expected share is off by more than ``close``, or
+    when three steps have lowered the squared error by less than the share ``gain``,
+    as where soft memberships keep a target out of reach; the best step counts.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.9, "poor": 0.1, "toxic": 0.0})
@@ -42,6 +45,7 @@ class MixConfig:
     labelled: int = 20000
     steps: int = 60
     close: float = 1e-4
+    gain: float = 0.05
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -60,7 +64,8 @@ def _traits(text: Column) -> Column:
     matched = lambda pattern, every: F.regexp_count(text, F.lit(pattern)) * every > size
     holds = lambda sign, every: (size - F.length(F.replace(text, F.lit(sign)))) * every > size
     shapes = {" capitals": matched("[A-Z]", 3), " marks": matched("[#*&%$]{2,}", 50), " shouts": holds("!!", 15), " bars": holds("|", 40), " short": size < 60}
-    return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in shapes.items())), lambda x: x.isNotNull())
+    # no higher-order function, so that Spark compiles the tests; a text of no shape has an empty word
+    return F.split(F.concat_ws(",", *(F.when(test, F.lit(name)) for name, test in shapes.items())), ",")
 
 
 def _evidence(text: Column) -> Column:
@@ -135,20 +140,23 @@ def _rate(history: list[list[float]]) -> Column:
 
     The steps are one nested expression of plain arithmetic, which Spark compiles.
     """
-    rate = F.lit(1.0)
+    rate = "1D"
     for pull in history:
-        drop = sum((F.element_at("posterior", i + 1) * F.lit(float(x)) for i, x in enumerate(pull)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - drop)
-    return rate
+        drop = " + ".join(f"posterior[{i}] * {float(x)!r}D" for i, x in enumerate(pull))
+        rate = f"greatest(0D, {rate} - ({drop}))"
+    return F.expr(rate)
 
 
 def fit_rates(members: DataFrame, names: list[str], config: MixConfig) -> tuple[list[list[float]], list[float]]:
     """History of pulls and the expected domain shares that they reach.
 
     Rates minimise sum((expected - target)**2 / size) over domains, in shares of
-    all tokens, with the steps scaled by the documents' sizes.  The step length
-    is the inverse of a bound of the curvature, the largest row sum of the
-    posterior overlap of domains.  Domains without tokens are left out.
+    all tokens, with the steps scaled by the documents' sizes.  The first step's
+    length is the inverse of a bound of the curvature, the largest row sum of the
+    posterior overlap of domains; later ones follow the curvature met by the last
+    step, which the same overlaps give, and fall back to the first length where
+    the error has risen above those of the last four steps.  Domains without
+    tokens are left out.
     """
     i_ = range(len(names))
     p = [F.element_at("posterior", i + 1) for i in i_]
@@ -160,17 +168,29 @@ def fit_rates(members: DataFrame, names: list[str], config: MixConfig) -> tuple[
     live = [s > 1e-9 for s in size]
     target = [config.targets.get(d, 0.0) * config.budget for d in names]
     rows = [sum(first[f"o{i}_{j}"] / first["all"] / math.sqrt(size[i] * size[j]) for j in i_ if live[j]) if live[i] else 0.0 for i in i_]
-    step = 1 / max(rows)
+    step = shortest = 1 / max(rows)
     history: list[list[float]] = []
-    reached = size
-    for _ in range(config.steps):
-        off = [(reached[i] - target[i]) if live[i] else 0.0 for i in i_]
-        if max(map(abs, off)) <= config.close:
+    tried = [size]
+    errors: list[float] = []
+    before: list[float] = []
+    while True:
+        off = [(tried[-1][i] - target[i]) if live[i] else 0.0 for i in i_]
+        errors.append(sum(off[i] ** 2 / size[i] for i in i_ if live[i]))
+        stalled = len(errors) > 3 and min(errors[-3:]) > (1 - config.gain) * min(errors[:-3])
+        if max(map(abs, off)) <= config.close or stalled or len(history) == config.steps:
             break
+        if before:
+            turn = [(off[i] - before[i]) / size[i] if live[i] else 0.0 for i in i_]
+            met = sum(turn[i] * turn[j] * first[f"o{i}_{j}"] / first["all"] for i in i_ for j in i_)
+            step = max(shortest, sum(turn[i] * (off[i] - before[i]) for i in i_) / met) if met > 0 else shortest
+        if len(errors) > 1 and errors[-1] > max(errors[-5:-1]):
+            step = shortest
+        before = off
         history.append([step * off[i] / size[i] if live[i] else 0.0 for i in i_])
         total = members.select("n_tokens", "posterior", _rate(history).alias("rate")).agg(*(F.sum(n * F.col("rate") * p[i]).alias(f"d{i}") for i in i_)).first()
-        reached = [total[f"d{i}"] / first["all"] for i in i_]
-    return history, reached
+        tried.append([total[f"d{i}"] / first["all"] for i in i_])
+    best = errors.index(min(errors))
+    return history[:best], tried[best]
 
 
 def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -200,9 +220,10 @@ def apply_rates(documents: DataFrame, mixed: DataFrame, least: float = 0.5) -> D
     below the rest.  Rates below ``least`` drop a document; other rates below one
     keep it once, so that clean documents all stay.  Rows without a doc_id stay.
     """
-    rates = mixed.where("doc_id is not null").select(F.col("doc_id").alias("mixed_id"), "rate")
-    chance = F.pmod(F.xxhash64("mixed_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.when(F.col("rate") < least, 0).when(F.col("rate") < 1, 1).otherwise(F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int"))
-    joined = documents.join(rates.select("mixed_id", copies.cast("int").alias("copies_")), F.col("doc_id") == F.col("mixed_id"), "left")
-    kept = joined.withColumn("copies_", F.coalesce("copies_", F.lit(1))).where("copies_ > 0")
-    return kept.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*(documents[c] for c in documents.columns))
+    rates = mixed.where("doc_id is not null").select(F.col("doc_id").alias("mixed_id"), copies.cast("int").alias("copies"))
+    joined = documents.join(rates, documents["doc_id"] == rates["mixed_id"], "left")
+    times = F.coalesce(rates["copies"], F.lit(1))
+    row = F.struct(*(documents[c] for c in documents.columns)).alias("row")
+    return joined.where(times > 0).select(row, F.explode(F.sequence(F.lit(1), times))).select("row.*")
