@@ -24,7 +24,7 @@ class PieceEncoder:
     again in every block that has it.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000, block: int = 1 << 20):
+    def __init__(self, path: str, entries: int = 1_000_000, block: int = 1 << 18):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,9 +73,8 @@ class PieceEncoder:
         room = self.entries - len(self.keys)
         if room > 0:
             keep = slice(0, room)
-            merged = np.concatenate([self.keys, keys[keep]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.at, self.count = merged[order], np.concatenate([self.at, at[keep]])[order], np.concatenate([self.count, count[keep]])[order]
+            place = np.searchsorted(self.keys, keys[keep])  # both are sorted
+            self.keys, self.at, self.count = (np.insert(old, place, new[keep]) for old, new in ((self.keys, keys), (self.at, at), (self.count, count)))
             self.used += int(count[keep].sum())
         return at, count
 
@@ -91,7 +90,9 @@ class PieceEncoder:
         at[old], count[old] = self.at[slot[old]], self.count[slot[old]]
         if len(new):
             view = data.tobytes()
-            lists = self._encode_new([view[start[i] : end[i]] for i in first[new]])
+            lists: list = []
+            for some in range(0, len(new), 2048):  # bounds what the tokenizer holds at a time
+                lists += self._encode_new([view[start[i] : end[i]] for i in first[new[some : some + 2048]]])
             at[new], count[new] = self._add(keys[new], lists)
         n = count[which]
         into = np.cumsum(n) - n
