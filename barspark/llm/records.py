@@ -91,7 +91,8 @@ def _writer(root: str, config: RecordConfig):
             name = f"part-{part:06d}-{serial:06d}.rec"
             temporary = f"{base}/_attempt-{attempt}-{serial}"
             with store.open_output_stream(temporary) as out:
-                out.write(b"".join(held))
+                for piece in held:
+                    out.write(piece)
             store.move(temporary, f"{base}/{name}")
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays(

@@ -24,7 +24,7 @@ class PieceEncoder:
     again in every block that has it.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000, block: int = 1 << 18):
+    def __init__(self, path: str, entries: int = 1 << 18, block: int = 1 << 18):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,6 +102,18 @@ class PieceEncoder:
         edges = np.append(into, len(ids))[word_at]
         return [ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
+    def _parts(self, text: bytes) -> Iterator[bytes]:
+        """A long text cut behind blanks into parts of about a block, so that its length bounds no array."""
+        at = 0
+        while len(text) - at > self.block:
+            end = max(text.rfind(blank, at, at + self.block) for blank in (b" ", b"\n")) + 1
+            if end <= at:  # one piece longer than a block stays whole
+                after = [x for x in (text.find(blank, at + self.block) for blank in (b" ", b"\n")) if x >= 0]
+                end = min(after) + 1 if after else len(text)
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
         """Ids (of ``dtype``) of each whole text in order; a null text has none."""
         held: list[bytes] = []
@@ -113,6 +125,11 @@ class PieceEncoder:
                 yield np.array(self.whole(text.decode("utf-8", "replace")), self.dtype)
                 held, size = [], 0
                 continue
+            if len(text) > self.block:
+                yield from self._encode_block(held) if held else []
+                yield np.concatenate([self._encode_block([part])[0] for part in self._parts(text.lower() if self.folds else text)])
+                held, size = [], 0
+                continue
             held.append(text.lower() if self.folds else text)
             size += len(text)
             if size >= self.block:
