@@ -26,7 +26,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
             return ""
         if isinstance(value, bool) or getattr(getattr(value, "dtype", None), "kind", "") == "b":
             return str(bool(value))
-        if isinstance(value, (int, float)) or getattr(getattr(value, "dtype", None), "kind", "") in "iuf":
+        if isinstance(value, (int, float)) or getattr(getattr(value, "dtype", None), "kind", "-") in "iuf":
             return f"{float(value):.9g}"
         return str(value)
 
