@@ -44,7 +44,6 @@ class RepeatConfig:
     k: int = 32
     block_bytes: int = 1 << 18
     most_runs: int = 4096
-    combine_bytes: int = 32 << 20
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,19 +79,8 @@ def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
 
-def _runs(config: RepeatConfig, repeats: bool):
-    """Runs of a task's texts, equal ones combined: the earliest, or (``repeats``) the spans of the others."""
-
-    def combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        anchor, bytes_, doc, tie, first, windows = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((first, tie, doc, bytes_, anchor))
-        again = np.zeros(len(order), bool)
-        again[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (bytes_[order[1:]] == bytes_[order[:-1]])
-        if repeats:
-            rows = order[again]
-            return _batch([doc[rows], tie[rows], first[rows], first[rows] + windows[rows] - 1 + config.least], _SPAN)
-        rows = np.sort(order[~again])
-        return _batch([c[rows] for c in (anchor, bytes_, doc, tie, first, windows)], _RUN)
+def _runs(config: RepeatConfig):
+    """All runs of a task's texts, a few megabytes of text at a time; what a text gives does not depend on its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -103,11 +91,11 @@ def _runs(config: RepeatConfig, repeats: bool):
                     anchor, bytes_, first, windows = anchored_runs(np.frombuffer(text, np.uint8), config)
                     held.append([anchor, bytes_, np.full(len(anchor), doc), np.full(len(anchor), tie), first, windows])
                     size += len(text)
-                    if size >= config.combine_bytes:
-                        yield combined(held)
+                    if size >= _SEGMENT:
+                        yield _batch([np.concatenate(c) for c in zip(*held)], _RUN)
                         held, size = [], 0
         if held:
-            yield combined(held)
+            yield _batch([np.concatenate(c) for c in zip(*held)], _RUN)
 
     return run
 
@@ -339,8 +327,8 @@ def repeated_bytes(documents: DataFrame, config: RepeatConfig = RepeatConfig(),
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bare = source.select("doc", "tie", "text")
-    near = bare.mapInArrow(_runs(config, True), _SPAN)
-    runs = bare.mapInArrow(_runs(config, False), _RUN)
+    # every run takes this one way, so that no repeat depends on how a second reading would cut the files
+    runs = bare.mapInArrow(_runs(config), _RUN)
     runs = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "bytes", "doc", "tie", "first")
     found = work.table("found", runs.mapInArrow(_resolve, _FOUND))
     whole = found.where("kind = 0").select("doc", "tie", "first", (F.col("first") + F.col("windows") + (config.least - 1)).alias("end"))
@@ -354,7 +342,7 @@ def repeated_bytes(documents: DataFrame, config: RepeatConfig = RepeatConfig(),
     pieces = pieces.mapInArrow(_pieces(config), _PIECE).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
     partial = pieces.mapInArrow(_blocks(config), _SPAN)
 
-    spans = near.unionByName(whole).unionByName(partial)
+    spans = whole.unionByName(partial)
     spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     schema = "doc_id long, n_bytes long, removed array<string>, n_removed long, kept_sha256 string"
     return source.join(spans, ["doc", "tie"], "left").select("doc_id", "spans", "text").mapInArrow(_report, schema)
