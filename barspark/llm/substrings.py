@@ -11,12 +11,15 @@ anchors, so runs can be compared anchor by anchor, in a shuffle:
    extended backwards by one byte, so that common prefixes appear by increasing
    length, and an interval goes on only if its right end gets its prefix length
    for the first time.  At the minimum length the search stops; neighbours that
-   have none by then share at least that many bytes.
+   have none by then share at least that many bytes.  Anchors with too many
+   different runs for a block are dealt by the 128-bit hashes of their windows
+   instead, and all but the earliest of equal windows are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +39,8 @@ _SEGMENT = 1 << 22
 class RepeatConfig:
     """Strings of ``least`` bytes are compared, by anchors of ``k`` bytes.
 
-    A block holds about ``block_bytes``; an anchor with more than ``most_runs``
-    different runs is split by the hashes of its windows.
+    A block holds about ``block_bytes``; of an anchor with more than ``most_runs``
+    different runs, the windows are compared one by one, by 128-bit hashes.
     """
 
     least: int = 100
@@ -142,6 +145,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     Suffixes that agree that far may stand in any order.
     """
     n = len(symbols)
+    if n and int(symbols.max()) >= (1 << 16) - 1:
+        raise ValueError(f"symbol {int(symbols.max())} does not fit 16 bits; a block holds too many texts")
     padded = np.concatenate([symbols.astype(U64) + U64(1), np.zeros(3, U64)])
     bits = U64(16)
     key = ((padded[:n] << bits | padded[1 : n + 1]) << bits | padded[2 : n + 2]) << bits | padded[3 : n + 3]
@@ -215,11 +220,11 @@ def repeated_windows(texts: list[bytes], least: int) -> tuple[np.ndarray, np.nda
     return group[several], text, where - begin[text]
 
 
-_PIECE = "anchor long, part int, doc long, tie long, first long, data binary"
+_PIECE = "anchor long, part long, more long, doc long, tie long, first long, data binary"
 
 
 def _pieces(config: RepeatConfig):
-    """Bytes of the listed runs of each text; of split anchors, window by window."""
+    """Bytes of the listed runs of each text; of split anchors, the 128-bit hash of each window in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,22 +233,26 @@ def _pieces(config: RepeatConfig):
                 out: list[tuple] = []
                 for doc, tie, runs, text in zip(rows.column("doc").to_pylist(), rows.column("tie").to_pylist(), rows.column("runs").to_pylist(), raw(rows)):
                     for r in runs:
-                        first, windows, anchor, parts = r["first"], r["windows"], r["anchor"], r["parts"]
-                        if parts == 1:
-                            out.append((anchor, 0, doc, tie, first, text[first : first + windows - 1 + config.least]))
+                        first, windows, anchor = r["first"], r["windows"], r["anchor"]
+                        if not r["split"]:
+                            out.append((anchor, 0, 0, doc, tie, first, text[first : first + windows - 1 + config.least]))
                             continue
                         for w in range(first, first + windows):
-                            piece = text[w : w + config.least]
-                            out.append((anchor, int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "big") % parts, doc, tie, w, piece))
-                columns = list(zip(*out)) or [[] for _ in range(6)]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                            digest = hashlib.blake2b(text[w : w + config.least], digest_size=16).digest()
+                            out.append((anchor, *struct.unpack("<2q", digest), doc, tie, w, None))
+                columns = list(zip(*out)) or [[] for _ in range(7)]
+                kinds = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _PIECE.split(", ")])
 
     return run
 
 
 def _blocks(config: RepeatConfig):
-    """Repeated windows of pieces sorted by anchor and part, block by block."""
+    """Repeated windows of pieces sorted by anchor, hash and place: of pieces with bytes, block by block; of hashed windows, all but the earliest.
+
+    A block closes before an anchor's first piece only, so it holds fewer than
+    5 * ``most_runs`` pieces; of hashed windows, just the last one is held.
+    """
 
     def solve(keys: list[tuple[int, int, int]], data: list[bytes]) -> pa.RecordBatch:
         group, text, offset = repeated_windows(data, config.least)
@@ -263,19 +272,30 @@ def _blocks(config: RepeatConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int, int]] = []
         data: list[bytes] = []
-        size, last = 0, None
+        size, last, place = 0, None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                for anchor, part, doc, tie, first, piece in zip(*(rows.column(c).to_pylist() for c in range(6))):
-                    full = size >= config.block_bytes or len(data) >= 4 * config.most_runs
-                    if full and (anchor, part) != last:
+                again: list[tuple[int, int, int, int]] = []
+                for anchor, part, more, doc, tie, first, piece in zip(*(rows.column(c).to_pylist() for c in range(7))):
+                    key, here = (anchor, part, more, piece is None), (doc, tie, first)
+                    if piece is None:
+                        if key != last:
+                            last, place = key, here  # the earliest
+                        elif here != place:
+                            again.append((*here, first + config.least))
+                        continue
+                    if key == last and here == place:
+                        continue  # of a repeated row, which is one document
+                    if key != last and (size >= config.block_bytes or len(data) >= 4 * config.most_runs):
                         yield solve(keys, data)
                         keys, data, size = [], [], 0
-                    keys.append((doc, tie, first))
+                    keys.append(here)
                     data.append(piece)
                     size += len(piece)
-                    last = (anchor, part)
+                    last, place = key, here
+                if again:
+                    yield _batch([np.array(c, np.int64) for c in zip(*again)], _SPAN)
         if data:
             yield solve(keys, data)
 
@@ -335,11 +355,11 @@ def repeated_bytes(documents: DataFrame, config: RepeatConfig = RepeatConfig(),
 
     several = found.where("kind = 1").drop("kind").distinct()  # a repeated row's runs count once
     crowded = several.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > config.most_runs)
-    crowded = crowded.select("anchor", F.ceil(F.col("n") * config.least / config.most_runs).cast("int").alias("parts"))
-    several = several.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    listed = several.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "windows", "anchor", "parts")).alias("runs"))
+    crowded = crowded.select("anchor", F.lit(True).alias("split"))
+    several = several.join(crowded, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    listed = several.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "windows", "anchor", "split")).alias("runs"))
     pieces = listed.join(bare.dropDuplicates(["doc", "tie"]) if not clash.isEmpty() else bare, ["doc", "tie"]).select("doc", "tie", "runs", "text")
-    pieces = pieces.mapInArrow(_pieces(config), _PIECE).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+    pieces = pieces.mapInArrow(_pieces(config), _PIECE).repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part", "more", "doc", "tie", "first")
     partial = pieces.mapInArrow(_blocks(config), _SPAN)
 
     spans = whole.unionByName(partial)

@@ -2,9 +2,26 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from barspark.llm import substrings
 
 
+def covered(texts, least):
+    """Removed bytes of each text, in order, by brute force."""
+    seen, out = set(), []
+    for text in texts:
+        cover = np.zeros(len(text), bool)
+        for i in range(len(text) - least + 1):
+            window = text[i : i + least]
+            if window in seen:
+                cover[i : i + least] = True
+            seen.add(window)
+        out.append(int(cover.sum()))
+    return out
+
+
 def quotes(n):
     """One passage in n contexts, and some whole copies of texts."""
     rng = random.Random(5)
@@ -14,6 +31,36 @@ def quotes(n):
     return texts + texts[: n // 4]
 
 
+@pytest.mark.parametrize("most_runs", [4096, 8])
+def test_op7_crowded_anchor(spark, most_runs):
+    texts = quotes(60)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    config = substrings.RepeatConfig(most_runs=most_runs)
+    got = {r.doc_id: r.n_removed for r in substrings.repeated_bytes(frame, config).collect()}
+    assert [got[i] for i in range(len(texts))] == covered([t.encode() for t in texts], 100)
+
+
+def test_op7_blocks_hold_no_copies_of_a_window():
+    """A crowded anchor's equal windows cross no block, however many they are."""
+    import pyarrow as pa
+
+    config = substrings.RepeatConfig(most_runs=4)
+    text = quotes(1)[0]
+    runs = [{"first": 0, "windows": 3, "anchor": 1, "split": True}]
+    column = pa.array([runs] * 100, pa.list_(pa.struct([("first", pa.int64()), ("windows", pa.int64()), ("anchor", pa.int64()), ("split", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([0] * 100), column, pa.array([text] * 100)], ["doc", "tie", "runs", "text"])
+    pieces = pa.Table.from_batches(list(substrings._pieces(config)(iter([batch]))))
+    assert pieces.column("data").null_count == 300
+    pieces = pieces.sort_by([(c, "ascending") for c in ("anchor", "part", "more", "doc", "tie", "first")])
+    spans = [s for b in substrings._blocks(config)(iter(pieces.to_batches())) for s in b.to_pylist()]
+    assert len(spans) == 297 and all(s["doc"] > 0 and s["end"] == s["first"] + 100 for s in spans)
+
+
+def test_op7_symbols_beyond_the_packing_width_are_an_error():
+    with pytest.raises(ValueError):
+        substrings.suffix_order(np.array([0, (1 << 16) - 1, 3]), 101)
+
+
 def test_op7_does_not_depend_on_how_a_second_reading_cuts_the_files(spark, tmp_path, monkeypatch):
     texts = [quotes(1)[0]] * 8
     for i, text in enumerate(texts):
