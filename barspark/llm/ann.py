@@ -5,7 +5,8 @@ vector into cells.  A query visits its own bucket and those next to it in the
 order of their estimated success: the squared distances, along the projections,
 from the query to the cells it would have to cross into.  Buckets hold packed
 blocks of vectors; a query meets whole blocks, exact distances are taken there,
-and only the best of each block go on.
+and only the best of each block go on.  Queries that meet too few vectors that
+way are compared with every vector of their dimension, block by block.
 """
 
 from __future__ import annotations
@@ -136,8 +137,28 @@ def _usable(vector: str):
     return value.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(value, lambda x: x != 0)
 
 
+def _compared(few: DataFrame, members: DataFrame, k: int, config: ProbeConfig) -> DataFrame:
+    """The k + 1 nearest of every block of ``members`` for each row of ``few``, within the dimension.
+
+    Blocks of vectors are dealt to slices of their dimension and each block of
+    queries goes to every slice, so that a dimension is no single task's.
+    """
+    parts = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = F.collect_list(F.struct("id", "vector"))
+    few, members = few.withColumn("dimension", F.size("vector")), members.withColumn("dimension", F.size("vector"))
+    sizes = members.groupBy("dimension").agg(F.ceil(F.count("*") / config.block).alias("blocks"))
+    sizes = sizes.withColumn("slices", F.least("blocks", F.lit(parts)))  # a row for each dimension
+    base = members.join(F.broadcast(sizes), "dimension").groupBy("dimension", "slices", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(packed.alias("members"))
+    base = base.withColumn("slice", F.pmod("block", "slices"))
+    groups = few.groupBy("dimension").agg(F.ceil(F.count("*") / config.query_block).alias("groups"))
+    asked = few.join(F.broadcast(groups), "dimension").groupBy("dimension", F.pmod(F.xxhash64("id"), "groups").alias("group")).agg(packed.alias("asked"))
+    asked = asked.join(F.broadcast(sizes), "dimension").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    pairs = base.select("dimension", "slice", "members").join(asked.select("dimension", "slice", "asked"), ["dimension", "slice"])
+    return pairs.select("members", "asked").mapInArrow(_nearest(k + 1), "query long, vec_id long, score double")
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, config: ProbeConfig = ProbeConfig(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest found rows of ``embeddings`` for each row of ``queries``.
+    """The ``k`` nearest found rows of ``embeddings`` for each row of ``queries``; all of them where there are fewer.
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance in double
     precision), nearest first, ties to the smaller vec_id; a query's own id is
@@ -183,7 +204,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, config: Prob
     found = blocks.join(asking, "cell").select("members", "asked").mapInArrow(_nearest(k + 1), "query long, vec_id long, score double")
 
     best = Window.partitionBy("query").orderBy("score", "vec_id")
-    merged = found.distinct().withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    found = work.table("found", found.distinct())
+    enough = found.groupBy("query").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") > k).select(F.col("query").alias("id"))
+    few = work.table("few", searched.select("id", "vector").join(enough, "id", "left_anti"))
+    if not few.isEmpty():
+        found = found.unionByName(_compared(few, members, k, config)).distinct()
+    merged = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     merged = merged.join(searched.select(F.col("id").alias("query"), "h1", "h2"), "query").select("h1", "h2", "vec_id", "score")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = askers.join(merged, ["h1", "h2"]).where("vec_id <> query_id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

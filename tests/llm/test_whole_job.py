@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from barspark.llm import substrings
+from barspark.llm import ann, substrings
 
 
 def covered(texts, least):
@@ -69,7 +69,7 @@ def test_op7_does_not_depend_on_how_a_second_reading_cuts_the_files(spark, tmp_p
 
     def table(self, name, frame):
         out = write(self, name, frame)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # as if executors had come or gone
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # as if executors had come or gone
         return out
 
     monkeypatch.setattr(substrings.Workspace, "table", table)
@@ -78,3 +78,32 @@ def test_op7_does_not_depend_on_how_a_second_reading_cuts_the_files(spark, tmp_p
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [got[i] for i in range(8)] == [0] + [len(texts[0])] * 7
+
+
+def by_query(frame):
+    out = {}
+    for r in frame.orderBy("rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def test_op4_every_query_gets_its_neighbours(spark):
+    """Few candidates, outlying norms and a far small cluster."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(3000, 8))
+    vectors[::100] *= 50.0 ** rng.uniform(0, 1, size=(30, 1))
+    vectors[5] = vectors[6] = vectors[200] = 900.0
+    vectors[6] += 0.5
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5000 + i, [1.0, 2.0, float(i)]) for i in range(4)] + [(9000, [1.0, 2.0, 1e6])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 100 = 0 and vec_id <> 5000")
+    got = by_query(ann.nearest(frame, asked, k=10))
+    assert got[9000] == [5003, 5002, 5001, 5000]
+    assert got[200][:2] == [5, 6]
+    met = 0
+    for q in range(0, 3000, 100):
+        apart = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        best = [int(i) for i in np.lexsort((np.arange(3000), apart)) if i != q][:10]
+        assert len(got[q]) == 10
+        met += len(set(best) & set(got[q]))
+    assert met >= 0.9 * 300
