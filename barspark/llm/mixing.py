@@ -213,15 +213,15 @@ def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()
     return members.select("doc_id", "n_tokens", best.alias("domain"), "posterior", _rate(history).alias("rate"))
 
 
-def apply_rates(documents: DataFrame, mixed: DataFrame, least: float = 0.5) -> DataFrame:
+def apply_rates(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """Documents repeated as their rates say, with all their columns.
 
     A document appears floor(rate) times and once more if its hashed id falls
-    below the rest.  Rates below ``least`` drop a document; other rates below one
-    keep it once, so that clean documents all stay.  Rows without a doc_id stay.
+    below the rest, so that a domain's expected tokens are those of the fit; only
+    a rate of zero drops every document.  Rows without a doc_id stay.
     """
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.col("rate") < least, 0).when(F.col("rate") < 1, 1).otherwise(F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int"))
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
     rates = mixed.where("doc_id is not null").select(F.col("doc_id").alias("mixed_id"), copies.cast("int").alias("copies"))
     joined = documents.join(rates, documents["doc_id"] == rates["mixed_id"], "left")
     times = F.coalesce(rates["copies"], F.lit(1))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from barspark.llm import ann, substrings
+from barspark.llm import ann, mixing, substrings
 
 
 def covered(texts, least):
@@ -80,6 +80,19 @@ def test_op7_does_not_depend_on_how_a_second_reading_cuts_the_files(spark, tmp_p
     assert [got[i] for i in range(8)] == [0] + [len(texts[0])] * 7
 
 
+def test_pipeline_mixing_keeps_the_fitted_tokens_by_domain(spark):
+    rng = random.Random(3)
+    words = {d: [f"{d}{i}" for i in range(60)] for d in ("good", "poor", "toxic")}
+    kind = ["poor" if i % 3 == 0 else "toxic" if i % 20 == 1 else "good" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(words[d], k=40))) for i, d in enumerate(kind)]
+    labels = [(i, int(d == "good"), int(d == "toxic")) for i, d in enumerate(kind) if i < 1200]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    mixed = mixing.mix(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = [r.doc_id for r in mixing.apply_rates(docs, mixed).select("doc_id").collect()]
+    for domain, share in (("good", 0.81), ("poor", 0.09), ("toxic", 0.0)):
+        assert sum(kind[i] == domain for i in kept) / len(kind) == pytest.approx(share, abs=0.02)
+
+
 def by_query(frame):
     out = {}
     for r in frame.orderBy("rank").collect():
