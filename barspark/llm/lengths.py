@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm.common import raw, texts
+from barspark.llm.common import Workspace, raw, texts
 from barspark.llm.tokens import encoder
 
 
@@ -43,11 +43,13 @@ def length_histogram(counts: DataFrame, block: int = 1024) -> DataFrame:
     document is cut to n_tokens; quantile: share of documents of at most this
     length.  Null counts are no documents.  An empty table gives no rows.
 
+    The counts are read once; what they come to is written, a row per length.
     Suffix sums run inside blocks of ``block`` adjacent lengths and over the
     blocks' totals, so no task sees more than the larger of the two.
     """
+    work = Workspace(counts.sparkSession, "lengths")
     by_length = counts.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    by_length = by_length.withColumn("block", F.floor(F.col("n_tokens") / block))
+    by_length = work.table("histogram", by_length.withColumn("block", F.floor(F.col("n_tokens") / block)))
     totals = by_length.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
