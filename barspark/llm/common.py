@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    This is ``spark.checkpoint.dir`` of the session.  Only where that is unset,
-    as in a local test session, a temporary folder takes its place.
+    This is ``spark.checkpoint.dir`` of the session.  Only where that is unset
+    and driver and executors are one process, as in a local test session, a
+    temporary folder takes its place; on a cluster its tables would be scattered,
+    so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_barspark_shared_dir", None) or f"file://{tempfile.mkdtemp(prefix='barspark-')}"
         spark._barspark_shared_dir = path
     return path.rstrip("/") if "://" in path or path.startswith("file:") else f"file://{path.rstrip('/')}"
