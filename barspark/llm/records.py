@@ -174,8 +174,13 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
     """Add ``start``: the ids of all documents before a record.
 
-    Only one row per file enters the running total over files.
+    Files are named by the range of ids that they were written from, so a running
+    total over ranges, a row for each shuffle partition of the writer, and one
+    over the files inside each range are enough.
     """
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = files.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("before"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens")).withColumn("range", F.element_at(F.split("file", "-"), 2))
+    ranges = files.groupBy("range").agg(F.sum("tokens").alias("in_range"))
+    ranges = ranges.select("range", (F.sum("in_range").over(Window.orderBy("range")) - F.col("in_range")).alias("earlier"))
+    inside = F.sum("tokens").over(Window.partitionBy("range").orderBy("file")) - F.col("tokens")
+    before = files.withColumn("inside", inside).join(ranges, "range").select("file", (F.col("earlier") + F.col("inside")).alias("before"))
     return records.join(before, "file").withColumn("start", F.col("before") + F.col("start_in_file")).drop("before")
