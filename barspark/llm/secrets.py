@@ -56,7 +56,7 @@ class BatteryConfig:
     """
 
     accept: float = 0.001
-    fdr: float = 0.001
+    fdr: float = 0.02
     repeat: float = 2.0
     cased: float = 0.33
     uncased: float = 0.12
