@@ -27,7 +27,8 @@ class WinnowConfig:
     """A run of ``span`` item words (a whole item, if shorter) contaminates.
 
     ``k`` is the gram size.  Benchmarks of at most ``index_bytes`` of text are
-    indexed once and sent to the tasks; larger ones are joined by fingerprint.
+    indexed once and sent to the tasks; larger ones are joined by fingerprint,
+    in blocks of about that size.
     """
 
     span: int = 10
@@ -162,16 +163,16 @@ def _prints(config: WinnowConfig, sizes: list[int], whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = [], []
-            for key, text in zip(batch.column("key").to_pylist(), raw(batch)):
+            for key, text in zip(batch.column("key"), raw(batch)):
                 values = words(text, ALNUM)
                 if whole:
                     sizes_here = [len(values)] if 0 < len(values) < config.span else []
                 else:
                     sizes_here = sizes
                 found = np.unique(np.concatenate([winnow(values, config)[1], *(ngrams(values, n) for n in sizes_here)]))
-                keys += [key] * len(found)
+                keys += [key.as_py()] * len(found)
                 hashes.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([np.zeros(0, U64), *hashes]).view(np.int64))], ["key", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("key").type), pa.array(np.concatenate([np.zeros(0, U64), *hashes]).view(np.int64))], ["key", "print"])
 
     return run
 
@@ -185,13 +186,34 @@ def _sizes(config: WinnowConfig):
     return run
 
 
-def _pair_spans(config: WinnowConfig):
+_HIT = "key string, item string, spans array<string>"
+
+
+def _by_block(config: WinnowConfig):
+    """Hits of the documents of a block of items.
+
+    Rows come sorted, a block's items before its documents, so that one block's
+    index is held at a time, whatever the number of documents.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, items, index = None, [], None
         for batch in batches:
-            spans = []
-            for item, doc_text, item_text in zip(batch.column("item").to_pylist(), raw(batch), raw(batch, "item_text")):
-                spans.append([f"{a}:{b}" for _, a, b in ItemIndex([(item, item_text)], config).spans(words(doc_text, ALNUM))])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array(spans, pa.list_(pa.string()))], ["key", "item", "spans"])
+            keys, names, spans = [], [], []
+            for own, name, key, text in zip(batch.column("block").to_pylist(), batch.column("item").to_pylist(), batch.column("key").to_pylist(), raw(batch)):
+                if own != block:
+                    block, items, index = own, [], None
+                if key is None:
+                    items.append((name, text))
+                    continue
+                index = index or ItemIndex(items, config)
+                found: dict[str, list[str]] = {}
+                for n, a, b in index.spans(words(text, ALNUM)):
+                    found.setdefault(index.ids[n], []).append(f"{a}:{b}")
+                keys += [key] * len(found)
+                names += found.keys()
+                spans += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string()), pa.array(spans, pa.list_(pa.string()))], ["key", "item", "spans"])
 
     return run
 
@@ -204,22 +226,33 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _verdicts(rows, batch.column("doc_id"))
 
 
-def _by_join(docs: DataFrame, items: DataFrame, config: WinnowConfig) -> DataFrame:
-    """The same result for a benchmark of any size: fingerprints meet in a join."""
-    work = Workspace(docs.sparkSession, "decontam")
+def _by_join(docs: DataFrame, items: DataFrame, size: int, config: WinnowConfig) -> DataFrame:
+    """The same result for a benchmark of any size.
+
+    Items are dealt to blocks of about ``index_bytes``.  Fingerprints of documents
+    meet those of blocks in a join, which tells only which blocks a document is
+    to be compared with: a common fingerprint gives a document a row for each
+    block at most, not for each item, and no row carries an item's text.  Each
+    block's documents are dealt to slices, to each of which its items go too.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "decontam")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-size // max(1, config.index_bytes)))
+    items = work.table("items", items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))))
     # equal texts are one key, so that repeated rows are matched once
     keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     sizes = sorted(r[0] for r in items.mapInArrow(_sizes(config), "size long").distinct().collect())  # at most span - 1
-    of_items = items.select(F.col("item").alias("key"), "text").mapInArrow(_prints(config, sizes, True), "key string, print long").withColumnRenamed("key", "item")
-    pairs = texts.mapInArrow(_prints(config, sizes, False), "key string, print long").join(of_items, "print").select("key", "item").distinct()
-    hits = (
-        pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key")
-        .select("key", "item", "text", "item_text")
-        .mapInArrow(_pair_spans(config), "key string, item string, spans array<string>")
-        .where(F.size("spans") > 0)
-        .groupBy("key").agg(F.collect_set("item").alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("runs"))
-    )
+    of_blocks = items.select(F.col("block").alias("key"), "text").mapInArrow(_prints(config, sizes, True), "key long, print long").withColumnRenamed("key", "block").distinct()
+    met = texts.mapInArrow(_prints(config, sizes, False), "key string, print long").join(of_blocks, "print").select("key", "block").distinct()
+    asked = texts.join(met, "key").select("block", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("slice"), F.lit(None).cast("string").alias("item"), "key", "text")
+    asked = work.table("asked", asked)
+    slices = asked.select("block", "slice").distinct()
+    sent = items.join(slices, "block").select("block", "slice", "item", F.lit(None).cast("string").alias("key"), "text")
+    rows = sent.unionByName(asked).repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", F.col("key").asc_nulls_first())
+    rows = rows.select(F.struct("block", "slice").alias("block"), "item", "key", "text")
+    hits = rows.mapInArrow(_by_block(config), _HIT).groupBy("key").agg(F.collect_set("item").alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("runs"))
     return keyed.join(work.table("hits", hits), "key", "left").select("doc_id", "text", "items", "runs").mapInArrow(_merge, SCHEMA)
 
 
@@ -238,7 +271,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, config: WinnowConf
     items = benchmark.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 64), F.lit(0))).first()[0]
     if size > config.index_bytes:
-        return _by_join(docs, items, config)
+        return _by_join(docs, items, size, config)
     found = [(r.item, r.text.encode() if r.text else None) for r in items.collect()]
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex(found, config))
     return docs.mapInArrow(_with_index(index), SCHEMA)
