@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.llm.common import Workspace, raw, texts
@@ -30,13 +30,16 @@ class MinMaxConfig:
     """``shingle`` words make a shingle; documents of at least ``percent`` similarity are linked.
 
     A pair of similarity s shares none of the bands with probability
-    (1 - s**rows)**bands: 5e-8 at 0.8 for the default.
+    (1 - s**rows)**bands: 5e-8 at 0.8 for the default.  Buckets in which more than
+    ``crowd`` documents of several components remain are searched by their rarest
+    shingles instead of pair by pair.
     """
 
     shingle: int = 5
     percent: int = 80
     rows: int = 4
     bands: int = 32
+    crowd: int = 256
 
     @property
     def permutations(self) -> int:
@@ -139,6 +142,37 @@ def _sizes_allow(a: str, b: str, config: MinMaxConfig):
     return 100 * F.least(a, b) >= config.percent * F.greatest(a, b)
 
 
+def _differing(config: MinMaxConfig):
+    """Whether the sketches of a row and of its ``o_`` side leave the pair possible."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(LANES)])
+    # |a ^ b| * (100 + percent) <= (|a| + |b|) * (100 - percent)
+    return bits * (100 + config.percent) <= (F.col("n") + F.col("o_n")) * (100 - config.percent)
+
+
+def _by_rarest(crowd: DataFrame, sets: DataFrame, config: MinMaxConfig, work: Workspace) -> DataFrame:
+    """Possible pairs (a, b) of different components among ``crowd(id, n, own)``.
+
+    With shingles ordered by how many of these documents have them, two similar
+    sets share one of the first n - ceil(n * percent / 100) + 1 of each.  What
+    many documents have in common comes last and joins none of them.
+    """
+    listed = crowd.join(sets.select(F.col("doc_id").alias("id"), F.explode("shingles").alias("shingle")), "id")
+    often = listed.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id").orderBy("often", "shingle")
+    most = F.col("n") - F.ceil(F.col("n") * config.percent / 100) + 1
+    prefix = listed.join(often, "shingle").withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("id", "n", "own", "shingle")
+    prefix = work.table("prefix", prefix)
+    mixed = prefix.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min_by("own", "id").alias("major")).where("low <> high")
+    prefix = prefix.join(mixed.select("shingle", "major"), "shingle")
+    other = prefix.select("shingle", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("own").alias("o_own"))
+    pairs = prefix.where("own <> major").join(other, "shingle").where((F.col("own") != F.col("o_own")) & _sizes_allow("n", "o_n", config))
+    pairs = pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.when(F.col("id") < F.col("o_id"), F.col("n")).otherwise(F.col("o_n")).alias("n"), F.when(F.col("id") < F.col("o_id"), F.col("o_n")).otherwise(F.col("n")).alias("o_n")).distinct()
+    lanes = [f"s{i}" for i in range(LANES)]
+    left = sets.select(F.col("doc_id").alias("a"), *lanes)
+    right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"o_{c}") for c in lanes))
+    return pairs.join(left, "a").join(right, "b").where(_differing(config)).select("a", "b")
+
+
 def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate class of every document.
 
@@ -148,10 +182,12 @@ def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(),
     Documents of equal shingle sets collapse into one representative first, so
     copies never meet in pairs.  Each bucket's documents are compared with the
     bucket's smallest one; only documents that this leaves in another component
-    are compared with the rest of their bucket, behind an exact sketch bound.
+    are compared with the rest of their bucket, behind an exact sketch bound, or
+    in crowded buckets by their rarest shingles, which lose no link either.
     Empty and null texts are linked with nothing.  A null doc_id gives a null
-    component that is not kept.  Repeated rows share their class; an empty
-    table gives no rows.
+    component that is not kept.  Repeated rows share their class; where one id has
+    different texts, each counts for its own copies and the smallest for near
+    ones.  An empty table gives no rows.
     """
     work = Workspace(documents.sparkSession, "neardup")
     source = texts(documents, key, text)
@@ -170,10 +206,9 @@ def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(),
     stars = shared.where("id <> pivot").where(_sizes_allow("n", "pivot_n", config)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = work.table("stars", stars)
     taking_part = shared.select(F.col("id").alias("doc_id")).distinct()
-    # repeated rows of one id: any one of its texts that has the representative's class would do; take one
-    chosen = source.join(taking_part, "doc_id", "left_semi")
+    chosen = source.join(taking_part, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     lanes = ", ".join(f"s{i} long" for i in range(LANES))
-    sets = work.table("sets", chosen.mapInArrow(_sets(config), f"doc_id long, shingles array<long>, {lanes}").dropDuplicates(["doc_id"]))
+    sets = work.table("sets", chosen.mapInArrow(_sets(config), f"doc_id long, shingles array<long>, {lanes}"))
 
     links = work.table("links", _confirmed(stars, sets, config))
     first = work.table("first", connected_components(links, work, "first"))
@@ -183,19 +218,20 @@ def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(),
         shared.join(first.select("id", F.col("component").alias("own")), "id", "left")
         .select("bucket", "id", "n", F.coalesce("own", "id").alias("own"), "pivot")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min_by("own", "id").alias("major")).where("low <> high")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min_by("own", "id").alias("major"), F.count("*").alias("held")).where("low <> high")
     sketches = sets.drop("shingles").withColumnRenamed("doc_id", "id")
-    placed = placed.join(mixed.select("bucket", "major"), "bucket").join(sketches, "id")
-    placed = work.table("placed", placed)
+    placed = work.table("mixed", placed.join(mixed.select("bucket", "major", "held"), "bucket"))
+    crowd = work.table("crowd", placed.where(F.col("held") > config.crowd).select("id", "n", "own").distinct())
+    placed = work.table("placed", placed.where(F.col("held") <= config.crowd).join(sketches, "id"))
     other = placed.select(*(F.col(c).alias(f"o_{c}") for c in placed.columns))
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(LANES)])
-    most = (F.col("n") + F.col("o_n")) * (100 - config.percent)  # |a ^ b| * (100 + percent) <= (|a| + |b|) * (100 - percent)
     rest = (
         placed.where("own <> major")
-        .join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("own") != F.col("o_own")) & _sizes_allow("n", "o_n", config) & (differing * (100 + config.percent) <= most))
+        .join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("own") != F.col("o_own")) & _sizes_allow("n", "o_n", config) & _differing(config))
         .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
         .distinct()
     )
+    if not crowd.isEmpty():
+        rest = rest.unionByName(_by_rarest(crowd, sets, config, work)).distinct()
     rest = work.table("rest", rest)
     found = _confirmed(rest, sets, config)
     owner = first.select(F.col("id").alias("v"), "component")
@@ -212,7 +248,7 @@ def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(),
         .join(second.select(F.col("id").alias("c1"), F.col("component").alias("c2")), "c1", "left")
         .select(*(F.col(c).alias(f"k_{c}") for c in same), F.coalesce("c2", "c1").alias("component_id"))
     )
-    work.drop("sets", "placed", "buckets", "stars", "rest")
+    work.drop("sets", "mixed", "crowd", "prefix", "placed", "buckets", "stars", "rest")
     match = [F.col(c) == F.col(f"k_{c}") for c in same]
     out = digests.select("doc_id", *same).join(merged, reduce(lambda x, y: x & y, match), "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
