@@ -36,8 +36,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangConfig:
-    """``per_language`` bounds the labelled rows that the models are fitted on."""
+    """``per_language`` bounds the labelled rows that the models are fitted on.
 
+    A text is rejected whose likeness to its language falls below ``slack`` times
+    the least one met among labelled texts of about its length.
+    """
+
+    slack: float = 0.9
     dims: int = 2048
     per_language: int = 600
     steps: int = 150
@@ -90,15 +95,29 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> np.ndar
     return w
 
 
+#: Bytes of text from which the next band of lengths begins.
+BANDS = np.array([32, 128, 512, 2048])
+
+
 @dataclass
 class LangModel:
-    """``langs`` are those learned; machines map a pair or a family to weights."""
+    """``langs`` are those learned; machines map a pair or a family to weights.
+
+    ``centres`` are the languages' mean directions and ``least``, by band of text
+    length, the smallest cosine to the own language's among labelled texts.
+    """
 
     config: LangConfig
     langs: list[str]
     families: dict[str, list[str]]
     by_family: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    centres: dict[str, np.ndarray] = field(default_factory=dict)
+    least: np.ndarray = field(default_factory=lambda: np.zeros(len(BANDS) + 1))
+
+    def accepts(self, x: np.ndarray, size: int, lang: str) -> bool:
+        """Whether a text of ``size`` bytes is as like its language as labelled texts of its length are."""
+        return float(x @ self.centres[lang]) >= self.config.slack * self.least[np.searchsorted(BANDS, size, "right")]
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         names = list(self.families)
@@ -121,17 +140,26 @@ class LangModel:
         return best, sure * votes[best] / (len(members) - 1)
 
 
-def fit(rows: list[tuple[str, bytes]], config: LangConfig) -> LangModel:
-    """Fit the hierarchy on labelled features: (language, packed float32 vector)."""
-    langs = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, bytes, int]], config: LangConfig) -> LangModel:
+    """Fit the hierarchy on labelled features: (language, packed float32 vector, bytes of text)."""
+    langs = sorted({lang for lang, *_ in rows})
     families: dict[str, list[str]] = {}
     for lang in langs:
         families.setdefault(family_of(lang), []).append(lang)
     model = LangModel(config, langs, dict(sorted(families.items())))
     if not rows:
         return model
-    label = np.array([lang for lang, _ in rows])
-    x = np.stack([np.frombuffer(v, np.float32) for _, v in rows])
+    label = np.array([lang for lang, *_ in rows])
+    x = np.stack([np.frombuffer(v, np.float32) for _, v, _ in rows])
+    for lang in langs:
+        centre = x[label == lang].mean(0)
+        model.centres[lang] = centre / (np.linalg.norm(centre) or 1.0)
+    like = np.einsum("ij,ij->i", x, np.stack([model.centres[lang] for lang in label]))
+    band = np.searchsorted(BANDS, [size for *_, size in rows], "right")
+    lowest = np.array([like[band == b].min(initial=1.0) for b in range(len(BANDS) + 1)])
+    # longer texts are no less like their language; a band without labelled texts takes what the next longer ones have, the last none
+    model.least = np.minimum.accumulate(np.where(lowest == 1.0, np.inf, lowest)[::-1])[::-1]
+    model.least[np.isinf(model.least)] = 0.0
     group = np.array([family_of(lang) for lang in label])
     if len(families) > 1:
         model.by_family = np.stack([fit_svm(x, np.where(group == f, 1.0, -1.0), config.steps, config.penalty) for f in model.families])
@@ -147,7 +175,8 @@ def _vectors(config: LangConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([features(t).tobytes() for t in raw(batch)], pa.binary())], ["lang", "x"])
+            size = [len(t) for t in raw(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([features(t).tobytes() for t in raw(batch)], pa.binary()), pa.array(size, pa.int64())], ["lang", "x", "size"])
 
     return run
 
@@ -164,13 +193,16 @@ def _scores(model: LangModel):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, accepted = [], [], []
             for text in raw(batch):
                 known = bool(text) and bool(model.langs) and has_letter(text)
-                lang, score = model.predict(features(text)) if known else (UNKNOWN, 0.0)
+                x = features(text) if known else None
+                lang, score = model.predict(x) if known else (UNKNOWN, 0.0)
                 langs.append(lang)
                 scores.append(min(1.0, max(0.0, score)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                accepted.append(known and model.accepts(x, len(text), lang))
+            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "accepted"])
 
     return run
 
@@ -178,28 +210,32 @@ def _scores(model: LangModel):
 def train(documents: DataFrame, learn_from: Column, config: LangConfig = LangConfig()) -> LangModel:
     """Fit on at most ``per_language`` documents of each language among ``learn_from``.
 
-    Those with the smallest hashed ids are taken, the same on every run.  Null
+    Those with the smallest hashed ids are taken, the same on every run, first
+    inside shares of each language, so that no task ranks a whole language.  Null
     texts and null languages teach nothing; without any labelled text the model
     knows no language and names every text ``und``.
     """
     rows = documents.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null and text <> ''")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= config.per_language).select("doc_id").distinct()
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(share)).where(F.col("at") <= config.per_language)
+    chosen = chosen.withColumn("at", F.row_number().over(order)).where(F.col("at") <= config.per_language).select("doc_id").distinct()
     # bounded by per_language times the languages, so it may be broadcast; the cap holds against repeated ids
     picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("at", F.row_number().over(order)).where(F.col("at") <= config.per_language)
-    vectors = picked.select("lang", "text").mapInArrow(_vectors(config), "lang string, x binary").collect()
-    return fit(sorted((r.lang, bytes(r.x)) for r in vectors), config)
+    vectors = picked.select("lang", "text").mapInArrow(_vectors(config), "lang string, x binary, size long").collect()
+    return fit(sorted((r.lang, bytes(r.x), r["size"]) for r in vectors), config)
 
 
 def predict(documents: DataFrame, model: LangModel) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every row.
+    """doc_id, lang_pred, score (0 to 1) and accepted of every row.
 
-    A null, empty or letterless text is ``und`` with score 0.  Repeated rows and
+    A null, empty or letterless text is ``und`` with score 0 and not accepted; nor
+    is one that is less like its predicted language than labelled texts are.  Repeated rows and
     null ids are scored like any other; only doc_id and text are read.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scores(model), "doc_id long, lang_pred string, score double")
+    return source.mapInArrow(_scores(model), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,30 +243,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def drop_unidentified(documents: DataFrame, least: float = 0.0, config: LangConfig = LangConfig()) -> DataFrame:
-    """Documents in a learned language with a score above ``least``, with all their columns.
+def drop_unidentified(documents: DataFrame, config: LangConfig = LangConfig()) -> DataFrame:
+    """Documents that the model accepts as texts of a learned language, with all their columns.
 
-    Where no labelled document is left to learn from, nothing can be judged and all rows stay.
+    Texts that are null, empty, without letters or unlike their predicted
+    language go.  Where no labelled document is left to learn from, nothing can
+    be judged and all rows stay.
     """
     model = train(documents, ~held_out(F.col("doc_id")), config)
     if not model.langs:
         return documents
-    score = _score_column(model)
-    return documents.where(score(F.col("text").cast("string")) > least)
+    accepted = _accepted(model)
+    return documents.where(accepted(F.col("text").cast("string")))
 
 
-def _score_column(model: LangModel):
-    """Score of a text column as a vectorised function, so that all other columns stay as they are."""
+def _accepted(model: LangModel):
+    """Acceptance of a text column as a vectorised function, so that all other columns stay as they are."""
     features = Features(model.config.dims)
 
-    @F.pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202
+    @F.pandas_udf("boolean")
+    def accepted(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        def one(value) -> float:
+        def one(value) -> bool:
             data = value.encode("utf-8", "replace") if isinstance(value, str) else b""
-            return model.predict(features(data))[1] if data and has_letter(data) else 0.0
+            if not data or not has_letter(data):
+                return False
+            x = features(data)
+            return model.accepts(x, len(data), model.predict(x)[0])
 
-        return pd.Series([one(v) for v in text], dtype="float64")
+        return pd.Series([one(v) for v in text], dtype="bool")
 
-    return score
+    return accepted
