@@ -375,11 +375,11 @@ def _(spark, d):
     return J.as_of(daily(spark, d), bars, ["symbol"], "end_ts", "ts", ["next_open", "next_ts"], forward=True).select("symbol", secs("end_ts"), "next_open", "next_ts")
 
 
-@query("j06_range_join_excursion", f"""{POS}, t AS (SELECT symbol, ts AS entry, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS exit, close AS price, pos FROM x QUALIFY pos % 10 = 0)
+@query("j06_range_join_excursion", f"""{POS}, t AS (SELECT symbol, ts AS entry, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS exit, close AS price, pos FROM x)
 SELECT t.symbol, epoch(t.entry)::BIGINT AS ts, round(max(b.high) - any_value(t.price), 6) AS mfe, round(any_value(t.price) - min(b.low), 6) AS mae, count(*) AS n
 FROM t JOIN bars b ON t.symbol = b.symbol AND b.ts BETWEEN t.entry AND t.exit GROUP BY t.symbol, t.entry""")
 def _(spark, d):
-    trades = placed(spark, d).select("symbol", F.col("ts").alias("entry"), F.lead("ts", 5).over(V.in_time()).alias("exit"), F.col("close").alias("price"), "pos").where("pos % 10 = 0 and exit is not null").drop("pos")
+    trades = placed(spark, d).select("symbol", F.col("ts").alias("entry"), F.lead("ts", 5).over(V.in_time()).alias("exit"), F.col("close").alias("price"), "pos").where("exit is not null").drop("pos")
     met = J.in_range(trades, hourly(spark, d), ["symbol"], "entry", "exit", "ts", 6 * 3600)
     out = met.groupBy("symbol", "entry").agg(r6(F.max("high") - F.first("price"), "mfe"), r6(F.first("price") - F.min("low"), "mae"), F.count("*").alias("n"))
     return out.select("symbol", secs("entry"), "mfe", "mae", "n")

@@ -103,78 +103,100 @@ def _(spark, d):
     return S.prior_fold_percentile(rows, "p", "fold", "symbol").select("symbol", F.col("pos").cast("long").alias("pos"), r6("percentile", "percentile"))
 
 
-_RV = f"""{POS}, g AS (SELECT symbol, pos, et, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) + 0.01 AS v FROM x),
-rv AS (SELECT *, ln(v) AS y, ln(lag(v) OVER w) AS x1, ln(avg(v) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS x2, hour(et) AS slot FROM g WINDOW w AS (PARTITION BY symbol ORDER BY pos))"""
+_RV = f"""{POS}, g AS (SELECT symbol, pos, ts, et, close, CASE WHEN low > 0 AND open > 0 AND close > 0 THEN 0.5 * pow(ln(high) - ln(low), 2) - (2 * ln(2) - 1) * pow(ln(close) - ln(open), 2) END AS v FROM x),
+lg AS (SELECT *, lag(v) OVER w AS v1, avg(v) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS v6 FROM g WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+al AS (SELECT *, CASE WHEN v > 0 THEN ln(v) END AS y, CASE WHEN v1 > 0 THEN ln(v1) END AS x1, CASE WHEN v6 > 0 THEN ln(v6) END AS x2, hour(et) AS slot FROM lg),
+rv AS (SELECT * FROM al WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"""
 
 
 def variance(spark, d):
-    frame = placed(spark, d).withColumn("v", C.garman_klass() + 0.01)
-    return frame.withColumn("y", F.ln("v")).withColumn("x1", F.ln(F.lag("v").over(in_time()))).withColumn("x2", F.ln(F.avg("v").over(V.rows(-6, -1)))).withColumn("slot", F.hour(eastern(F.col("ts"))))
+    """Garman-Klass variance of each bar, its log and those of the last bar's and the last six's; null where not positive."""
+    ln = lambda c: F.when(c > 0, F.ln(c))
+    frame = placed(spark, d).withColumn("v", C.garman_klass())
+    return frame.withColumn("y", ln(F.col("v"))).withColumn("x1", ln(F.lag("v").over(in_time()))).withColumn("x2", ln(F.avg("v").over(V.rows(-6, -1)))).withColumn("slot", F.hour(eastern(F.col("ts"))))
 
 
-@query("x12_garman_klass", f"{_RV} SELECT symbol, pos, round(v, 6) AS v FROM rv")
+def logs(spark, d):
+    """Bars whose log variance and both forecasts of it are known."""
+    return variance(spark, d).where("y is not null and x1 is not null and x2 is not null")
+
+
+def steady(column, name: str):
+    """Rounded to about nine digits, so that the order of sums does not show."""
+    size = F.abs(column)
+    return F.when(size < 1e3, F.round(column, 5)).when(size < 1e7, F.round(column, 1)).otherwise(F.round(column, -4)).alias(name)
+
+
+def _steady(expression: str, name: str) -> str:
+    return f"CASE WHEN abs({expression}) < 1e3 THEN round({expression}, 5) WHEN abs({expression}) < 1e7 THEN round({expression}, 1) ELSE round({expression}, -4) END AS {name}"
+
+
+_Q1, _Q2 = "avg(v / exp(x1) - ln(v / exp(x1)) - 1)", "avg(v / exp(x2) - ln(v / exp(x2)) - 1)"
+
+
+@query("x12_garman_klass", f"{_RV} SELECT symbol, pos, round(v, 6) AS v FROM al")
 def _(spark, d):
     return variance(spark, d).select("symbol", F.col("pos").cast("long").alias("pos"), r6("v", "v"))
 
 
-@query("st13_qlike", f"{_RV} SELECT symbol, round(avg(v / exp(x1) - ln(v / exp(x1)) - 1), 5) AS persistence, round(avg(v / exp(x2) - ln(v / exp(x2)) - 1), 5) AS trailing FROM rv WHERE x1 IS NOT NULL GROUP BY symbol")
+@query("st13_qlike", f"{_RV} SELECT symbol, {_steady(_Q1, 'persistence')}, {_steady(_Q2, 'trailing')} FROM rv GROUP BY symbol")
 def _(spark, d):
-    rows = variance(spark, d).where("x1 is not null")
-    score = lambda x, n: F.round(F.avg(C.qlike(F.col("v"), F.exp(x))), 5).alias(n)
+    rows = logs(spark, d)
+    score = lambda x, n: steady(F.avg(C.qlike(F.col("v"), F.exp(x))), n)
     return rows.groupBy("symbol").agg(score("x1", "persistence"), score("x2", "trailing"))
 
 
 @query("st17_mincer_zarnowitz", f"{_RV} SELECT symbol, round(regr_slope(y, x2), 6) AS slope, round(regr_intercept(y, x2), 6) AS intercept, round(regr_r2(y, x2), 6) AS r2 FROM rv GROUP BY symbol")
 def _(spark, d):
-    return variance(spark, d).groupBy("symbol").agg(r6(F.regr_slope("y", "x2"), "slope"), r6(F.regr_intercept("y", "x2"), "intercept"), r6(F.regr_r2("y", "x2"), "r2"))
+    return logs(spark, d).groupBy("symbol").agg(r6(F.regr_slope("y", "x2"), "slope"), r6(F.regr_intercept("y", "x2"), "intercept"), r6(F.regr_r2("y", "x2"), "r2"))
 
 
-@query("st15_r2_and_log_errors", f"{_RV} SELECT symbol, round(avg(pow(y - x2, 2)), 6) AS mse, round(avg(abs(y - x2)), 6) AS mae, round(1 - sum(pow(y - x2, 2)) / (var_pop(y) * count(*)), 6) AS r2 FROM rv WHERE x2 IS NOT NULL GROUP BY symbol")
+@query("st15_r2_and_log_errors", f"{_RV} SELECT symbol, round(avg(pow(y - x2, 2)), 6) AS mse, round(avg(abs(y - x2)), 6) AS mae, round(1 - sum(pow(y - x2, 2)) / nullif(var_pop(y) * count(*), 0), 6) AS r2 FROM rv GROUP BY symbol")
 def _(spark, d):
     off = F.col("y") - F.col("x2")
-    rows = variance(spark, d).where("x2 is not null")
-    return rows.groupBy("symbol").agg(r6(F.avg(F.pow(off, 2)), "mse"), r6(F.avg(F.abs(off)), "mae"), r6(1 - F.sum(F.pow(off, 2)) / (F.var_pop("y") * F.count("*")), "r2"))
+    rows = logs(spark, d)
+    return rows.groupBy("symbol").agg(r6(F.avg(F.pow(off, 2)), "mse"), r6(F.avg(F.abs(off)), "mae"), r6(1 - F.try_divide(F.sum(F.pow(off, 2)), F.var_pop("y") * F.count("*")), "r2"))
 
 
-@query("ml08_har_coefficients", f"""{_RV}, s AS (SELECT symbol, var_pop(x1) AS a, covar_pop(x1, x2) AS b, var_pop(x2) AS c, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM rv WHERE x1 IS NOT NULL GROUP BY symbol),
-b AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS b1, (q * a - p * b) / (a * c - b * b) AS b2 FROM s) SELECT symbol, round(my - b1 * m1 - b2 * m2, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2 FROM b""")
+@query("ml08_har_coefficients", f"""{_RV}, s AS (SELECT symbol, var_pop(x1) AS a, covar_pop(x1, x2) AS b, var_pop(x2) AS c, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM rv GROUP BY symbol),
+b AS (SELECT *, CASE WHEN a * c - b * b > 1e-9 * a * c THEN (p * c - q * b) / (a * c - b * b) END AS b1, CASE WHEN a * c - b * b > 1e-9 * a * c THEN (q * a - p * b) / (a * c - b * b) END AS b2 FROM s) SELECT symbol, round(my - b1 * m1 - b2 * m2, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2 FROM b""")
 def _(spark, d):
-    table = M.gram(variance(spark, d), ["x1", "x2"], "y", ["symbol"])
-    beta = M.linear(["x1", "x2"], table, ["symbol"], 0.0, spark)
+    table = M.gram(logs(spark, d), ["x1", "x2"], "y", ["symbol"])
+    beta = M.linear(["x1", "x2"], table, ["symbol"], [0.0])
     return beta.select("symbol", *(F.round(F.col("beta")[i], 5).alias(f"b{i}") for i in range(3)))
 
 
 @query("ml09_climatology", f"{_RV}, s AS (SELECT symbol, slot, avg(y) AS m FROM rv GROUP BY ALL) SELECT s.symbol, slot, round(m, 6) AS slot_mean, round(o.am, 6) AS all_mean FROM s JOIN (SELECT symbol, avg(y) AS am FROM rv GROUP BY symbol) o USING (symbol)")
 def _(spark, d):
-    return M.climatology(variance(spark, d), ["symbol"], "slot", "y").select("symbol", F.col("slot").cast("long").alias("slot"), r6("slot_mean", "slot_mean"), r6("all_mean", "all_mean"))
+    return M.climatology(logs(spark, d), ["symbol"], "slot", "y").select("symbol", F.col("slot").cast("long").alias("slot"), r6("slot_mean", "slot_mean"), r6("all_mean", "all_mean"))
 
 
-@query("ml11_smearing_factor", f"{_RV} SELECT symbol, round(avg(exp(y - x2)), 5) AS smear FROM rv WHERE x2 IS NOT NULL GROUP BY symbol")
+@query("ml11_smearing_factor", f"{_RV} SELECT symbol, {_steady('avg(exp(y - x2))', 'smear')} FROM rv GROUP BY symbol")
 def _(spark, d):
-    return M.smearing(variance(spark, d).where("x2 is not null"), "y", "x2", ["symbol"]).select("symbol", F.round("smear", 5).alias("smear"))
+    return M.smearing(logs(spark, d), "y", "x2", ["symbol"]).select("symbol", steady(F.col("smear"), "smear"))
 
 
-@query("ml12_baseline_selection", f"""{_RV}, s AS (SELECT symbol, round(avg(v / exp(x1) - ln(v / exp(x1)) - 1), 5) AS a, round(avg(v / exp(x2) - ln(v / exp(x2)) - 1), 5) AS b FROM rv WHERE x1 IS NOT NULL GROUP BY symbol) SELECT symbol, CASE WHEN a <= b THEN 'persistence' ELSE 'trailing' END AS chosen FROM s""")
+@query("ml12_baseline_selection", f"""{_RV}, s AS (SELECT symbol, round(avg(v / exp(x1) - ln(v / exp(x1)) - 1), 5) AS a, round(avg(v / exp(x2) - ln(v / exp(x2)) - 1), 5) AS b FROM rv GROUP BY symbol) SELECT symbol, CASE WHEN a <= b THEN 'persistence' ELSE 'trailing' END AS chosen FROM s""")
 def _(spark, d):
     score = lambda x: F.round(F.avg(C.qlike(F.col("v"), F.exp(x))), 5)
-    both = variance(spark, d).where("x1 is not null").groupBy("symbol").agg(score("x1").alias("a"), score("x2").alias("b"))
+    both = logs(spark, d).groupBy("symbol").agg(score("x1").alias("a"), score("x2").alias("b"))
     return both.select("symbol", F.when(F.col("a") <= F.col("b"), "persistence").otherwise("trailing").alias("chosen"))
 
 
 @query("g29_regime_terciles", f"{_RV}, e AS (SELECT symbol, quantile_cont(v, 1 / 3.0) AS a, quantile_cont(v, 2 / 3.0) AS b FROM rv GROUP BY symbol) SELECT symbol, CASE WHEN v <= a THEN 'low' WHEN v <= b THEN 'mid' ELSE 'high' END AS regime, count(*) AS n, round(avg(y), 6) AS mean, round(avg(y) / nullif(stddev_samp(y) / sqrt(count(*)), 0), 5) AS t FROM rv JOIN e USING (symbol) GROUP BY ALL")
 def _(spark, d):
-    rows = variance(spark, d)
+    rows = logs(spark, d)
     edges = rows.groupBy("symbol").agg(F.percentile("v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("e"))
     regime = F.when(F.col("v") <= F.col("e")[0], "low").when(F.col("v") <= F.col("e")[1], "mid").otherwise("high")
     out = rows.join(edges, "symbol").withColumn("regime", regime).groupBy("symbol", "regime")
     return out.agg(F.count("*").alias("n"), r6(F.avg("y"), "mean"), F.round(F.try_divide(F.avg("y"), F.stddev_samp("y") / F.sqrt(F.count("*"))), 5).alias("t"))
 
 
-@query("g27_daily_paired_improvement", f"{_RV} SELECT symbol, et::DATE::VARCHAR AS day, round(avg(v / exp(x1) - ln(v / exp(x1)) - 1) - avg(v / exp(x2) - ln(v / exp(x2)) - 1), 5) AS gain FROM rv WHERE x1 IS NOT NULL GROUP BY symbol, et::DATE")
+@query("g27_daily_paired_improvement", f"{_RV} SELECT symbol, et::DATE::VARCHAR AS day, {_steady(f'({_Q1} - {_Q2})', 'gain')} FROM rv GROUP BY symbol, et::DATE")
 def _(spark, d):
-    rows = variance(spark, d).where("x1 is not null").withColumn("day", F.to_date(eastern(F.col("ts"))).cast("string"))
+    rows = logs(spark, d).withColumn("day", F.to_date(eastern(F.col("ts"))).cast("string"))
     score = lambda x: F.avg(C.qlike(F.col("v"), F.exp(x)))
-    return rows.groupBy("symbol", "day").agg(F.round(score("x1") - score("x2"), 5).alias("gain"))
+    return rows.groupBy("symbol", "day").agg(steady(score("x1") - score("x2"), "gain"))
 
 
 @query("x10_expected_value", f"{_P} SELECT symbol, pos, round(0.5 * (p * 1.5 - (0.8 - p * 0.5) * 1.5 + (1 - p - (0.8 - p * 0.5)) * 0.1) - 1.2, 6) AS ev FROM pr")
@@ -212,17 +234,18 @@ def _(spark, d):
 
 @query("ml13_ridge_walk_forward")
 def _(spark, d):
-    rows = M.numbered(variance(spark, d).where("x1 is not null"), "pos", "symbol").withColumn("fold", M.even_fold(4))
-    pairs = M.purged_pairs(rows.withColumn("entry_pos", F.col("pos")).withColumn("exit_pos", F.col("pos") + 1), "symbol", 4, 6)
-    beta = M.linear(["x1", "x2"], M.gram(pairs, ["x1", "x2"], "y", ["symbol", "test_fold"]), ["symbol", "test_fold"], 1.0, spark)
-    test = rows.join(beta.withColumnRenamed("test_fold", "fold"), ["symbol", "fold"]).withColumn("mu", M.predicted(["x1", "x2"]))
-    return test.groupBy("symbol", "fold").agg(F.count("*").alias("n"), r6(F.avg(C.qlike(F.col("v"), F.exp("mu"))), "qlike"), r6(F.avg(F.pow(F.col("y") - F.col("mu"), 2)), "mse"))
+    test = M.ridge_walk_forward(logs(spark, d), ["x1", "x2"], "y", "v", "symbol", "pos")
+    loss, base = F.avg(C.qlike(F.col("v"), F.col("forecast"))), F.avg(C.qlike(F.col("v"), F.exp("x2")))
+    return test.groupBy("symbol", "fold", "alpha").agg(F.count("*").alias("n"), steady(F.first("smear"), "smear"), steady(loss, "qlike"), steady(base, "baseline"))
 
 
 @query("ml02_multinomial_walk_forward")
 def _(spark, d):
-    frame = variance(spark, d).where("x1 is not null").withColumn("label", F.when(F.lead("close").over(in_time()) > F.col("close"), 2).when(F.lead("close").over(in_time()) < F.col("close"), 0).otherwise(1))
-    return M.multinomial(frame, ["x1", "x2"], "label", [0, 1, 2], "symbol").select("key", "class", *(r6(F.col("beta")[i], f"b{i}") for i in range(3)))
+    nxt = F.lead("close").over(in_time())
+    frame = logs(spark, d).withColumn("label", F.when(nxt > F.col("close"), 2).when(nxt < F.col("close"), 0).when(nxt.isNotNull(), 1))
+    test = M.multinomial_walk_forward(frame, ["x1", "x2"], "label", [0, 1, 2], "symbol", "pos")
+    own = lambda c: C.neg_log_likelihood(F.element_at(c, F.col("label") + 1))
+    return test.groupBy("symbol", F.col("test_fold").alias("fold")).agg(F.count("*").alias("n"), r6(F.avg(own("proba")), "model"), r6(F.avg(own("prior")), "prior"))
 
 
 @query("st10_deflated_sharpe")
@@ -230,6 +253,4 @@ def _(spark, d):
     from barspark.catalog.trades import trades
 
     daily = trades(spark, d).groupBy("symbol", "day").agg(F.sum("pnl").alias("pnl"))
-    rows = daily.groupBy("symbol").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"), F.count("*").alias("n"), F.skewness("pnl").alias("sk"), F.kurtosis("pnl").alias("ku")).collect()
-    out = [(r.symbol, round(S.deflated_sharpe(r.m / r.s if r.s else 0.0, r.n, r.sk or 0.0, (r.ku or 0.0) + 3, 6, 0.1), 6)) for r in rows]
-    return spark.createDataFrame(out, "symbol string, p double")
+    return S.deflated_sharpes(daily, "symbol", trials=6, spread=0.1).select("symbol", r6("p", "p"))

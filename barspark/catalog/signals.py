@@ -48,7 +48,7 @@ _PIVOTS = f"""{POS}, fr AS (
 ), pv AS (SELECT symbol, pos, 1 AS kind, high AS price FROM fr WHERE top UNION ALL SELECT symbol, pos, -1, low FROM fr WHERE bottom)"""
 _POOLS = f"""{_PIVOTS}, hit AS (
   SELECT p.symbol, p.pos, p.kind, min(b.pos) AS hit_pos, arg_min(b.close, b.pos) AS hit_close, arg_min(CASE WHEN p.kind = 1 THEN b.high ELSE b.low END, b.pos) AS extreme
-  FROM pv p JOIN x b ON b.symbol = p.symbol AND b.pos > p.pos + 2 AND b.pos <= p.pos + 202 AND CASE WHEN p.kind = 1 THEN b.high > p.price ELSE b.low < p.price END GROUP BY ALL
+  FROM pv p JOIN x b ON b.symbol = p.symbol AND b.pos > p.pos + 2 AND CASE WHEN p.kind = 1 THEN b.high > p.price ELSE b.low < p.price END GROUP BY ALL
 ), pool AS (SELECT pv.*, hit_pos, hit_close, extreme, coalesce(CASE WHEN pv.kind = 1 THEN hit_close < price ELSE hit_close > price END, false) AS swept FROM pv LEFT JOIN hit USING (symbol, pos, kind))"""
 
 
@@ -83,7 +83,7 @@ def _(spark, d):
 
 
 @query("d18_structure_shifts", f"""{_POOLS}, f AS (SELECT q.symbol, q.pos, q.kind, q.hit_pos, max(v.pos) AS ref_pos, arg_max(v.price, v.pos) AS ref_price FROM pool q JOIN pv v ON v.symbol = q.symbol AND v.kind = -q.kind AND v.pos < q.hit_pos WHERE q.swept GROUP BY ALL)
-SELECT f.symbol, f.pos, f.kind, f.ref_pos, min(b.pos) AS mss_pos FROM f LEFT JOIN x b ON b.symbol = f.symbol AND b.pos > f.hit_pos AND b.pos <= f.hit_pos + 50 AND CASE WHEN f.kind = 1 THEN b.close < f.ref_price ELSE b.close > f.ref_price END GROUP BY ALL""")
+SELECT f.symbol, f.pos, f.kind, f.ref_pos, min(b.pos) AS mss_pos FROM f LEFT JOIN x b ON b.symbol = f.symbol AND b.pos > f.hit_pos AND CASE WHEN f.kind = 1 THEN b.close < f.ref_price ELSE b.close > f.ref_price END GROUP BY ALL""")
 def _(spark, d):
     bars = placed(spark, d)
     found = D.pivots(bars)
@@ -94,7 +94,7 @@ def _(spark, d):
 @query("d19_fair_value_gaps", f"""{POS}, g AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0 FROM x WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
 f AS (SELECT symbol, pos, CASE WHEN low > h0 THEN 1 ELSE -1 END AS side, CASE WHEN low > h0 THEN h0 ELSE high END AS bottom, CASE WHEN low > h0 THEN low ELSE l0 END AS top FROM g WHERE low > h0 OR high < l0)
 SELECT f.symbol, f.pos, f.side, f.bottom, f.top, min(b.pos) FILTER (WHERE CASE WHEN side = 1 THEN b.low <= top ELSE b.high >= bottom END) AS touch_pos, min(b.pos) FILTER (WHERE CASE WHEN side = 1 THEN b.low <= bottom ELSE b.high >= top END) AS fill_pos
-FROM f LEFT JOIN x b ON b.symbol = f.symbol AND b.pos > f.pos AND b.pos <= f.pos + 50 GROUP BY ALL""")
+FROM f LEFT JOIN x b ON b.symbol = f.symbol AND b.pos > f.pos GROUP BY ALL""")
 def _(spark, d):
     return D.gaps(placed(spark, d)).select("symbol", F.col("pos").cast("long").alias("pos"), "side", "bottom", "top", F.col("touch_pos").cast("long").alias("touch_pos"), F.col("fill_pos").cast("long").alias("fill_pos"))
 
@@ -159,11 +159,11 @@ def _(spark, d):
     return D.segments(daily, D.rolls(daily)).groupBy("symbol", F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("days"))
 
 
-_ENTRIES = f"{ATR}, e AS (SELECT symbol || ':' || pos AS id, symbol, pos, close > open AS is_long, close AS price, CASE WHEN close > open THEN close - 1.5 * atr ELSE close + 1.5 * atr END AS stop FROM z WHERE pos % 5 = 0 AND atr > 0 AND close <> open)"
+_ENTRIES = f"{ATR}, e AS (SELECT symbol || ':' || pos AS id, symbol, pos, close > open AS is_long, close AS price, CASE WHEN close > open THEN close - 1.5 * atr ELSE close + 1.5 * atr END AS stop FROM z WHERE atr > 0 AND close <> open)"
 
 
 def entries(spark, d):
-    frame = with_atr(spark, d).where("pos % 5 = 0 and atr > 0 and close <> open")
+    frame = with_atr(spark, d).where("atr > 0 and close <> open")
     long = F.col("close") > F.col("open")
     return frame, frame.select(F.concat_ws(":", "symbol", "pos").alias("id"), "symbol", "pos", long.alias("is_long"), F.col("close").alias("price"), F.when(long, F.col("close") - 1.5 * F.col("atr")).otherwise(F.col("close") + 1.5 * F.col("atr")).alias("stop"))
 
@@ -259,7 +259,7 @@ def _(spark, d):
 @query("p33_channel_overlay")
 def _(spark, d):
     frame = with_atr(spark, d)
-    marks = frame.withColumn("direction", F.when((F.col("pos") % 7 == 0) & (F.col("close") != F.col("open")), F.signum(F.col("close") - F.col("open"))))
+    marks = frame.withColumn("direction", F.when(F.col("close") != F.col("open"), F.signum(F.col("close") - F.col("open"))))
     return P.channel(marks, k=2.0, m=3.0, slip=0.05)
 
 

@@ -15,7 +15,7 @@ from barspark.plans import stats as S
 _TR = f"""{POS}, tr AS (
   SELECT symbol, pos, epoch(ts)::BIGINT AS entry, epoch(lead(ts, 4) OVER w)::BIGINT AS exit, lead(close, 4) OVER w - close AS pnl, (lead(close, 4) OVER w - close) / 50.0 AS r,
     CASE WHEN hour(et) < 8 THEN 'night' WHEN hour(et) < 16 THEN 'day' END AS setup, CASE WHEN close > open THEN 'long' ELSE 'short' END AS side, et::DATE AS day
-  FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY pos % 3 = 0 AND lead(ts, 4) OVER w IS NOT NULL
+  FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY lead(ts, 4) OVER w IS NOT NULL
 )"""
 
 
@@ -27,7 +27,7 @@ def trades(spark, d):
         "symbol", "pos", seconds(F.col("ts")).alias("entry"), seconds(F.lead("ts", 4).over(in_time())).alias("exit"), pnl.alias("pnl"), (pnl / 50.0).alias("r"),
         F.when(F.hour("et") < 8, "night").when(F.hour("et") < 16, "day").alias("setup"), F.when(F.col("close") > F.col("open"), "long").otherwise("short").alias("side"), F.to_date("et").alias("day"),
     )
-    return out.where("pos % 3 = 0 and exit is not null")
+    return out.where("exit is not null")
 
 
 _SUMMARY = """count(*) AS n, round(avg((pnl > 0)::INT), 6) AS win_rate, round(avg(r), 6) AS avg_r,
@@ -116,12 +116,12 @@ def _(spark, d):
     return trades(spark, d).groupBy("symbol", F.col("day").cast("string").alias("day")).agg(r6(F.sum("pnl"), "pnl"), r6(F.sum("r"), "r"))
 
 
-@query("j12_calendar_fill", f"""{_TR}, c AS (SELECT DISTINCT day FROM tr), k AS (SELECT DISTINCT symbol FROM tr), g AS (SELECT symbol, day, sum(pnl) AS pnl FROM tr WHERE side = 'long' GROUP BY ALL)
-SELECT k.symbol, c.day::VARCHAR AS day, round(coalesce(pnl, 0), 6) AS pnl FROM k CROSS JOIN c LEFT JOIN g ON g.symbol = k.symbol AND g.day = c.day""")
+@query("j12_calendar_fill", f"""{_TR}, k AS (SELECT symbol, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM tr GROUP BY symbol), g AS (SELECT symbol, day, sum(pnl) AS pnl FROM tr WHERE side = 'long' GROUP BY ALL)
+SELECT k.symbol, k.day::VARCHAR AS day, round(coalesce(pnl, 0), 6) AS pnl FROM k LEFT JOIN g ON g.symbol = k.symbol AND g.day = k.day""")
 def _(spark, d):
     rows = trades(spark, d)
-    # every symbol on every day: two small key lists
-    grid = rows.select("symbol").distinct().withColumn("days", F.lit(None)).drop("days").join(rows.select("day").distinct(), how="cross")
+    # every calendar day from a symbol's first to its last
+    grid = rows.groupBy("symbol").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     sums = rows.where("side = 'long'").groupBy("symbol", "day").agg(F.sum("pnl").alias("pnl"))
     return grid.join(sums, ["symbol", "day"], "left").select("symbol", F.col("day").cast("string").alias("day"), r6(F.coalesce("pnl", F.lit(0.0)), "pnl"))
 

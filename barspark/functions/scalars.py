@@ -82,11 +82,15 @@ def percentile_bucket(p: Column, names: list[str]) -> Column:
 
 
 def garman_klass() -> Column:
-    return 0.5 * F.pow(F.ln(_c("high") / _c("low")), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(_c("close") / _c("open")), 2)
+    """Variance of a bar from its range and body; null where a price is not positive."""
+    ratio = lambda a, b: F.ln(_c(a)) - F.ln(_c(b))
+    value = 0.5 * F.pow(ratio("high", "low"), 2) - (2 * math.log(2) - 1) * F.pow(ratio("close", "open"), 2)
+    return F.when((_c("low") > 0) & (_c("open") > 0) & (_c("close") > 0), value)
 
 
 def qlike(actual: Column, forecast: Column) -> Column:
-    ratio = actual / forecast
+    """Loss of a variance forecast; null unless both are positive."""
+    ratio = F.when((actual > 0) & (forecast > 0), actual / forecast)
     return ratio - F.ln(ratio) - 1
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, columns: list[str], forward: bool = False, prefix: str = "") -> DataFrame:
-    """For each left row the last right row at or before it (``forward``: the first at or after it).
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, columns: list[str], forward: bool = False, prefix: str = "", strict: bool = False) -> DataFrame:
+    """For each left row the last right row at or before it (``forward``: the first at or after it; ``strict``: not at it).
 
     Both sides are laid into one time line per key and the right side's values
     are carried along it: one exchange and one sort, whatever the match rate.
@@ -15,9 +15,9 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_
     """
     values = F.struct(*columns)
     kind = right.select(values.alias("v")).schema["v"].dataType
-    a = left.select(*by, F.col(left_ts).alias("t_"), F.lit(1 if not forward else 0).alias("side_"), F.struct("*").alias("row_"), F.lit(None).cast(kind).alias("v_"))
+    a = left.select(*by, F.col(left_ts).alias("t_"), F.lit(int(forward == strict)).alias("side_"), F.struct("*").alias("row_"), F.lit(None).cast(kind).alias("v_"))
     row = a.schema["row_"].dataType
-    b = right.select(*by, F.col(right_ts).alias("t_"), F.lit(0 if not forward else 1).alias("side_"), F.lit(None).cast(row).alias("row_"), values.alias("v_"))
+    b = right.select(*by, F.col(right_ts).alias("t_"), F.lit(int(forward != strict)).alias("side_"), F.lit(None).cast(row).alias("row_"), values.alias("v_"))
     line = Window.partitionBy(*by).orderBy("t_", "side_")
     if forward:
         carried = F.first("v_", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from barspark.functions.session import third_friday
 from barspark.operators import windows as V
+from barspark.operators.firsthit import first_beyond
 from barspark.operators.joins import as_of
 
+
 def pivots(bars: DataFrame, width: int = 2) -> DataFrame:
     """One row per fractal pivot: symbol, pos, ts, kind (1 high, -1 low), price, confirm_pos."""
     marked = bars.withColumn("h_", V.fractal("high", True, width)).withColumn("l_", V.fractal("low", False, width))
@@ -28,13 +30,11 @@ def skeleton(found: DataFrame) -> DataFrame:
     return legs.withColumn("dominant", beyond(F.lag("price").over(same)) & beyond(F.lead("price").over(same)))
 
 
-def pools(found: DataFrame, bars: DataFrame, horizon: int = 200) -> DataFrame:
-    """First bar after a pivot's confirmation whose wick passes its level, within ``horizon`` bars; ``swept`` if it closed back."""
-    ahead = found.withColumn("at", F.explode(F.sequence(F.col("confirm_pos") + 1, F.col("confirm_pos") + horizon)))
-    bar = bars.select("symbol", F.col("pos").alias("at"), "high", "low", "close")
-    through = F.when(F.col("kind") == 1, F.col("high") > F.col("price")).otherwise(F.col("low") < F.col("price"))
-    first = ahead.join(bar, ["symbol", "at"]).where(through).groupBy("symbol", "pos", "kind").agg(F.min("at").alias("hit_pos"), F.min_by("close", "at").alias("hit_close"), F.min_by(F.when(F.col("kind") == 1, F.col("high")).otherwise(F.col("low")), "at").alias("extreme"))
-    out = found.join(first, ["symbol", "pos", "kind"], "left")
+def pools(found: DataFrame, bars: DataFrame) -> DataFrame:
+    """First bar after a pivot's confirmation whose wick passes its level; ``swept`` if it closed back."""
+    points = found.withColumn("side", F.col("kind")).withColumn("level", F.col("price"))
+    out = first_beyond(points, bars, "confirm_pos", carry=("close", "high", "low")).drop("side", "level")
+    out = out.withColumn("extreme", F.when(F.col("kind") == 1, F.col("hit_high")).otherwise(F.col("hit_low"))).drop("hit_high", "hit_low")
     return out.withColumn("swept", F.coalesce(F.when(F.col("kind") == 1, F.col("hit_close") < F.col("price")).otherwise(F.col("hit_close") > F.col("price")), F.lit(False)))
 
 
@@ -46,29 +46,30 @@ def displacements(sweeps: DataFrame, minor: DataFrame) -> DataFrame:
     return met.where("end_pos is not null").withColumn("net_move", F.abs(F.col("end_price") - F.col("extreme"))).withColumn("bars", F.col("end_pos") - F.col("hit_pos")).drop("from_pos")
 
 
-def shifts(sweeps: DataFrame, found: DataFrame, bars: DataFrame, horizon: int = 50) -> DataFrame:
-    """First close, after a sweep, beyond the last opposite pivot that was there before it; null if none within ``horizon``."""
+def shifts(sweeps: DataFrame, found: DataFrame, bars: DataFrame) -> DataFrame:
+    """First close, after a sweep, beyond the last opposite pivot that was there before it; null while there is none."""
     opposite = found.select("symbol", (-F.col("kind")).alias("kind"), F.col("pos").alias("ref_pos"), F.col("price").alias("ref_price"))
     before = as_of(sweeps.where("swept").withColumn("before_pos", F.col("hit_pos") - 1), opposite, ["symbol", "kind"], "before_pos", "ref_pos", ["ref_pos", "ref_price"]).where("ref_pos is not null").drop("before_pos")
-    ahead = before.withColumn("at", F.explode(F.sequence(F.col("hit_pos") + 1, F.col("hit_pos") + horizon))).join(bars.select("symbol", F.col("pos").alias("at"), F.col("close").alias("c")), ["symbol", "at"])
-    beyond = F.when(F.col("kind") == 1, F.col("c") < F.col("ref_price")).otherwise(F.col("c") > F.col("ref_price"))
-    first = ahead.where(beyond).groupBy("symbol", "pos", "kind").agg(F.min("at").alias("mss_pos"))
-    return before.join(first, ["symbol", "pos", "kind"], "left")
+    points = before.withColumnRenamed("hit_pos", "sweep_pos").withColumn("side", -F.col("kind")).withColumn("level", F.col("ref_price"))
+    out = first_beyond(points, bars, "sweep_pos", up="close", down="close")
+    return out.withColumnRenamed("hit_pos", "mss_pos").withColumnRenamed("sweep_pos", "hit_pos").drop("side", "level")
 
 
-def gaps(bars: DataFrame, horizon: int = 50) -> DataFrame:
-    """Three-bar gaps, with the first bars that touch and that fill them within ``horizon``."""
+def gaps(bars: DataFrame) -> DataFrame:
+    """Three-bar gaps, with the first later bars that touch and that fill them."""
     w = Window.partitionBy("symbol").orderBy("pos")
     marked = bars.withColumn("h0", F.lag("high", 2).over(w)).withColumn("l0", F.lag("low", 2).over(w))
     up, down = F.col("low") > F.col("h0"), F.col("high") < F.col("l0")
     found = marked.where(up | down).select(
-        "symbol", "pos", "ts", F.when(up, 1).otherwise(-1).alias("side"), F.when(up, F.col("h0")).otherwise(F.col("high")).alias("bottom"), F.when(up, F.col("low")).otherwise(F.col("l0")).alias("top")
+        "symbol", "pos", "ts", F.when(up, 1).otherwise(-1).alias("way"), F.when(up, F.col("h0")).otherwise(F.col("high")).alias("bottom"), F.when(up, F.col("low")).otherwise(F.col("l0")).alias("top")
     )
-    ahead = found.withColumn("at", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + horizon))).join(bars.select("symbol", F.col("pos").alias("at"), "high", "low"), ["symbol", "at"])
-    touch = F.when(F.col("side") == 1, F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
-    fill = F.when(F.col("side") == 1, F.col("low") <= F.col("bottom")).otherwise(F.col("high") >= F.col("top"))
-    seen = ahead.groupBy("symbol", "pos").agg(F.min(F.when(touch, F.col("at"))).alias("touch_pos"), F.min(F.when(fill, F.col("at"))).alias("fill_pos"))
-    return found.join(seen, ["symbol", "pos"], "left")
+    near = F.when(F.col("way") == 1, F.col("top")).otherwise(F.col("bottom"))
+    far = F.when(F.col("way") == 1, F.col("bottom")).otherwise(F.col("top"))
+    points = found.withColumn("x", F.explode(F.array(F.struct(F.lit("touch").alias("what"), near.alias("level")), F.struct(F.lit("fill").alias("what"), far.alias("level")))))
+    points = points.select(*found.columns, (-F.col("way")).alias("side"), "x.what", "x.level")
+    met = first_beyond(points, bars, "pos", strict=False)
+    first = lambda what: F.min(F.when(F.col("what") == what, F.col("hit_pos"))).alias(f"{what}_pos")
+    return met.groupBy("symbol", "pos", "ts", F.col("way").alias("side"), "bottom", "top").agg(first("touch"), first("fill"))
 
 
 def dealing_range(legs: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ serve every window of a query.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barspark.functions.session import eastern
+from barspark.operators.ordered import fields, fold
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -41,19 +43,22 @@ def smoothed(frame: DataFrame, specs: dict[str, tuple[str, float, int]]) -> Data
     """Recursive averages: name -> (column, weight of the new value, rows before the first result).
 
     y = y + weight * (x - y), from the first value; nulls leave the average as it
-    is.  A recursion needs a symbol's rows in order: one task folds each symbol,
-    all averages at once; symbols run side by side.
+    is.  A symbol's rows are folded in order, in chunks: between them only the
+    averages and their counts are carried.
     """
-    names = ", ".join(f"{n} double" for n in specs)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts", kind="stable")
+    def step(state: dict, part: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        part = part.copy()
         for name, (column, weight, least) in specs.items():
-            part[name] = part[column].ewm(alpha=weight, adjust=False, min_periods=least, ignore_na=True).mean()
-        return part
-
-    return frame.groupBy("symbol").applyInPandas(fold, f"{fields}, {names}")
+            value, count = state[name]
+            line = pd.concat([pd.Series([value]), part[column].reset_index(drop=True).astype(float)], ignore_index=True)
+            mean = line.ewm(alpha=weight, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+            counts = count + part[column].notna().cumsum().to_numpy()
+            state[name] = (mean[-1] if counts[-1] else float("nan")), int(counts[-1])
+            part[name] = np.where(counts >= least, mean, np.nan)
+        return state, part
+
+    return fold(frame, ["ts"], lambda: {n: (float("nan"), 0) for n in specs}, step, f"{fields(frame)}, {', '.join(f'{n} double' for n in specs)}")
 
 
 def ema_spec(column: str, span: int) -> tuple[str, float, int]:

@@ -1,8 +1,8 @@
 """Path-dependent simulation: one ordered fold per symbol or run.
 
 A position decides whether the next signal counts, so a run's bars are folded in
-order.  Runs are independent: they are dealt out by symbol (and by whatever else
-tells runs apart), and each fold touches numpy columns, not rows of objects.
+order, in chunks that hand on a small state.  Runs are independent: they are dealt
+out by symbol (and by whatever else tells runs apart).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.session import eastern, minute_of_day
+from barspark.operators.firsthit import FAR, resolved
+from barspark.operators.ordered import fold
 
 
 @dataclass(frozen=True)
@@ -48,16 +50,16 @@ def backtest(bars: DataFrame, config: BacktestConfig) -> DataFrame:
         "symbol", "ts", "open", "high", "low", "close", "atr", F.col("direction").cast("double").alias("direction"),
         F.unix_date(F.to_date(local)).alias("day"), minute_of_day(local).alias("minute"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
     )
+    frame = frame.withColumn("last", ~F.col("day").eqNullSafe(F.lead("day").over(Window.partitionBy("symbol").orderBy("t"))))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t", kind="stable")
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         high, low, close, atr, side, day, minute, t = (part[c].to_numpy(float) for c in ("high", "low", "close", "atr", "direction", "day", "minute", "t"))
-        last = np.append(day[1:] != day[:-1], True)
+        last = part["last"].to_numpy(bool)
         allowed = np.zeros(len(t), bool)
         for start, end in config.windows:
             allowed |= (minute >= start) & (minute < end)
-        equity, trade, out = config.equity, None, []
-        today, pnl_today, losses, count = None, 0.0, 0, 0
+        equity, trade, today, pnl_today, losses, count = state
+        out: list[tuple] = []
         for i in range(len(t)):
             if day[i] != today:
                 today, pnl_today, losses, count = day[i], 0.0, 0, 0
@@ -74,7 +76,7 @@ def backtest(bars: DataFrame, config: BacktestConfig) -> DataFrame:
                     count += 1
                     losses = 0 if pnl > 0 else losses + 1
                     risk = abs(entry - stop) * config.point_value * size
-                    out.append((part["symbol"].iat[0], int(t[at]), int(t[i]), int(d), size, entry, fill, pnl, pnl / risk if risk else 0.0, reason, equity))
+                    out.append((part["symbol"].iat[0], int(at), int(t[i]), int(d), size, entry, fill, pnl, pnl / risk if risk else 0.0, reason, equity))
                     trade = None
             within = pnl_today > -config.daily_loss * equity and count < config.trades_a_day and losses < config.losses_in_row
             if trade is None and not last[i] and allowed[i] and within and side[i] == side[i] and side[i] and atr[i] > 0:
@@ -83,28 +85,27 @@ def backtest(bars: DataFrame, config: BacktestConfig) -> DataFrame:
                 stop = close[i] - d * config.stop_atr * atr[i]
                 size = int(min(config.most, equity * config.risk // (abs(entry - stop) * config.point_value)))
                 if size > 0:
-                    trade = (d, entry, stop, close[i] + d * config.stop_atr * config.target_r * atr[i], size, i)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in TRADES.split(", ")])
+                    trade = (d, entry, stop, close[i] + d * config.stop_atr * config.target_r * atr[i], size, t[i])
+        return (equity, trade, today, pnl_today, losses, count), pd.DataFrame(out, columns=[f.split()[0] for f in TRADES.split(", ")])
 
-    return frame.groupBy("symbol").applyInPandas(fold, TRADES)
+    return fold(frame, ["t"], lambda: (config.equity, None, None, 0.0, 0, 0), step, TRADES)
 
 
 def rising_edge(signals: DataFrame, cooldown: int) -> DataFrame:
     """Rows where the direction becomes another nonzero one, at least ``cooldown`` rows after the last taken."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts", kind="stable")
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        before, last, at = state  # direction of the row before, row last taken, rows so far
         side = part["direction"].to_numpy(float)
-        before = np.append(0.0, side[:-1])
-        edges = np.flatnonzero((side != 0) & (side == side) & (side != before))
-        taken, last = [], -cooldown - 1
+        edges = np.flatnonzero((side != 0) & (side == side) & (side != np.append(before, side[:-1])))
+        taken = []
         for i in edges:
-            if i - last > cooldown:
+            if last is None or at + i - last > cooldown:
                 taken.append(i)
-                last = i
-        return part.iloc[taken][["symbol", "ts", "direction"]]
+                last = at + i
+        return (side[-1], last, at + len(side)), part.iloc[taken]
 
-    return signals.select("symbol", "ts", "direction").groupBy("symbol").applyInPandas(fold, "symbol string, ts timestamp_ntz, direction double")
+    return fold(signals.select("symbol", "ts", "direction"), ["ts"], lambda: (0.0, None, 0), step, "symbol string, ts timestamp_ntz, direction double")
 
 
 RISK = "symbol string, day string, pos long, pnl double, taken boolean, balance double"
@@ -113,10 +114,9 @@ RISK = "symbol string, day string, pos long, pnl double, taken boolean, balance
 def risk_policy(candidates: DataFrame, point_value: float, size: int = 5, start: float = 50_000.0, max_loss: float = 2_000.0, buffered_loss: float = 1_600.0, daily_stop: float = 800.0, most: int = 3, cooldown: int = 3) -> DataFrame:
     """Candidates after one-position, cooldown, per-day and trailing-loss rules; those blocked by risk have taken = false."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", kind="stable")
-        balance = peak = start
-        today, pnl_day, halted, count, busy, out = None, 0.0, False, 0, -1, []
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        balance, peak, today, pnl_day, halted, count, busy = state
+        out: list[tuple] = []
         for row in part.itertuples(index=False):
             if row.day != today:
                 peak = max(peak, balance)
@@ -135,9 +135,9 @@ def risk_policy(candidates: DataFrame, point_value: float, size: int = 5, start:
             count += 1
             busy = row.exit_pos + cooldown
             out.append((row.symbol, row.day, row.pos, pnl, True, balance))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in RISK.split(", ")])
+        return (balance, peak, today, pnl_day, halted, count, busy), pd.DataFrame(out, columns=[f.split()[0] for f in RISK.split(", ")])
 
-    return candidates.groupBy("symbol").applyInPandas(fold, RISK)
+    return fold(candidates, ["pos"], lambda: (start, start, None, 0.0, False, 0, -1), step, RISK)
 
 
 CHANNEL = "symbol string, entry_ts long, direction int, entry double, exit double, bars long, reason string"
@@ -151,46 +151,45 @@ def channel(bars: DataFrame, k: float, m: float, slip: float, distance: str = "a
     bar closes what is open.
     """
     frame = bars.select("symbol", "open", "high", "low", "close", F.col(distance).alias("dist"), F.col("direction").cast("double").alias("direction"), F.unix_date(F.to_date(eastern(F.col("ts")))).alias("day"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    frame = frame.withColumn("last", ~F.col("day").eqNullSafe(F.lead("day").over(Window.partitionBy("symbol").orderBy("t"))))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t", kind="stable")
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        trade, signal = state  # what is open; direction and day of the row before, if it may enter here
         o, h, l, c, dist, side, day, t = (part[x].to_numpy(float) for x in ("open", "high", "low", "close", "dist", "direction", "day", "t"))  # noqa: E741
-        last = np.append(day[1:] != day[:-1], True)
-        out, i = [], 0
-        while i + 1 < len(t):
-            d, e = side[i], i + 1
-            if not (d == d and d and day[e] == day[i] and dist[e] == dist[e]):
-                i += 1
-                continue
-            entry = o[e] + d * slip
-            target, extreme = entry + d * m * dist[e], entry
-            stop = entry - d * k * dist[e]
-            j = e
-            while True:
-                if j > e:
-                    gap_stop, gap_target = d * (o[j] - stop) <= 0, d * (o[j] - target) >= 0
-                    low, high = (l[j], h[j]) if d > 0 else (h[j], l[j])
-                    if last[j] and not (gap_stop or d * (low - stop) <= 0):
-                        price, reason = c[j] - d * slip, "session"
-                        break
-                    if gap_stop or d * (low - stop) <= 0:
-                        price, reason = (o[j] if gap_stop else stop - d * slip), "stop"
-                        break
-                    if gap_target or d * (high - target) >= 0:
-                        price, reason = (target if gap_target else target - d * slip), "target"
-                        break
+        last = part["last"].to_numpy(bool)
+        out: list[tuple] = []
+        for j in range(len(t)):
+            price, reason = None, None
+            if trade is None and signal is not None and signal[1] == day[j] and dist[j] == dist[j]:
+                d = signal[0]
+                entry = o[j] + d * slip
+                trade = [d, t[j], entry, entry + d * m * dist[j], entry - d * k * dist[j], entry, 0]
+                if last[j]:
+                    price, reason = c[j] - d * slip, "session"
+            elif trade is not None:
+                d, _, _, target, stop, _, _ = trade
+                trade[6] += 1
+                gap_stop, gap_target = d * (o[j] - stop) <= 0, d * (o[j] - target) >= 0
+                worst, best = (l[j], h[j]) if d > 0 else (h[j], l[j])
+                if gap_stop or d * (worst - stop) <= 0:
+                    price, reason = (o[j] if gap_stop else stop - d * slip), "stop"
                 elif last[j]:
                     price, reason = c[j] - d * slip, "session"
-                    break
-                extreme = max(extreme, h[j]) if d > 0 else min(extreme, l[j])
+                elif gap_target or d * (best - target) >= 0:
+                    price, reason = (target if gap_target else target - d * slip), "target"
+            if reason:
+                out.append((part["symbol"].iat[0], int(trade[1]), int(trade[0]), trade[2], price, trade[6], reason))
+                trade = None
+            elif trade is not None:
+                d = trade[0]
+                trade[5] = max(trade[5], h[j]) if d > 0 else min(trade[5], l[j])
                 if dist[j] == dist[j]:
-                    stop = max(stop, extreme - k * dist[j]) if d > 0 else min(stop, extreme + k * dist[j])
-                j += 1
-            out.append((part["symbol"].iat[0], int(t[e]), int(d), entry, price, j - e, reason))
-            i = j
-        return pd.DataFrame(out, columns=[f.split()[0] for f in CHANNEL.split(", ")])
+                    trade[4] = max(trade[4], trade[5] - k * dist[j]) if d > 0 else min(trade[4], trade[5] + k * dist[j])
+            # a row's signal counts if nothing is open once the row is over
+            signal = (side[j], day[j]) if trade is None and side[j] == side[j] and side[j] else None
+        return (trade, signal), pd.DataFrame(out, columns=[f.split()[0] for f in CHANNEL.split(", ")])
 
-    return frame.groupBy("symbol").applyInPandas(fold, CHANNEL)
+    return fold(frame, ["t"], lambda: (None, None), step, CHANNEL)
 
 
 def track(entries: DataFrame, bars: DataFrame, target: float, horizon: int) -> DataFrame:
@@ -198,22 +197,10 @@ def track(entries: DataFrame, bars: DataFrame, target: float, horizon: int) -> D
 
     status: closed by target or stop (ambiguous bars are stops), horizon, or
     open while bars are still missing; r: multiples of risk.  Tickets do not
-    depend on one another, so this is a join and an aggregation.
+    depend on one another, so this is one pass over bars and levels.
     """
-    from barspark.operators.firsthit import FAR
-
-    risk = F.abs(F.col("price") - F.col("stop"))
-    side = F.when(F.col("is_long"), 1.0).otherwise(-1.0)
-    bar = bars.select("symbol", F.col("pos").alias("at"), "high", "low", "close")
-    met = entries.where(risk > 0).withColumn("at", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + horizon))).join(bar, ["symbol", "at"], "left")
-    k = F.col("at") - F.col("pos")
-    best = F.when(F.col("is_long"), F.col("high") - F.col("price")).otherwise(F.col("price") - F.col("low"))
-    worst = F.when(F.col("is_long"), F.col("low") - F.col("stop")).otherwise(F.col("stop") - F.col("high"))
-    found = met.groupBy("id").agg(
-        F.min(F.when(best >= target * risk, k)).alias("t_"), F.min(F.when(worst <= 0, k)).alias("s_"), F.count("close").alias("have"),
-        F.max_by(side * (F.col("close") - F.col("price")) / risk, F.when(F.col("close").isNotNull(), k)).alias("mark"),
-    )
-    t, s = F.coalesce("t_", F.lit(FAR)), F.coalesce("s_", F.lit(FAR))
+    found = resolved(entries, bars, [target], horizon)
+    t, s = F.coalesce("hit_0", F.lit(FAR)), F.coalesce("stop_at", F.lit(FAR))
     status = F.when((t == FAR) & (s == FAR), F.when(F.col("have") < horizon, "open").otherwise("horizon")).when(t == s, "ambiguous").when(t < s, "target").otherwise("stop")
     r = F.when(F.col("status") == "target", F.lit(target)).when(F.col("status").isin("stop", "ambiguous"), F.lit(-1.0)).otherwise(F.col("mark"))
     return found.withColumn("status", status).withColumn("r", F.round(r, 6)).withColumn("bars", F.least(t, s, F.col("have"))).select("id", "status", "r", "bars")

@@ -174,3 +174,16 @@ def deflated_sharpe(ratio: float, n: int, skew: float, kurtosis: float, trials:
     best = 0.0 if trials < 2 else spread * ((1 - euler) * normal.inv_cdf(1 - 1 / trials) + euler * normal.inv_cdf(1 - 1 / (trials * math.e)))
     scale = math.sqrt(max(1e-12, 1 - skew * ratio + (kurtosis - 1) / 4 * ratio**2))
     return normal.cdf((ratio - best) * math.sqrt(n - 1) / scale)
+
+
+def deflated_sharpes(daily: DataFrame, by: str, trials: int, spread: float, value: str = "pnl") -> DataFrame:
+    """The deflated Sharpe probability of each key's daily results, from their moments."""
+    moments = daily.groupBy(by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count("*").alias("n"), F.skewness(value).alias("sk"), F.kurtosis(value).alias("ku"))
+    ratio = F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def deflated(r: pd.Series, n: pd.Series, skew: pd.Series, excess: pd.Series) -> pd.Series:
+        return pd.Series([deflated_sharpe(a, int(b), c, k + 3, trials, spread) for a, b, c, k in zip(r, n, skew, excess)])
+
+    finite = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    return moments.select(by, deflated(ratio, "n", finite("sk"), finite("ku")).alias("p"))
