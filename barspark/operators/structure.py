@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.functions.session import third_friday
+from barspark.functions.session import active_sessions, eastern, third_friday
 from barspark.operators import windows as V
+from barspark.operators.bars import session_bars
 from barspark.operators.firsthit import first_beyond
 from barspark.operators.joins import as_of
 
@@ -108,3 +109,49 @@ def ancestors(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
         frontier = frontier.join(edges, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node"), F.lit(step).alias("depth")).distinct()
         found = found.unionByName(frontier)
     return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def impulse_legs(bars: DataFrame) -> DataFrame:
+    """Bars with swing flags and the last confirmed leg of each direction known at them.
+
+    Up: the last confirmed swing low and the last of the three newest swing highs
+    that came after it; down: the mirror.  Null where no swing followed.
+    """
+    frame = bars.withColumn("hs_", V.last_pivots("sh", "high", 2, 3)).withColumn("ls_", V.last_pivots("sl", "low", 2, 3))
+    last = lambda c: F.element_at(c, -1)
+    after = lambda c, base: F.filter(c, lambda x: x["pos"] > last(base)["pos"])
+    up, down = after("hs_", "ls_"), after("ls_", "hs_")
+    out = frame.withColumn("up_end", F.try_element_at(up, F.lit(-1))["high"]).withColumn("down_end", F.try_element_at(down, F.lit(-1))["low"])
+    out = out.withColumn("up_start", F.when(F.col("up_end").isNotNull(), last("ls_")["low"])).withColumn("down_start", F.when(F.col("down_end").isNotNull(), last("hs_")["high"]))
+    return out.drop("hs_", "ls_")
+
+
+def bias(slope: int) -> Column:
+    """bullish or bearish where averages (fast, mid, slow), the slow one's slope and the last two swings agree."""
+    highs, lows = V.last_pivots("sh", "high", 2, 2), V.last_pivots("sl", "low", 2, 2)
+    h, l = (lambda i: highs[i]["high"]), (lambda i: lows[i]["low"])  # noqa: E741
+    before = F.lag("slow", slope).over(V.in_time())
+    up = (F.col("close") > F.col("slow")) & (F.col("fast") > F.col("mid")) & (F.col("mid") > F.col("slow")) & (F.col("slow") > before) & (h(1) > h(0)) & (l(1) > l(0))
+    down = (F.col("close") < F.col("slow")) & (F.col("fast") < F.col("mid")) & (F.col("mid") < F.col("slow")) & (F.col("slow") < before) & (h(1) < h(0)) & (l(1) < l(0))
+    return F.when(up, "bullish").when(down, "bearish").otherwise("neutral")
+
+
+def liquidity_registry(bars: DataFrame) -> DataFrame:
+    """High and low of the last finished day and week and of each named session's last finished instance.
+
+    name is PD, PW or the session's; an instance is finished when a bar outside
+    it has come.  Bars may be of any length up to an hour.
+    """
+    named = {"asia": "ASIA", "london_active": "LONDON", "ny_am": "NY_AM", "ny_pm": "NY_PM"}
+    out = None
+    for name, weekly in (("PD", False), ("PW", True)):
+        periods = session_bars(bars, weekly).withColumn("at_", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("session").desc()))).where("at_ = 2")
+        part = periods.select("symbol", F.lit(name).alias("name"), F.col("session").alias("period"), "high", "low")
+        out = part if out is None else out.unionByName(part)
+    local = eastern(F.col("ts"))
+    last = bars.withColumn("last_", F.max("ts").over(Window.partitionBy("symbol")))
+    inside = last.withColumn("name", F.explode(active_sessions(F.col("ts")))).groupBy("symbol", "name", F.to_date(local).alias("period"))
+    inside = inside.agg(F.max("high").alias("high"), F.min("low").alias("low"), (F.max("ts") == F.first("last_")).alias("running")).where("not running")
+    newest = inside.withColumn("at_", F.row_number().over(Window.partitionBy("symbol", "name").orderBy(F.col("period").desc()))).where("at_ = 1")
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in named.items() for x in kv)), F.col("name"))
+    return out.unionByName(newest.select("symbol", label.alias("name"), "period", "high", "low"))
