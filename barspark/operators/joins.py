@@ -46,3 +46,27 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of a, b or both: columns of ``keys`` and ``side`` (only_a, only_b, both)."""
     both = a.select(*keys, F.lit(1).alias("a_")).distinct().join(b.select(*keys, F.lit(1).alias("b_")).distinct(), keys, "full_outer")
     return both.select(*keys, F.when(F.col("b_").isNull(), "only_a").when(F.col("a_").isNull(), "only_b").otherwise("both").alias("side"))
+
+
+def nearest_level(rows: DataFrame, levels: DataFrame, by: list[str], value: str, level: str, tolerance: float) -> DataFrame:
+    """Rows with the nearest of their key's levels, the lower of two equally near, if within ``tolerance`` times the value.
+
+    Two as-of joins on the price line find the neighbours, so no row meets more than two levels.
+    """
+    below = as_of(rows, levels.withColumn("p_", F.col(level)), by, value, "p_", [level], prefix="below_")
+    both = as_of(below, levels.withColumn("p_", F.col(level)), by, value, "p_", [level], forward=True, prefix="above_")
+    low, high, own = F.col(f"below_{level}"), F.col(f"above_{level}"), F.col(value)
+    pick = F.when(low.isNull() | (high - own < own - low), high).otherwise(low)
+    return both.withColumn(level, pick).where(F.abs(F.col(level) - own) <= tolerance * F.abs(own)).drop(f"below_{level}", f"above_{level}")
+
+
+def snapshot_difference(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Keys of two snapshots: state (added, removed, same, changed) and which values changed."""
+    a = old.select(*keys, *(F.col(v).alias(f"a_{v}") for v in values), F.lit(True).alias("in_a"))
+    b = new.select(*keys, *(F.col(v).alias(f"b_{v}") for v in values), F.lit(True).alias("in_b"))
+    both = a.join(b, keys, "full_outer")
+    held = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    differ = {v: held & ~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) for v in values}
+    changed = F.concat_ws(",", *(F.when(c, F.lit(v)) for v, c in differ.items()))
+    state = F.when(F.col("in_b").isNull(), "removed").when(F.col("in_a").isNull(), "added").when(changed == "", "same").otherwise("changed")
+    return both.select(*keys, state.alias("state"), changed.alias("fields"))
