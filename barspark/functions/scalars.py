@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,3 +110,22 @@ def neg_log_likelihood(p: Column) -> Column:
 
 def expected_value(up: Column, down: Column, timeout: Column, reward: float, drift: Column, point_value: float, cost: float) -> Column:
     return point_value * (up * reward - down * reward + timeout * drift) - cost
+
+
+def has_confluence(price: Column, average: Column, atr: Column, most: float = 1.0) -> Column:
+    return F.abs(price - average) <= most * atr
+
+
+def round_trip_cost(commission: float, spread: float, slip: float, tick: float, point_value: float) -> Column:
+    """Cost of a trade in money: the spread and twice the slip, in ticks, and the commission."""
+    return F.lit(commission + (spread + 2 * slip) * tick * point_value)
+
+
+def within_daily_limits(trades: DataFrame, most_loss: float, most_trades: int, losses_in_row: int) -> DataFrame:
+    """Trades with ``allowed``: whether the day's earlier ones leave room; columns symbol, day, pos, pnl."""
+    line = Window.partitionBy("symbol", "day").orderBy("pos")
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.count(F.lit(1)).over(earlier)
+    wins = F.coalesce(F.sum((F.col("pnl") > 0).cast("int")).over(line.rowsBetween(-losses_in_row, -1)), F.lit(0))
+    lost = F.coalesce(F.sum("pnl").over(earlier), F.lit(0.0)) <= -most_loss
+    return trades.withColumn("allowed", ~lost & (taken < most_trades) & ~((taken >= losses_in_row) & (wins == 0)))

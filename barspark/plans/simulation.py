@@ -212,3 +212,115 @@ def breakeven(curve: DataFrame, by: list[str]) -> DataFrame:
     ahead = curve.withColumn("s1", F.lead("slip").over(w)).withColumn("r1", F.lead("result").over(w)).where("result > 0 and r1 <= 0")
     cross = F.col("slip") + (F.col("s1") - F.col("slip")) * F.col("result") / (F.col("result") - F.col("r1"))
     return ahead.groupBy(*by).agg(F.min(cross).alias("breakeven"))
+
+
+def peak_confirm(signals: DataFrame, cooldown: int) -> DataFrame:
+    """Rows at which a direction's strength first falls from its running maximum; quiet for ``cooldown`` rows afterwards.
+
+    ``signals(symbol, ts, direction, strength)``; a null or zero direction, or
+    the other one, ends a streak without a signal.
+    """
+
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        armed, peak, quiet, at = state
+        side, strength = part["direction"].to_numpy(float), part["strength"].to_numpy(float)
+        taken = []
+        for i in range(len(side)):
+            d = side[i]
+            if d != d or not d or at + i <= quiet:
+                armed, peak = 0.0, -np.inf
+            elif d != armed:
+                armed, peak = d, strength[i]
+            elif strength[i] >= peak:
+                peak = strength[i]
+            else:
+                taken.append(i)
+                quiet, armed, peak = at + i + cooldown, 0.0, -np.inf
+        return (armed, peak, quiet, at + len(side)), part.iloc[taken][["symbol", "ts", "direction"]]
+
+    return fold(signals.select("symbol", "ts", "direction", "strength"), ["ts"], lambda: (0.0, -np.inf, -1, 0), step, "symbol string, ts timestamp_ntz, direction double")
+
+
+def entry_calendar(bars: DataFrame) -> DataFrame:
+    """Signal rows that a book of one position would act on, whatever its stops.
+
+    ``bars(symbol, ts, direction, day, flat)``: an entry takes place at the next
+    bar of the same day; an opposite signal closes it at the bar after; a flat
+    bar closes it at once.
+    """
+
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        held, fresh, enter, leave, since = state  # position, taken at this bar, what waits and the day it was decided
+        side, flat, day = part["direction"].to_numpy(float), part["flat"].to_numpy(bool), part["day"].to_numpy()
+        taken = []
+        for i in range(len(side)):
+            if (enter or leave) and day[i] != since:
+                enter, leave = 0.0, False
+            fresh = False
+            if leave and held:
+                held, leave = 0.0, False
+            if enter and not held:
+                held, enter, fresh = enter, 0.0, True
+            if held and not fresh:
+                if flat[i]:
+                    held = 0.0
+                elif side[i] == -held:
+                    leave, since = True, day[i]
+            if not held and not enter and not leave and side[i] == side[i] and side[i]:
+                enter, since = side[i], day[i]
+                taken.append(i)
+        return (held, fresh, enter, leave, since), part.iloc[taken][["symbol", "ts", "direction"]]
+
+    rows = bars.select("symbol", "ts", F.col("direction").cast("double").alias("direction"), F.unix_date("day").alias("day"), "flat")
+    return fold(rows, ["ts"], lambda: (0.0, False, 0.0, False, None), step, "symbol string, ts timestamp_ntz, direction double")
+
+
+BOOK = "symbol string, entry_ts long, exit_ts long, direction int, entry double, stop double, exit double, r double, bars long, reason string"
+
+
+def shadow_book(bars: DataFrame, stop_atr: float, slip: float, commission: float, most: int) -> DataFrame:
+    """Trades of a book of one position that goes on overnight: entry at a signal's close, exit by stop, reversal or age.
+
+    The stop fills at the worse of its price and the open; an expected value
+    that turns against the position closes it at the next open; ``most`` bars at
+    the most.
+    """
+
+    def step(state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        trade = state[0]
+        o, h, l, c, atr, ev, side, t = (part[x].to_numpy(float) for x in ("open", "high", "low", "close", "atr", "ev", "direction", "t"))  # noqa: E741
+        out: list[tuple] = []
+        for i in range(len(t)):
+            if trade is not None:
+                d, at, entry, stop, leave, age = trade
+                age += 1
+                raw, reason = None, ""
+                if (l[i] <= stop) if d > 0 else (h[i] >= stop):
+                    raw, reason = (min(stop, o[i]) if d > 0 else max(stop, o[i])), "stop"
+                elif leave:
+                    raw, reason = o[i], "reversal"
+                elif age >= most:
+                    raw, reason = c[i], "age"
+                elif ev[i] == ev[i] and d * ev[i] <= 0:
+                    leave = True
+                trade = (d, at, entry, stop, leave, age)
+                if raw is not None:
+                    fill = raw - d * slip
+                    out.append((part["symbol"].iat[0], int(at), int(t[i]), int(d), entry, stop, fill, ((fill - entry) * d - commission) / abs(entry - stop), age, reason))
+                    trade = None
+            if trade is None and side[i] == side[i] and side[i] and atr[i] > 0:
+                d = side[i]
+                trade = (d, t[i], c[i] + d * slip, c[i] - d * stop_atr * atr[i], False, 0)
+        return (trade,), pd.DataFrame(out, columns=[f.split()[0] for f in BOOK.split(", ")])
+
+    rows = bars.select("symbol", "open", "high", "low", "close", "atr", "ev", F.col("direction").cast("double").alias("direction"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    return fold(rows, ["t"], lambda: (None,), step, BOOK)
+
+
+def slippage_curve(trades: DataFrame, ticks: list[float], tick: float, commission: float) -> DataFrame:
+    """Mean result of trades, in multiples of risk, when each side slips by so many ticks."""
+    rows = trades.withColumn("ticks", F.explode(F.array(*map(F.lit, ticks))))
+    slip = F.col("ticks") * tick
+    entry, out = F.col("entry") + F.col("direction") * slip, F.col("exit") - F.col("direction") * slip
+    r = ((out - entry) * F.col("direction") - commission) / F.abs(entry - F.col("stop"))
+    return rows.groupBy("symbol", "ticks").agg(F.count("*").alias("n"), F.avg(r).alias("mean_r"))
