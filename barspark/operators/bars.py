@@ -26,9 +26,8 @@ def floor_utc(ts: str, minutes: int) -> Column:
 
 def floor_eastern(ts: str, minutes: int) -> Column:
     """Start of the bucket on the New York wall clock, as a New York wall time."""
-    return F.window(eastern(F.col(ts)).cast("timestamp"), f"{minutes} minutes")["start"].cast("timestamp_ntz") if minutes < 60 else F.timestamp_seconds(
-        F.unix_seconds(eastern(F.col(ts)).cast("timestamp")) - F.pmod(F.unix_seconds(eastern(F.col(ts)).cast("timestamp")), F.lit(60 * minutes))
-    ).cast("timestamp_ntz")
+    seconds = F.unix_seconds(eastern(F.col(ts)).cast("timestamp"))
+    return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(60 * minutes))).cast("timestamp_ntz")
 
 
 def _merge(order: str) -> list[Column]:
