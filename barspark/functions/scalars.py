@@ -129,3 +129,14 @@ def within_daily_limits(trades: DataFrame, most_loss: float, most_trades: int, l
     wins = F.coalesce(F.sum((F.col("pnl") > 0).cast("int")).over(line.rowsBetween(-losses_in_row, -1)), F.lit(0))
     lost = F.coalesce(F.sum("pnl").over(earlier), F.lit(0.0)) <= -most_loss
     return trades.withColumn("allowed", ~lost & (taken < most_trades) & ~((taken >= losses_in_row) & (wins == 0)))
+
+
+def class_direction(code: Column, classes: int) -> Column:
+    """-1 below the middle class, 1 above it, 0 in it."""
+    return F.signum(2 * code - (classes - 1)).cast("int")
+
+
+def disagreement(first: Column, second: Column) -> Column:
+    """How two signs relate; a null sign is none."""
+    a, b = F.coalesce(first, F.lit(0.0)), F.coalesce(second, F.lit(0.0))
+    return F.when((a == 0) & (b == 0), "neither").when(b == 0, "only_first").when(a == 0, "only_second").when(a == b, "agree").otherwise("oppose")

@@ -155,3 +155,11 @@ def liquidity_registry(bars: DataFrame) -> DataFrame:
     newest = inside.withColumn("at_", F.row_number().over(Window.partitionBy("symbol", "name").orderBy(F.col("period").desc()))).where("at_ = 1")
     label = F.element_at(F.create_map(*(F.lit(x) for kv in named.items() for x in kv)), F.col("name"))
     return out.unionByName(newest.select("symbol", label.alias("name"), "period", "high", "low"))
+
+
+def roll_metadata(segmented: DataFrame) -> DataFrame:
+    """Days since the segment's roll and, looking ahead, until its end."""
+    line = Window.partitionBy("symbol", "segment").orderBy("day")
+    size = F.count(F.lit(1)).over(Window.partitionBy("symbol", "segment"))
+    at = F.row_number().over(line)
+    return segmented.withColumn("since_roll", (at - 1).cast("long")).withColumn("until_roll", (size - at).cast("long"))

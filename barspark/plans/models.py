@@ -42,6 +42,13 @@ def purged_pairs(rows: DataFrame, by: str, folds: int, embargo: int) -> DataFram
     return rows.join(first, by).where((F.col("fold") < F.col("test_fold")) & (F.col("exit_pos") < F.col("from_") - embargo)).drop("from_")
 
 
+def before_folds(rows: DataFrame, by: str, fold: str, sums: dict[str, Column]) -> DataFrame:
+    """Sums over all rows of the folds before each test fold: one aggregation by fold and a running total over folds."""
+    cells = rows.groupBy(by, fold).agg(*(c.alias(n) for n, c in sums.items()))
+    earlier = Window.partitionBy(by).orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(by, fold, *(F.sum(n).over(earlier).alias(n) for n in sums)).where(F.col(fold) >= 0)
+
+
 def gram(rows: DataFrame, features: list[str], target: str, by: list[str]) -> DataFrame:
     """Sums of products of (1, features, target): all that least squares needs."""
     x = [F.lit(1.0), *map(F.col, features), F.col(target)]

@@ -187,3 +187,66 @@ def deflated_sharpes(daily: DataFrame, by: str, trials: int, spread: float, valu
 
     finite = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     return moments.select(by, deflated(ratio, "n", finite("sk"), finite("ku")).alias("p"))
+
+
+def sign_stability(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean, spread and share of the most frequent sign (the smaller of equally frequent ones; null if it is zero)."""
+    signs = rows.groupBy(by, F.signum(F.round(value, 9)).alias("sign_")).agg(F.count("*").alias("n_"))
+    major = signs.groupBy(by).agg(F.max_by("sign_", F.struct(F.col("n_"), -F.col("sign_"))).alias("s_"), F.max("n_").alias("m_"), F.sum("n_").alias("t_"))
+    out = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("spread")).join(major, by)
+    return out.withColumn("consistency", F.when(F.col("s_") != 0, F.col("m_") / F.col("t_"))).drop("s_", "m_", "t_")
+
+
+def bootstrap_spread(rows: DataFrame, value: str, cell: str, by: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """Resampled difference of a value's mean between a key's highest and lowest cell: mean, low, high, p (share at most zero)."""
+    edges = rows.groupBy(by).agg(F.min(cell).alias("low_"), F.max(cell).alias("high_"))
+    ends = rows.where(F.col(value).isNotNull()).join(edges, by).where((F.col(cell) == F.col("low_")) | (F.col(cell) == F.col("high_"))).where("low_ < high_")
+    ends = ends.select(by, F.col(value).cast("double").alias("v"), (F.col(cell) == F.col("high_")).alias("top"))
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(part["v"][~part["top"]].to_numpy()), np.sort(part["v"][part["top"]].to_numpy())
+        rng = np.random.default_rng(seed)
+        low, high = (np.concatenate([v[rng.integers(0, len(v), (min(64, draws - at), len(v)))].mean(1) for at in range(0, draws, 64)]) for v in values)
+        gap = high - low
+        return pd.DataFrame([(part[by].iat[0], gap.mean(), *np.quantile(gap, [0.05, 0.95]), (gap <= 0).mean())], columns=["key", "mean", "low", "high", "p"])
+
+    return ends.groupBy(by).applyInPandas(draw, "key string, mean double, low double, high double, p double")
+
+
+def bootstrap_sharpe_difference(daily: DataFrame, a: str, b: str, by: str, order: str, block: int = 5, draws: int = 2000, seed: int = 20260724) -> DataFrame:
+    """Difference of two daily series' Sharpe ratios, with days drawn in circular blocks for both at once."""
+
+    def ratio(x: np.ndarray) -> np.ndarray:
+        spread = x.std(-1, ddof=1)
+        return np.where(spread > 0, x.mean(-1) / np.where(spread > 0, spread, 1), 0.0) * math.sqrt(252)
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        x, y = part[a].to_numpy(float), part[b].to_numpy(float)
+        n = len(x)
+        if n < 2:
+            return pd.DataFrame([(part[by].iat[0], 0.0, 0.0, 0.0, 1.0)], columns=["key", "observed", "low", "high", "p"])
+        rng = np.random.default_rng(seed)
+        gaps = []
+        for at in range(0, draws, 64):
+            start = rng.integers(0, n, (min(64, draws - at), -(-n // block)))
+            index = (start[:, :, None] + np.arange(block)).reshape(len(start), -1)[:, :n] % n
+            gaps.append(ratio(x[index]) - ratio(y[index]))
+        gap = np.concatenate(gaps)
+        return pd.DataFrame([(part[by].iat[0], float(ratio(x) - ratio(y)), *np.quantile(gap, [0.025, 0.975]), (gap <= 0).mean())], columns=["key", "observed", "low", "high", "p"])
+
+    return daily.select(by, a, b, order).groupBy(by).applyInPandas(draw, "key string, observed double, low double, high double, p double")
+
+
+def deflated_best(daily: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each series' daily Sharpe ratio and its deflated probability among all of them (their number and spread)."""
+    moments = daily.groupBy(*by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count("*").alias("n"), F.skewness(value).alias("sk"), F.kurtosis(value).alias("ku"))
+    moments = moments.withColumn("sharpe", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0))
+    tried = moments.agg(F.count("*").alias("trials"), F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("spread")).first()
+    finite = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def deflated(r: pd.Series, n: pd.Series, skew: pd.Series, excess: pd.Series) -> pd.Series:
+        return pd.Series([deflated_sharpe(x, int(k), s, e + 3, tried.trials, tried.spread) for x, k, s, e in zip(r, n, skew, excess)])
+
+    return moments.withColumn("p", deflated("sharpe", "n", finite("sk"), finite("ku"))).select(*by, "sharpe", "p")
