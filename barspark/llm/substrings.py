@@ -4,7 +4,9 @@ Every 100-byte window of a text belongs to exactly one run of windows that share
 the leftmost smallest k-gram hash, the run's anchor.  Equal windows have equal
 anchors, so runs can be compared anchor by anchor, in a shuffle:
 
-1. runs of equal bytes: all but the earliest are repeats, whole;
+1. runs of equal bytes: all but the earliest are repeats, whole; those that a
+   task meets among a few megabytes of its texts are settled there, so that a
+   very common run is a row for each such group and not for each document;
 2. anchors that have several different runs: the distinct runs' bytes are
    gathered in blocks of bounded size.  A block's Burrows-Wheeler transform is
    explored breadth first: intervals of suffixes with a common prefix are
@@ -74,7 +76,7 @@ def anchored_runs(data: np.ndarray, config: RepeatConfig) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
 
 
-_RUN = "anchor long, bytes long, doc long, tie long, first long, windows long"
+_RUN = "salt long, anchor long, bytes long, doc long, tie long, first long, windows long"
 _SPAN = "doc long, tie long, first long, end long"
 
 
@@ -82,8 +84,22 @@ def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
 
+def _salted(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Runs of a few megabytes of texts; all but the earliest of equal ones get a salt, for they are repeats already."""
+    anchor, bytes_, doc, tie, first, windows = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((first, tie, doc, bytes_, anchor))
+    again = np.zeros(len(order), bool)
+    again[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (bytes_[order[1:]] == bytes_[order[:-1]])
+    # a row that stands twice is one document and no repeat of itself
+    lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    same = (doc[order] == doc[lead]) & (tie[order] == tie[lead]) & (first[order] == first[lead])
+    salt = np.zeros(len(order), np.int64)
+    salt[order] = np.where(again & ~same, 1 + (doc[order] & 0xFFFF), 0)
+    return _batch([salt, anchor, bytes_, doc, tie, first, windows], _RUN)
+
+
 def _runs(config: RepeatConfig):
-    """All runs of a task's texts, a few megabytes of text at a time; what a text gives does not depend on its neighbours."""
+    """All runs of a task's texts, a few megabytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -95,10 +111,10 @@ def _runs(config: RepeatConfig):
                     held.append([anchor, bytes_, np.full(len(anchor), doc), np.full(len(anchor), tie), first, windows])
                     size += len(text)
                     if size >= _SEGMENT:
-                        yield _batch([np.concatenate(c) for c in zip(*held)], _RUN)
+                        yield _salted(held)
                         held, size = [], 0
         if held:
-            yield _batch([np.concatenate(c) for c in zip(*held)], _RUN)
+            yield _salted(held)
 
     return run
 
@@ -109,24 +125,35 @@ _FOUND = "kind int, anchor long, doc long, tie long, first long, windows long"
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by anchor, bytes and document: kind 0, repeats; kind 1, the earliest of each of several runs of an anchor.
 
-    Only one row is carried from batch to batch, whatever the size of a group.
+    Salted runs are repeats as they come.  Only a few rows are carried from batch
+    to batch, whatever the size of a group.
     """
-    last = None  # the row before
+    last = None  # anchor and bytes of the row before
+    lead = (0, 0, 0)  # where the last run stands first
     single = None  # the first run of the last anchor, while it is the anchor's only one
     for batch in batches:
+        salt = batch.column("salt").to_numpy()
+        known = batch.filter(pa.array(salt > 0)).drop_columns(["salt", "bytes"])
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(known.num_rows, np.int32)), *known.columns], [f.split()[0] for f in _FOUND.split(", ")])
+        batch = batch.filter(pa.array(salt == 0))
         if not batch.num_rows:
             continue
-        anchor, bytes_, doc, tie, first, windows = (batch.column(c).to_numpy() for c in range(6))
+        anchor, bytes_, doc, tie, first, windows = (batch.column(c).to_numpy() for c in range(1, 7))
         before_anchor = np.concatenate([[last[0] if last else ~anchor[0]], anchor[:-1]])
         before_bytes = np.concatenate([[last[1] if last else 0], bytes_[:-1]])
         new_anchor = anchor != before_anchor
         new_run = new_anchor | (bytes_ != before_bytes)
+        at = np.maximum.accumulate(np.where(new_run, np.arange(len(anchor)), -1))
+        lead_doc, lead_tie, lead_first = (np.where(at < 0, old, c[np.maximum(at, 0)]) for old, c in zip(lead, (doc, tie, first)))
+        again = ~new_run & ((doc != lead_doc) | (tie != lead_tie) | (first != lead_first))  # a repeated row is no repeat of itself
+        lead = (int(lead_doc[-1]), int(lead_tie[-1]), int(lead_first[-1]))
         group = np.cumsum(new_anchor)  # 0: the anchor that the last batch ended with
         runs = np.bincount(group, weights=new_run, minlength=int(group[-1]) + 1).astype(np.int64)
         several = runs > 1
         several[0] = runs[0] > 0  # a new run joins at least one that came before
         emit = new_run & several[group]
-        out = [np.where(emit, 1, 0)[emit | ~new_run], *(c[emit | ~new_run] for c in (anchor, doc, tie, first, windows))]
+        out = [np.where(emit, 1, 0)[emit | again], *(c[emit | again] for c in (anchor, doc, tie, first, windows))]
         if single is not None and runs[0] > 0:
             out = [np.append(c, v) for c, v in zip(out, (1, *single))]
         if group[-1] > 0 or last is None:
@@ -347,9 +374,10 @@ def repeated_bytes(documents: DataFrame, config: RepeatConfig = RepeatConfig(),
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bare = source.select("doc", "tie", "text")
-    # every run takes this one way, so that no repeat depends on how a second reading would cut the files
+    # every run takes this one way, so that no repeat depends on how a second reading would cut the files;
+    # of a common run, one for each few megabytes of text goes to its anchor's task, the others are spread by their salts
     runs = bare.mapInArrow(_runs(config), _RUN)
-    runs = runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "bytes", "doc", "tie", "first")
+    runs = runs.repartition(parts, "anchor", "salt").sortWithinPartitions("salt", "anchor", "bytes", "doc", "tie", "first")
     found = work.table("found", runs.mapInArrow(_resolve, _FOUND))
     whole = found.where("kind = 0").select("doc", "tie", "first", (F.col("first") + F.col("windows") + (config.least - 1)).alias("end"))
 
