@@ -1,12 +1,12 @@
 """Mixing by soft domain membership, in DataFrame and SQL functions only.
 
-A naive Bayes classifier over the most telling words of the labelled documents
-gives every document a posterior over domains.  Nonnegative document rates are
-then fitted so that the expected tokens of each domain meet targets: projected
-gradient steps on the least squares of the domains' relative errors.  One step
-needs the domains' expected totals, a single aggregation over one narrow row per
-document; what travels back to the documents is the history of those few totals,
-from which each document's rate follows by a fold.
+A naive Bayes classifier over the telling words of the labelled documents gives
+every document a posterior over domains, in whole percents.  Nonnegative document
+rates are then fitted so that the expected tokens of each domain meet targets:
+projected gradient steps on the least squares of the domains' relative errors.
+A rate depends on the posterior alone, so documents are added up by posterior
+first, and a step is one aggregation over the distinct posteriors, of which there
+are at most 5,151 for three domains whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -27,25 +27,34 @@ BREAK = r"[\s.,;:!?|\"'()\[\]*#&%$]+"
 class MixConfig:
     """``targets`` are shares of the token budget by domain; ``budget`` is its share of all tokens.
 
-    At most ``vocabulary`` words are kept: those in at least ``support`` labelled
-    documents whose log share in one domain leads all others by ``telling`` over
-    the root of their documents.  Words that point to no one domain stay out, as
-    many weak ones of a text depend on one another.  At most ``labelled`` documents
-    per domain are read.  ``steps`` bounds the iteration,
-    which ends when no domain's expected share is off by more than ``close``, or
-    when three steps have lowered the squared error by less than the share ``gain``,
-    as where soft memberships keep a target out of reach; the best step counts.
+    Words are kept that are in at least ``support`` labelled documents and whose
+    log share in one domain leads all others by ``telling`` over the root of their
+    documents.  Words that point to no one domain stay out, as many weak ones of a
+    text depend on one another.  Up to ``inline`` words are looked up in a constant
+    set, more are joined.  At most ``labelled`` documents per domain are read.
+    The iteration ends when no domain's expected share is off by more than
+    ``close``, when the projected gradient, on average over tokens, is no longer
+    than ``flat``, or after ``steps``.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.9, "poor": 0.1, "toxic": 0.0})
     budget: float = 0.9
-    vocabulary: int = 2000
     support: int = 5
     telling: float = 6.0
+    inline: int = 20000
     labelled: int = 20000
-    steps: int = 60
+    steps: int = 100
     close: float = 1e-4
-    gain: float = 0.05
+    flat: float = 2e-5
+
+
+@dataclass(frozen=True)
+class Domains:
+    """Words with their log-odds by domain, a table and how many rows it has, and log-priors."""
+
+    words: DataFrame
+    count: int
+    prior: list[float]
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -72,18 +81,20 @@ def _evidence(text: Column) -> Column:
     return F.concat(F.array_distinct(_words(text)), _traits(text))
 
 
-def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: MixConfig) -> tuple[list[tuple[str, list[float]]], list[float]]:
-    """Word log-likelihoods and log-priors by domain; at most ``vocabulary`` rows reach the driver.
+def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: MixConfig, work: Workspace) -> Domains:
+    """Word log-likelihoods and log-priors by domain.
 
     Labelled documents are those with the smallest hashed ids.  A word counts
     once per document; likelihoods are smoothed document shares.  Contradicting
     labels of one id are settled by the smallest.
     """
+    spark = documents.sparkSession
+    nothing = Domains(spark.createDataFrame([], "word string, weight array<double>"), 0, [0.0] * len(names))
     named = labels.select(F.col("doc_id").cast("long").alias("id"), domain(F.col("quality"), F.col("toxic")).alias("domain"))
     named = named.where(F.col("domain").isin(names)).groupBy("id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return [], [0.0] * len(names)
+        return nothing
     # a share of each domain by hash first, so that no single task sees a whole domain
     share = F.coalesce(*(F.when(F.col("domain") == d, F.lit(min(1.0, 2 * config.labelled / n))) for d, n in sizes.items()))
     named = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
@@ -95,102 +106,152 @@ def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: Mix
     counts = seen.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)))
     totals = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return [], [0.0] * len(names)
+        return nothing
     size = [totals.get(d, 0) for d in names]
     logs = [F.log((F.col(f"n{i}") + 0.5) / (size[i] + 1.0)) for i in range(len(names))]
     support = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
     ranked = F.reverse(F.array_sort(F.array(*logs)))
     second = F.element_at(ranked, 2) if len(names) > 1 else F.element_at(ranked, 1)
     telling = (F.element_at(ranked, 1) - second) * F.sqrt(support.cast("double"))
-    kept = counts.where((support >= config.support) & (telling >= config.telling)).orderBy(telling.desc(), "word").limit(config.vocabulary)
+    kept = counts.where((support >= config.support) & (telling >= config.telling))
     absences = [F.log1p(-(F.col(f"n{i}") + 0.5) / (size[i] + 1.0)) for i in range(len(names))]
-    rows = kept.select("word", F.array(*logs).alias("log"), F.array(*absences).alias("absent")).collect()
-    prior = [math.log((n + 1) / (sum(size) + len(names))) + sum(r.absent[i] for r in rows) for i, n in enumerate(size)]
-    return [(r.word, [a - b for a, b in zip(r.log, r.absent)]) for r in rows], prior
+    table = work.table("words", kept.select("word", F.array(*(a - b for a, b in zip(logs, absences))).alias("weight"), F.array(*absences).alias("absent")))
+    whole = table.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.element_at("absent", i + 1)), F.lit(0.0)).alias(f"a{i}") for i in range(len(names)))).first()
+    prior = [math.log((n + 1) / (sum(size) + len(names))) + whole[f"a{i}"] for i, n in enumerate(size)]
+    return Domains(table.select("word", "weight"), whole["n"], prior)
 
 
-def posteriors(documents: DataFrame, model: tuple[list[tuple[str, list[float]]], list[float]], names: list[str], work: Workspace) -> DataFrame:
-    """doc_id, n_tokens (words of the whole text) and ``posterior`` by domain of every distinct doc_id.
+def posteriors(documents: DataFrame, model: Domains, names: list[str], config: MixConfig, work: Workspace) -> DataFrame:
+    """doc_id, n_tokens (words of the whole text) and ``percent`` by domain of every distinct doc_id.
 
     Texts are read once; what goes on is a document's length and its known
     words.  A document of no known word has the posterior of their absence.
+    Percents are rounded down, and what that leaves of 100 goes to the largest.
     """
-    vocabulary, prior = model
-    spark = documents.sparkSession
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"), _traits(F.col("text")).alias("traits"))
     edges = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
-    known = [w for w, _ in vocabulary]
-    found = F.array_distinct(F.filter(F.concat("words", "traits"), lambda w: w.isin(known) if known else F.lit(False)))
-    read = split.select("doc_id", (F.size("words") - edges).cast("long").alias("n_tokens"), found.alias("known"))
+    both = F.concat("words", "traits")
+    weights = model.words
+    if model.count <= config.inline:
+        rows = weights.collect()
+        known = [r.word for r in rows]
+        both = F.filter(both, lambda w: w.isin(known) if known else F.lit(False))
+        weights = F.broadcast(documents.sparkSession.createDataFrame(rows, weights.schema))  # at most ``inline`` rows
+    read = split.select("doc_id", (F.size("words") - edges).cast("long").alias("n_tokens"), F.array_distinct(both).alias("known"))
     read = work.table("read", read)
-    weights = spark.createDataFrame(vocabulary or [("", [0.0] * len(names))], "word string, weight array<double>")
-    # at most ``vocabulary`` rows
-    pairs = read.select("doc_id", F.explode("known").alias("word")).distinct().join(F.broadcast(weights), "word")
+    pairs = read.select("doc_id", F.explode("known").alias("word")).distinct().join(weights, "word")
     scores = pairs.groupBy("doc_id").agg(*(F.sum(F.element_at("weight", i + 1)).alias(f"s{i}") for i in range(len(names))))
     tokens = read.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(float(prior[i])) for i in range(len(names))]
+    logits = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(float(model.prior[i])) for i in range(len(names))]
     joined = tokens.join(scores, tokens.doc_id.eqNullSafe(scores.doc_id), "left").select(tokens.doc_id, "n_tokens", F.array(*logits).alias("logit"))
     odds = F.transform("logit", lambda x: F.exp(x - F.array_max("logit")))
     joined = joined.withColumn("odds", odds).withColumn("total", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
-    return joined.select("doc_id", "n_tokens", F.transform("odds", lambda x: x / F.col("total")).alias("posterior"))
+    # the sums of a text's weights come in any order: nine digits are the same in every run
+    joined = joined.withColumn("down", F.transform("odds", lambda x: F.floor(F.round(100 * x / F.col("total"), 9)).cast("int")))
+    rest = 100 - F.aggregate("down", F.lit(0), lambda a, b: a + b)
+    top = F.array_position("down", F.array_max("down")) - 1
+    return joined.select("doc_id", "n_tokens", F.transform("down", lambda x, i: x + F.when(i == top, rest).otherwise(0)).alias("percent"))
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """Projected gradient steps in turn, from rate 1; each entry of the history is a step's pull by domain.
+#: Steps that are compiled into one expression before the rates are written.
+NESTED = 30
 
-    The steps are one nested expression of plain arithmetic, which Spark compiles.
-    """
-    rate = "1D"
-    for pull in history:
-        drop = " + ".join(f"posterior[{i}] * {float(x)!r}D" for i, x in enumerate(pull))
+
+def _stepped(pulls: list[list[float]]) -> Column:
+    """Projected gradient steps in turn, from column ``rate``, as one expression of plain arithmetic, which Spark compiles."""
+    rate = "rate"
+    for pull in pulls:
+        drop = " + ".join(f"percent[{i}] * {float(x / 100)!r}D" for i, x in enumerate(pull))
         rate = f"greatest(0D, {rate} - ({drop}))"
     return F.expr(rate)
 
 
-def fit_rates(members: DataFrame, names: list[str], config: MixConfig) -> tuple[list[list[float]], list[float]]:
-    """History of pulls and the expected domain shares that they reach.
+@dataclass(frozen=True)
+class Fit:
+    """Rates by posterior, the expected domain shares that they reach, the last projected gradient and the steps taken."""
+
+    rates: DataFrame
+    shares: list[float]
+    flat: float
+    steps: int
+
+
+def _solved(rows: list[list[float]], values: list[float]) -> list[float]:
+    """Solution of a small system of equations, by elimination with pivots; a few domains, on the driver."""
+    table = [[*row, value] for row, value in zip(rows, values)]
+    n = len(table)
+    for i in range(n):
+        pivot = max(range(i, n), key=lambda k: abs(table[k][i]))
+        table[i], table[pivot] = table[pivot], table[i]
+        for k in range(n):
+            if k != i and table[i][i]:
+                share = table[k][i] / table[i][i]
+                table[k] = [x - share * y for x, y in zip(table[k], table[i])]
+    return [row[-1] / row[i] if row[i] else 0.0 for i, row in enumerate(table)]
+
+
+def fit_rates(members: DataFrame, names: list[str], config: MixConfig, work: Workspace) -> Fit:
+    """Rate of every posterior among ``members(n_tokens, percent)``.
 
     Rates minimise sum((expected - target)**2 / size) over domains, in shares of
-    all tokens, with the steps scaled by the documents' sizes.  The first step's
-    length is the inverse of a bound of the curvature, the largest row sum of the
-    posterior overlap of domains; later ones follow the curvature met by the last
-    step, which the same overlaps give, and fall back to the first length where
-    the error has risen above those of the last four steps.  Domains without
-    tokens are left out.
+    all tokens, from rate 1, by gradient steps projected on rates of zero and
+    more.  A step's pull on each domain comes from the gradient and the curvature
+    among the documents that still have a rate: their overlaps by domain, which
+    the last step's aggregation gives too.  A step that does not lower the error
+    is halved.  Domains without tokens are left out.
     """
     i_ = range(len(names))
-    p = [F.element_at("posterior", i + 1) for i in i_]
-    n = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(n).alias("all"), *(F.sum(n * p[i]).alias(f"d{i}") for i in i_), *(F.sum(n * p[i] * p[j]).alias(f"o{i}_{j}") for i in i_ for j in i_)).first()
+    p = [F.element_at("percent", i + 1) / 100 for i in i_]
+    n, rate = F.col("n_tokens"), F.col("rate")
+    groups = members.groupBy("percent").agg(F.sum("n_tokens").cast("double").alias("n_tokens"))
+    groups = work.table("rates-0", groups.withColumn("rate", F.lit(1.0)))
+    first = groups.agg(F.sum(n).alias("all"), *(F.sum(n * p[i]).alias(f"d{i}") for i in i_)).first()
     if not first["all"]:
-        return [], [0.0] * len(names)
+        return Fit(groups, [0.0] * len(names), 0.0, 0)
     size = [first[f"d{i}"] / first["all"] for i in i_]
     live = [s > 1e-9 for s in size]
     target = [config.targets.get(d, 0.0) * config.budget for d in names]
-    rows = [sum(first[f"o{i}_{j}"] / first["all"] / math.sqrt(size[i] * size[j]) for j in i_ if live[j]) if live[i] else 0.0 for i in i_]
-    step = shortest = 1 / max(rows)
-    history: list[list[float]] = []
-    tried = [size]
-    errors: list[float] = []
-    before: list[float] = []
-    while True:
-        off = [(tried[-1][i] - target[i]) if live[i] else 0.0 for i in i_]
-        errors.append(sum(off[i] ** 2 / size[i] for i in i_ if live[i]))
-        stalled = len(errors) > 3 and min(errors[-3:]) > (1 - config.gain) * min(errors[:-3])
-        if max(map(abs, off)) <= config.close or stalled or len(history) == config.steps:
+    pulls: list[list[float]] = []  # not yet written
+
+    def measured(steps: list[list[float]]) -> tuple[list[float], list[list[float]], float, list[float]]:
+        """Expected shares, overlaps of documents with a rate, error and distance from the targets."""
+        rows = groups.select("n_tokens", "percent", _stepped(steps).alias("rate")) if steps else groups
+        inside = F.when(rate > 0, n).otherwise(0.0)
+        sums = rows.agg(*(F.sum(n * rate * p[i]).alias(f"d{i}") for i in i_), *(F.sum(inside * p[i] * p[j]).alias(f"o{i}_{j}") for i in i_ for j in range(i, len(names)))).first()
+        shares = [sums[f"d{i}"] / first["all"] for i in i_]
+        overlap = [[sums[f"o{min(i, j)}_{max(i, j)}"] / first["all"] for j in i_] for i in i_]
+        off = [shares[i] - target[i] if live[i] else 0.0 for i in i_]
+        return shares, overlap, sum(off[i] ** 2 / size[i] for i in i_ if live[i]), off
+
+    def slope(steps: list[list[float]], off: list[float]) -> float:
+        """Mean change of rates by a unit step along the projected gradient: zero at the optimum."""
+        rows = groups.select("n_tokens", "percent", _stepped(steps).alias("rate")) if steps else groups
+        down = rate - sum((p[i] * (off[i] / size[i]) for i in i_ if live[i]), F.lit(0.0))
+        return rows.agg(F.sum(n * F.abs(rate - F.greatest(F.lit(0.0), down)))).first()[0] / first["all"]
+
+    shares, overlap, error, off = measured([])
+    done, flat = 0, math.inf
+    while max(map(abs, off)) > config.close and done < config.steps:
+        # a thousandth of each size keeps a domain that hardly anything holds from pulling without end
+        pull = _solved([[overlap[i][j] + (1e-3 * size[i] if i == j else 0.0) if live[i] and live[j] else float(i == j) for j in i_] for i in i_], off)
+        for _ in range(12):
+            done += 1
+            tried = measured([*pulls, pull])
+            if tried[2] < error:
+                break
+            pull = [x / 2 for x in pull]
+        else:
+            break
+        gained = error - tried[2]
+        pulls.append(pull)
+        shares, overlap, error, off = tried
+        if len(pulls) == NESTED:
+            groups, pulls = work.table(f"rates-{done}", groups.withColumn("rate", _stepped(pulls))), []
+        if gained < 0.01 * (error + gained) and (flat := slope(pulls, off)) <= config.flat:
             break
-        if before:
-            turn = [(off[i] - before[i]) / size[i] if live[i] else 0.0 for i in i_]
-            met = sum(turn[i] * turn[j] * first[f"o{i}_{j}"] / first["all"] for i in i_ for j in i_)
-            step = max(shortest, sum(turn[i] * (off[i] - before[i]) for i in i_) / met) if met > 0 else shortest
-        if len(errors) > 1 and errors[-1] > max(errors[-5:-1]):
-            step = shortest
-        before = off
-        history.append([step * off[i] / size[i] if live[i] else 0.0 for i in i_])
-        total = members.select("n_tokens", "posterior", _rate(history).alias("rate")).agg(*(F.sum(n * F.col("rate") * p[i]).alias(f"d{i}") for i in i_)).first()
-        tried.append([total[f"d{i}"] / first["all"] for i in i_])
-    best = errors.index(min(errors))
-    return history[:best], tried[best]
+    if flat == math.inf:
+        flat = slope(pulls, off)
+    return Fit(groups.withColumn("rate", _stepped(pulls)) if pulls else groups, shares, flat, done)
 
 
 def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -207,10 +268,17 @@ def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()
     """
     names = sorted(config.targets)
     work = Workspace(documents.sparkSession, "mix")
-    members = work.table("members", posteriors(documents, learn(documents, labels, names, config), names, work))
-    history, _ = fit_rates(members, names, config)
-    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return members.select("doc_id", "n_tokens", best.alias("domain"), "posterior", _rate(history).alias("rate"))
+    members = work.table("members", posteriors(documents, learn(documents, labels, names, config, work), names, config, work))
+    rates = work.table("rates", fit_rates(members, names, config, work).rates.select(F.col("percent").alias("of"), "rate"))
+    # a row for each distinct posterior, 5,151 at most for three domains; more are joined
+    rates = F.broadcast(rates) if rates.count() <= MOST_RATES else rates
+    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("percent", F.array_max("percent")).cast("int"))
+    joined = members.join(rates, F.col("percent") == F.col("of"))
+    return joined.select("doc_id", "n_tokens", best.alias("domain"), F.transform("percent", lambda x: x / 100).alias("posterior"), "rate")
+
+
+#: Distinct posteriors whose rates may be broadcast.
+MOST_RATES = 200_000
 
 
 def apply_rates(documents: DataFrame, mixed: DataFrame) -> DataFrame:
