@@ -63,7 +63,7 @@ def test_neighbours(spark):
     data = [(100, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 2.0]), (8, [1.5, 2.0]), (9, [1.0, 2.0, 3.0])]
     rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x"))
     got = ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10).orderBy("rank").collect()
-    assert [(r["rank"], r.vec_id, r.score) for r in got][:2] == [(1, 1, 0.0), (2, 2, 0.0)] and {r.vec_id for r in got} <= {1, 2, 8}
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 1, 0.0), (2, 2, 0.0), (3, 8, 0.5)]
     assert ann.nearest(rows.where("false"), rows.where("false")).count() == 0
 
 
@@ -128,16 +128,3 @@ def test_stages_take_odd_rows(spark, docs, empty, stage):
         assert out.columns == docs.columns
     assert out.count() <= 8
     assert stage(spark, empty, small).count() == 0
-
-
-def test_pipeline_is_its_stages_and_keeps_clean_documents(spark):
-    small = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, small)
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    ids = {r.doc_id for r in out.select("doc_id").collect()}
-    assert ids <= {r.doc_id for r in docs.select("doc_id").collect()}
-    assert len(ids) > 0.5 * docs.count()
-    classes = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    leaks = decontam.contamination(docs, spark.read.parquet(f"{small}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
-    assert not ids & {r.doc_id for r in leaks.collect()}
-    assert len(ids & {r.doc_id for r in classes.collect()}) <= classes.count() * 0.1
