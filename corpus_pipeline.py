@@ -15,7 +15,7 @@ from barspark.llm.queries import END_ID, tokenizer_path
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay; texts without a letter go."""
+    """Documents in one of the learned languages stay; texts without a letter or unlike every learned language go."""
     return langid.drop_unidentified(docs)
 
 
@@ -30,7 +30,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of unwanted domains go and those of scarce ones repeat, as their rates say."""
+    """Every document stands as often as its fitted rate says, below one by the hash of its id."""
     return mixing.apply_rates(docs, mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("token_records", token_records),
 ]
 
-#: No stage but decontamination could be told in SQL; the tests compare each with a plain version.
+#: The stages' models and classes are beyond SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
