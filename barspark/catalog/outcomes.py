@@ -20,10 +20,10 @@ lf AS (SELECT fl.*, b.pos AS bp, b.close AS c, CASE WHEN is_long THEN b.high - p
   CASE WHEN is_long THEN b.high >= price + rk ELSE b.low <= price - rk END AS h1, CASE WHEN is_long THEN b.high >= price + 2 * rk ELSE b.low <= price - 2 * rk END AS h2, CASE WHEN is_long THEN b.high >= price + 3 * rk ELSE b.low <= price - 3 * rk END AS h3,
   CASE WHEN is_long THEN b.low <= price ELSE b.high >= price END AS hb FROM fl JOIN x b ON b.symbol = fl.symbol AND b.pos BETWEEN fill AND fill + {HORIZON}),
 pa AS (SELECT id, min(bp) FILTER (WHERE hs) AS sp, min(bp) FILTER (WHERE ht) AS tp, min(bp) FILTER (WHERE h1) AS p1, min(bp) FILTER (WHERE h2) AS p2, min(bp) FILTER (WHERE h3) AS p3, max(bp) AS "end", arg_max(c, bp) AS lc FROM lf GROUP BY id),
-j AS (SELECT fl.*, pa.* EXCLUDE (id), coalesce(sp, 1e9) AS s, coalesce(tp, 1e9) AS t, round(sd * (lc - price) / rk, 3) AS mark, round(abs(target - price) / rk, 3) AS reward FROM fl LEFT JOIN pa USING (id)),
+j AS (SELECT fl.*, pa.* EXCLUDE (id), coalesce(sp, 1e9) AS s, coalesce(tp, 1e9) AS t, round(sd * (lc - price) / rk, 3) + 0.0 AS mark, round(abs(target - price) / rk, 3) AS reward FROM fl LEFT JOIN pa USING (id)),
 lb0 AS (SELECT *, CASE WHEN fill IS NULL THEN 'NO_FILL' WHEN s = 1e9 AND t = 1e9 THEN 'HORIZON' WHEN s = t THEN 'AMBIGUOUS' WHEN t < s THEN 'TARGET' ELSE 'STOP' END AS result, CASE WHEN fill IS NOT NULL THEN least(s, t, "end")::BIGINT END AS final FROM j),
 ex AS (SELECT lf.id, max(best) AS mx, max(worst) AS wx, arg_min(bp, bp) FILTER (WHERE best = mb) AS mfe_pos FROM (SELECT lf.*, l.final, max(best) OVER (PARTITION BY lf.id) AS mb FROM lf JOIN lb0 l ON l.id = lf.id AND lf.bp <= l.final) lf GROUP BY lf.id),
-lb AS (SELECT lb0.*, round(CASE result WHEN 'TARGET' THEN abs(target - price) / rk WHEN 'STOP' THEN -1 WHEN 'HORIZON' THEN sd * (lc - price) / rk END, 3) AS realized, round(mx / rk, 3) AS mfe, round(wx / rk, 3) AS mae, mfe_pos FROM lb0 LEFT JOIN ex USING (id))"""
+lb AS (SELECT lb0.*, round(CASE result WHEN 'TARGET' THEN abs(target - price) / rk WHEN 'STOP' THEN -1 WHEN 'HORIZON' THEN sd * (lc - price) / rk END, 3) + 0.0 AS realized, round(mx / rk, 3) AS mfe, round(wx / rk, 3) AS mae, mfe_pos FROM lb0 LEFT JOIN ex USING (id))"""
 
 
 def orders(spark, d):
@@ -49,7 +49,7 @@ def _(spark, d):
 
 def _fixed(n: int) -> str:
     p = f"coalesce(p{n}, 1e9)"
-    return f"CASE WHEN fill IS NULL THEN 'NO_FILL' WHEN {p} = 1e9 AND s = 1e9 THEN 'HORIZON' WHEN {p} = s THEN 'AMBIGUOUS' WHEN {p} < s THEN 'TARGET' ELSE 'STOP' END AS fixed_{n}, round(CASE WHEN fill IS NULL OR {p} = s AND s < 1e9 THEN NULL WHEN {p} = 1e9 AND s = 1e9 THEN mark WHEN {p} < s THEN {n} ELSE -1 END, 3) AS fixed_{n}_r"
+    return f"CASE WHEN fill IS NULL THEN 'NO_FILL' WHEN {p} = 1e9 AND s = 1e9 THEN 'HORIZON' WHEN {p} = s THEN 'AMBIGUOUS' WHEN {p} < s THEN 'TARGET' ELSE 'STOP' END AS fixed_{n}, round(CASE WHEN fill IS NULL OR {p} = s AND s < 1e9 THEN NULL WHEN {p} = 1e9 AND s = 1e9 THEN mark WHEN {p} < s THEN {n} ELSE -1 END, 3) + 0.0 AS fixed_{n}_r"
 
 
 def _two(name: str, n: int, gain: float, after: str) -> str:
@@ -57,7 +57,7 @@ def _two(name: str, n: int, gain: float, after: str) -> str:
     b = f"coalesce(b{n}, 1e9)"
     share = 1 - gain / 2
     return f"""CASE WHEN fill IS NULL THEN 'NO_FILL' WHEN {f} = 1e9 THEN 'HORIZON' WHEN s = {f} AND ({p} = {f} OR t = {f}) THEN 'AMBIGUOUS' WHEN t = {f} THEN 'TARGET' WHEN s = {f} THEN 'STOP' WHEN {b} = 1e9 AND t = 1e9 THEN '{after}HORIZON' WHEN {b} = t THEN 'AMBIGUOUS' WHEN t < {b} THEN '{after}TARGET' ELSE '{after}BE' END AS {name},
-  round(CASE WHEN fill IS NULL THEN NULL WHEN {f} = 1e9 THEN mark WHEN s = {f} AND ({p} = {f} OR t = {f}) THEN NULL WHEN t = {f} THEN reward WHEN s = {f} THEN -1 WHEN {b} = 1e9 AND t = 1e9 THEN {gain} + {share} * mark WHEN {b} = t THEN NULL WHEN t < {b} THEN {gain} + {share} * reward ELSE {gain} END, 3) AS {name}_r"""
+  round(CASE WHEN fill IS NULL THEN NULL WHEN {f} = 1e9 THEN mark WHEN s = {f} AND ({p} = {f} OR t = {f}) THEN NULL WHEN t = {f} THEN reward WHEN s = {f} THEN -1 WHEN {b} = 1e9 AND t = 1e9 THEN {gain} + {share} * mark WHEN {b} = t THEN NULL WHEN t < {b} THEN {gain} + {share} * reward ELSE {gain} END, 3) + 0.0 AS {name}_r"""
 
 
 _MODELS = f"""{_ORDERS}, bk AS (SELECT lf.id, min(bp) FILTER (WHERE hb AND bp > p1) AS b1, min(bp) FILTER (WHERE hb AND bp > p2) AS b2 FROM lf JOIN pa USING (id) GROUP BY lf.id),
