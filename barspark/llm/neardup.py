@@ -30,16 +30,16 @@ class MinMaxConfig:
     """``shingle`` words make a shingle; documents of at least ``percent`` similarity are linked.
 
     A pair of similarity s shares none of the bands with probability
-    (1 - s**rows)**bands: 5e-8 at 0.8 for the default.  Buckets in which more than
-    ``crowd`` documents of several components remain are searched by their rarest
-    shingles instead of pair by pair.
+    (1 - s**rows)**bands: 5e-8 at 0.8 for the default.  Buckets of several components
+    that would need more than ``crowd`` comparisons of their minor documents with
+    all others are searched by their rarest shingles instead of pair by pair.
     """
 
     shingle: int = 5
     percent: int = 80
     rows: int = 4
     bands: int = 32
-    crowd: int = 256
+    crowd: int = 1 << 26
 
     @property
     def permutations(self) -> int:
@@ -218,11 +218,12 @@ def near_duplicates(documents: DataFrame, config: MinMaxConfig = MinMaxConfig(),
         shared.join(first.select("id", F.col("component").alias("own")), "id", "left")
         .select("bucket", "id", "n", F.coalesce("own", "id").alias("own"), "pivot")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min_by("own", "id").alias("major"), F.count("*").alias("held")).where("low <> high")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min_by("own", "id").alias("major")).where("low <> high")
     sketches = sets.drop("shingles").withColumnRenamed("doc_id", "id")
-    placed = work.table("mixed", placed.join(mixed.select("bucket", "major", "held"), "bucket"))
-    crowd = work.table("crowd", placed.where(F.col("held") > config.crowd).select("id", "n", "own").distinct())
-    placed = work.table("placed", placed.where(F.col("held") <= config.crowd).join(sketches, "id"))
+    placed = work.table("mixed", placed.join(mixed.select("bucket", "major"), "bucket"))
+    load = placed.groupBy("bucket").agg((F.count_if(F.col("own") != F.col("major")) * F.count("*")).alias("load")).where(F.col("load") > config.crowd).select("bucket")
+    crowd = work.table("crowd", placed.join(load, "bucket", "left_semi").select("id", "n", "own").distinct())
+    placed = work.table("placed", placed.join(load, "bucket", "left_anti").join(sketches, "id"))
     other = placed.select(*(F.col(c).alias(f"o_{c}") for c in placed.columns))
     rest = (
         placed.where("own <> major")

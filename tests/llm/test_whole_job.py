@@ -176,7 +176,7 @@ def near_classes(sets, percent):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize("crowd", [0, 256])
+@pytest.mark.parametrize("crowd", [0, 1 << 20])
 def test_op3_buckets_of_several_components(spark, crowd):
     """Unlike documents around one common passage, with near copies in between, in pairs and by rarest shingles."""
     rng = random.Random(4)
