@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann, decontam, langid, lengths, mixing, neardup, records, secrets, substrings, urlfilter
+from barspark.llm import align, ann, decontam, langid, lengths, lexical, mixing, neardup, quality, records, secrets, substrings, urlfilter
 from barspark.llm.common import Workspace
 
 #: File of the public tokenizer that the token queries use.
@@ -17,10 +17,14 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
-def tokenizer_path() -> str:
+#: Files of the two tokenizers that are aligned.
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,6 +109,20 @@ def op10_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model = quality.train(documents, _read(spark, sf_dir, "labels"))
+    return quality.predict(documents, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_event_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), align.AlignConfig(tokenizer_path(TOKENIZER_A), tokenizer_path(TOKENIZER_B)))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_battery": op1_secret_battery,
     "op2_shift_and_urls": op2_shift_and_urls,
@@ -116,6 +134,9 @@ QUERIES = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_length_histogram": op9_length_histogram,
     "op10_hierarchical_langid": op10_hierarchical_langid,
+    "op11_nonnegative_pu": op11_nonnegative_pu,
+    "op12_event_sweep": op12_event_sweep,
+    "op13_maxscore": op13_maxscore,
 }
 
 #: Host and path as the canonical URL has them.
@@ -148,5 +169,33 @@ SELECT page_id, host, path, rule,
             ELSE 'allow'
        END AS verdict
 FROM ruled
+""",
+    "op13_maxscore": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), sizes AS (
+  SELECT row, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), postings AS (
+  SELECT row, term, count(*) AS tf
+  FROM (SELECT row, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked)
+  GROUP BY row, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), scored AS (
+  SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row), totals
+  GROUP BY item_id, row
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN sizes USING (row) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
 }

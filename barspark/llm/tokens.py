@@ -13,51 +13,21 @@ from barspark.llm.textnum import NON_BLANK, U64, prefix_hashes, span_hashes, wor
 SIGNS = {bytes([c]) for c in b".,;:!?"}
 
 
-class PieceEncoder:
-    """Encodes texts blank by blank and remembers pieces.
+class PieceMemory:
+    """Ids of pieces of text, found by the 64-bit hashes of their bytes in a sorted array.
 
-    For tokenizers that never merge across white space, a text's ids are those
-    of its blank-separated pieces in order, so a piece needs encoding only once.
-    The pieces of a block of texts are found by their 64-bit hashes in a sorted
-    array; only unknown ones reach the tokenizer, those of letters and one sign
-    as two.  ``entries`` bounds what is remembered; a piece beyond it is encoded
-    again in every block that has it.
+    Only unknown pieces reach :meth:`_encode_new`.  ``entries`` bounds what is
+    remembered; a piece beyond it is encoded again in every block that has it.
     """
 
-    def __init__(self, path: str, entries: int = 1 << 18, block: int = 1 << 18):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.entries, self.block = entries, block
+    def __init__(self, dtype: np.dtype, entries: int):
+        self.dtype, self.entries = dtype, entries
         self.keys, self.at = np.zeros(0, U64), np.zeros(0, np.int64)  # sorted hashes; where each one's ids begin
         self.count = np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
-        #: A-Z may be lowered before the lookup only where the tokenizer does so itself.
-        self.folds = self.whole("AbZ") == self.whole("abz")
-        self.splits = all(self.whole(f"ab{s}") == self.whole("ab") + self.whole(s) for s in (x.decode() for x in SIGNS))
-        self.signs = {s: self.whole(s.decode()) for s in SIGNS}
-        self.mark = next(((t, i) for t, i in sorted(self.tokenizer.get_vocab(True).items()) if t.startswith("<|") and self.whole(f"a{t}b") == self.whole("a") + [i] + self.whole("b")), None)
+        self.ids, self.used = np.zeros(1 << 20, dtype), 0
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _encode_new(self, pieces: list[bytes]) -> list[list[int] | np.ndarray]:
-        tails, bodies = [], []
-        for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            signed = self.splits and len(text) > 1 and piece[-1:] in SIGNS and text[-2].isalpha()
-            tails.append(self.signs[piece[-1:]] if signed else None)
-            bodies.append(text[:-1] if signed else text)
-        if self.mark:  # one call, with a special token between the pieces
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(bodies)], add_special_tokens=False)[0].ids, self.dtype)
-            edges = np.flatnonzero(ids == self.mark[1])
-            if len(edges) == len(bodies) - 1:
-                low, high = [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)]
-                return [ids[a:b] if tail is None else [*ids[a:b], *tail] for a, b, tail in zip(low, high, tails)]
-        coded = self.tokenizer.encode_batch_fast(bodies, add_special_tokens=False)
-        return [e.ids if tail is None else [*e.ids, *tail] for e, tail in zip(coded, tails)]
+    def _encode_new(self, pieces: list[bytes]) -> list:
+        raise NotImplementedError
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         slot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -78,11 +48,12 @@ class PieceEncoder:
             self.used += int(count[keep].sum())
         return at, count
 
-    def _encode_block(self, texts: list[bytes]) -> list[np.ndarray]:
-        data = np.frombuffer(b" ".join(texts), np.uint8)
-        start, end = word_spans(data, NON_BLANK)
-        hashes = span_hashes(prefix_hashes(data), start, end)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in order, and before each piece (and at the end) how many ids there are.
+
+        ``keys`` are the distinct hashes of the pieces from ``start`` to ``end``,
+        ``first`` a piece of each hash and ``which`` the hash of each piece.
+        """
         slot = self._find(keys)
         new = np.flatnonzero(slot < 0)
         at, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -95,11 +66,58 @@ class PieceEncoder:
                 lists += self._encode_new([view[start[i] : end[i]] for i in first[new[some : some + 2048]]])
             at[new], count[new] = self._add(keys[new], lists)
         n = count[which]
-        into = np.cumsum(n) - n
-        ids = self.ids[np.repeat(at[which] - into, n) + np.arange(int(n.sum()))]
+        into = np.append(0, np.cumsum(n))
+        return self.ids[np.repeat(at[which] - into[:-1], n) + np.arange(into[-1])], into
+
+
+class PieceEncoder(PieceMemory):
+    """Encodes texts blank by blank and remembers pieces.
+
+    For tokenizers that never merge across white space, a text's ids are those
+    of its blank-separated pieces in order, so a piece needs encoding only once.
+    Pieces of letters and one sign are encoded as two.
+    """
+
+    def __init__(self, path: str, entries: int = 1 << 18, block: int = 1 << 18):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), entries)
+        self.block = block
+        #: A-Z may be lowered before the lookup only where the tokenizer does so itself.
+        self.folds = self.whole("AbZ") == self.whole("abz")
+        self.splits = all(self.whole(f"ab{s}") == self.whole("ab") + self.whole(s) for s in (x.decode() for x in SIGNS))
+        self.signs = {s: self.whole(s.decode()) for s in SIGNS}
+        self.mark = next(((t, i) for t, i in sorted(self.tokenizer.get_vocab(True).items()) if t.startswith("<|") and self.whole(f"a{t}b") == self.whole("a") + [i] + self.whole("b")), None)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode_new(self, pieces: list[bytes]) -> list[list[int] | np.ndarray]:
+        tails, bodies = [], []
+        for piece in pieces:
+            text = piece.decode("utf-8", "replace")
+            # only behind an ASCII letter: a letter whose lower case ends in a mark (U+0130) joins the sign
+            signed = self.splits and len(piece) > 1 and piece[-1:] in SIGNS and piece[-2:-1].isalpha()
+            tails.append(self.signs[piece[-1:]] if signed else None)
+            bodies.append(text[:-1] if signed else text)
+        if self.mark:  # one call, with a special token between the pieces
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(bodies)], add_special_tokens=False)[0].ids, self.dtype)
+            edges = np.flatnonzero(ids == self.mark[1])
+            if len(edges) == len(bodies) - 1:
+                low, high = [0, *(edges + 1).tolist()], [*edges.tolist(), len(ids)]
+                return [ids[a:b] if tail is None else [*ids[a:b], *tail] for a, b, tail in zip(low, high, tails)]
+        coded = self.tokenizer.encode_batch_fast(bodies, add_special_tokens=False)
+        return [e.ids if tail is None else [*e.ids, *tail] for e, tail in zip(coded, tails)]
+
+    def _encode_block(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        start, end = word_spans(data, NON_BLANK)
+        keys, first, which = np.unique(span_hashes(prefix_hashes(data), start, end), return_index=True, return_inverse=True)
+        ids, into = self.look_up(data, start, end, keys, first, which)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        word_at = np.searchsorted(start, bounds)
-        edges = np.append(into, len(ids))[word_at]
+        edges = into[np.searchsorted(start, bounds)]
         return [ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
     def _parts(self, text: bytes) -> Iterator[bytes]:
