@@ -59,7 +59,7 @@ class Side(PieceMemory):
 
     spelled: list[bytes]
 
-    def __init__(self, entries: int = 1 << 20):
+    def __init__(self, entries: int = 3 << 18):
         super().__init__(np.dtype("<u2"), entries)
         self.size = np.array([len(t) for t in self.spelled], np.int64)
 
@@ -219,7 +219,7 @@ def _events(config: AlignConfig):
                         for column, value in zip(out, (row, doc_id, int(last[i]) if len(ids) else 0, side, ids[i:j].tobytes())):
                             column.append(value)
                         held += 2 * int(j - i)
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield _packed(out)
                     out, held = [[], [], [], [], []], 0
             yield _packed(out)
