@@ -1,12 +1,13 @@
 """Mixing by soft domain membership, in DataFrame and SQL functions only.
 
 A naive Bayes classifier over the telling words of the labelled documents gives
-every document a posterior over domains, in whole percents.  Nonnegative document
-rates are then fitted so that the expected tokens of each domain meet targets:
-projected gradient steps on the least squares of the domains' relative errors.
-A rate depends on the posterior alone, so documents are added up by posterior
-first, and a step is one aggregation over the distinct posteriors, of which there
-are at most 5,151 for three domains whatever the size of the corpus.
+every document a posterior over domains.  Nonnegative document rates are then
+fitted so that the expected tokens of each domain meet targets: projected gradient
+steps on the least squares of the domains' relative errors.  Documents of nearly
+one posterior share a rate: their tokens and their exact expected tokens by domain
+are added up first, cell by cell, so that a step is one aggregation over cells,
+whose number is bounded whatever the size of the corpus, and what a step weighs
+is the documents' own mass and not a rounded one.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class MixConfig:
     inline: int = 20000
     labelled: int = 20000
     steps: int = 100
-    close: float = 1e-4
+    close: float = 5e-4
     flat: float = 2e-5
 
 
@@ -122,11 +123,12 @@ def learn(documents: DataFrame, labels: DataFrame, names: list[str], config: Mix
 
 
 def posteriors(documents: DataFrame, model: Domains, names: list[str], config: MixConfig, work: Workspace) -> DataFrame:
-    """doc_id, n_tokens (words of the whole text) and ``percent`` by domain of every distinct doc_id.
+    """doc_id, n_tokens (words of the whole text), ``posterior`` by domain and ``cell`` of every distinct doc_id.
 
     Texts are read once; what goes on is a document's length and its known
     words.  A document of no known word has the posterior of their absence.
-    Percents are rounded down, and what that leaves of 100 goes to the largest.
+    A cell is the whole percents of a posterior, and of memberships below one
+    percent the half power of two.
     """
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"), _traits(F.col("text")).alias("traits"))
     edges = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
@@ -146,13 +148,15 @@ def posteriors(documents: DataFrame, model: Domains, names: list[str], config: M
     joined = tokens.join(scores, tokens.doc_id.eqNullSafe(scores.doc_id), "left").select(tokens.doc_id, "n_tokens", F.array(*logits).alias("logit"))
     odds = F.transform("logit", lambda x: F.exp(x - F.array_max("logit")))
     joined = joined.withColumn("odds", odds).withColumn("total", F.aggregate("odds", F.lit(0.0), lambda a, b: a + b))
-    # the sums of a text's weights come in any order: nine digits are the same in every run
-    joined = joined.withColumn("down", F.transform("odds", lambda x: F.floor(F.round(100 * x / F.col("total"), 9)).cast("int")))
-    rest = 100 - F.aggregate("down", F.lit(0), lambda a, b: a + b)
-    top = F.array_position("down", F.array_max("down")) - 1
-    return joined.select("doc_id", "n_tokens", F.transform("down", lambda x, i: x + F.when(i == top, rest).otherwise(0)).alias("percent"))
+    # the sums of a text's weights come in any order: twelve digits are the same in every run
+    joined = joined.withColumn("posterior", F.transform("odds", lambda x: F.round(x / F.col("total"), 12)))
+    cell = F.transform("posterior", lambda x: F.when(x >= 0.01, F.floor(100 * x)).otherwise(F.floor(F.greatest(2 * F.log2(x), F.lit(SMALLEST)))).cast("int"))
+    return joined.select("doc_id", "n_tokens", "posterior", F.coalesce(cell, F.array()).alias("cell"))
 
 
+#: Half powers of two below which memberships share a cell.
+SMALLEST = -60.0
+
 #: Steps that are compiled into one expression before the rates are written.
 NESTED = 30
 
@@ -161,14 +165,14 @@ def _stepped(pulls: list[list[float]]) -> Column:
     """Projected gradient steps in turn, from column ``rate``, as one expression of plain arithmetic, which Spark compiles."""
     rate = "rate"
     for pull in pulls:
-        drop = " + ".join(f"percent[{i}] * {float(x / 100)!r}D" for i, x in enumerate(pull))
+        drop = " + ".join(f"mean[{i}] * {float(x)!r}D" for i, x in enumerate(pull))
         rate = f"greatest(0D, {rate} - ({drop}))"
     return F.expr(rate)
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Rates by posterior, the expected domain shares that they reach, the last projected gradient and the steps taken."""
+    """Rates by cell, the expected domain shares that they reach, the last projected gradient and the steps taken."""
 
     rates: DataFrame
     shares: list[float]
@@ -191,19 +195,22 @@ def _solved(rows: list[list[float]], values: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, names: list[str], config: MixConfig, work: Workspace) -> Fit:
-    """Rate of every posterior among ``members(n_tokens, percent)``.
+    """Rate of every cell of ``members(n_tokens, posterior, cell)``.
 
     Rates minimise sum((expected - target)**2 / size) over domains, in shares of
     all tokens, from rate 1, by gradient steps projected on rates of zero and
     more.  A step's pull on each domain comes from the gradient and the curvature
     among the documents that still have a rate: their overlaps by domain, which
     the last step's aggregation gives too.  A step that does not lower the error
-    is halved.  Domains without tokens are left out.
+    is halved.  Domains without tokens are left out.  ``mean`` is a cell's
+    expected tokens by domain over its tokens, not the middle of the cell.
     """
     i_ = range(len(names))
-    p = [F.element_at("percent", i + 1) / 100 for i in i_]
+    p = [F.element_at("mean", i + 1) for i in i_]
     n, rate = F.col("n_tokens"), F.col("rate")
-    groups = members.groupBy("percent").agg(F.sum("n_tokens").cast("double").alias("n_tokens"))
+    own = [F.element_at("posterior", i + 1) for i in i_]
+    mean = F.array(*(F.when(F.sum("n_tokens") > 0, F.sum(F.col("n_tokens") * own[i]) / F.sum("n_tokens")).otherwise(F.avg(own[i])) for i in i_))
+    groups = members.groupBy("cell").agg(F.sum("n_tokens").cast("double").alias("n_tokens"), mean.alias("mean"))
     groups = work.table("rates-0", groups.withColumn("rate", F.lit(1.0)))
     first = groups.agg(F.sum(n).alias("all"), *(F.sum(n * p[i]).alias(f"d{i}") for i in i_)).first()
     if not first["all"]:
@@ -215,7 +222,7 @@ def fit_rates(members: DataFrame, names: list[str], config: MixConfig, work: Wor
 
     def measured(steps: list[list[float]]) -> tuple[list[float], list[list[float]], float, list[float]]:
         """Expected shares, overlaps of documents with a rate, error and distance from the targets."""
-        rows = groups.select("n_tokens", "percent", _stepped(steps).alias("rate")) if steps else groups
+        rows = groups.select("n_tokens", "mean", _stepped(steps).alias("rate")) if steps else groups
         inside = F.when(rate > 0, n).otherwise(0.0)
         sums = rows.agg(*(F.sum(n * rate * p[i]).alias(f"d{i}") for i in i_), *(F.sum(inside * p[i] * p[j]).alias(f"o{i}_{j}") for i in i_ for j in range(i, len(names)))).first()
         shares = [sums[f"d{i}"] / first["all"] for i in i_]
@@ -225,7 +232,7 @@ def fit_rates(members: DataFrame, names: list[str], config: MixConfig, work: Wor
 
     def slope(steps: list[list[float]], off: list[float]) -> float:
         """Mean change of rates by a unit step along the projected gradient: zero at the optimum."""
-        rows = groups.select("n_tokens", "percent", _stepped(steps).alias("rate")) if steps else groups
+        rows = groups.select("n_tokens", "mean", _stepped(steps).alias("rate")) if steps else groups
         down = rate - sum((p[i] * (off[i] / size[i]) for i in i_ if live[i]), F.lit(0.0))
         return rows.agg(F.sum(n * F.abs(rate - F.greatest(F.lit(0.0), down)))).first()[0] / first["all"]
 
@@ -264,20 +271,21 @@ def mix(documents: DataFrame, labels: DataFrame, config: MixConfig = MixConfig()
     Null texts have no tokens and the posterior of a document without known
     words; a null doc_id is one document.  Repeated rows of an id are one
     document with its longest text's length.  Without any labels all domains
-    are equally likely.  An empty table gives no rows.
+    are equally likely; with so few that no word has enough support every document
+    has the prior, and so one rate.  An empty table gives no rows.
     """
     names = sorted(config.targets)
     work = Workspace(documents.sparkSession, "mix")
     members = work.table("members", posteriors(documents, learn(documents, labels, names, config, work), names, config, work))
-    rates = work.table("rates", fit_rates(members, names, config, work).rates.select(F.col("percent").alias("of"), "rate"))
-    # a row for each distinct posterior, 5,151 at most for three domains; more are joined
+    rates = work.table("rates", fit_rates(members, names, config, work).rates.select(F.col("cell").alias("of"), "rate"))
+    # a row for each cell, some ten thousand at most for three domains; more are joined
     rates = F.broadcast(rates) if rates.count() <= MOST_RATES else rates
-    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("percent", F.array_max("percent")).cast("int"))
-    joined = members.join(rates, F.col("percent") == F.col("of"))
-    return joined.select("doc_id", "n_tokens", best.alias("domain"), F.transform("percent", lambda x: x / 100).alias("posterior"), "rate")
+    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")).cast("int"))
+    joined = members.join(rates, F.col("cell") == F.col("of"))
+    return joined.select("doc_id", "n_tokens", best.alias("domain"), "posterior", "rate")
 
 
-#: Distinct posteriors whose rates may be broadcast.
+#: Cells whose rates may be broadcast.
 MOST_RATES = 200_000
 
 
