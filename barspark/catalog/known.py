@@ -12,8 +12,10 @@ from barspark.plans.causal import Known
 #: Every displacement known at every bar, with the structural swing before its sweep as of that bar.
 _KNOWN = f"""{_CHAIN}, lv0 AS (SELECT *, max(kind * price) OVER (PARTITION BY symbol, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM sr),
 lv AS (SELECT symbol, run, kind, pos, price, pos + 2 AS kf, coalesce(lead(pos) OVER (PARTITION BY symbol, run ORDER BY pos) + 2, 1000000000) AS kt FROM lv0 WHERE best IS NULL OR kind * price > best),
-cs AS (SELECT b.symbol, b.pos AS c, m.level_pos, m.way, m.sweep_pos, m.end_pos, m.extreme, max(lv.pos) AS broken_pos, arg_max(lv.price, lv.pos) AS broken_price
-  FROM mv m JOIN x b ON b.symbol = m.symbol AND m.end_pos < b.pos JOIN lv ON lv.symbol = m.symbol AND lv.kind = m.way AND lv.pos < m.sweep_pos AND lv.kf <= b.pos AND lv.kt > b.pos GROUP BY ALL),
+mk0 AS (SELECT b.symbol, b.pos AS c, m.level_pos, m.way, m.sweep_pos, m.extreme, CASE WHEN m.turn_pos < b.pos THEN m.turn_pos ELSE b.pos END AS end_pos FROM mv0 m JOIN x b ON b.symbol = m.symbol AND m.sweep_pos < b.pos),
+mk AS (SELECT k.* FROM mk0 k JOIN x e ON e.symbol = k.symbol AND e.pos = k.end_pos WHERE CASE WHEN way = 1 THEN e.high > extreme ELSE e.low < extreme END),
+cs AS (SELECT m.symbol, c, m.level_pos, m.way, m.sweep_pos, m.end_pos, m.extreme, max(lv.pos) AS broken_pos, arg_max(lv.price, lv.pos) AS broken_price
+  FROM mk m JOIN lv ON lv.symbol = m.symbol AND lv.kind = m.way AND lv.pos < m.sweep_pos AND lv.kf <= c AND lv.kt > c GROUP BY ALL),
 cd AS (SELECT d.*, min(b.pos) AS confirm_pos FROM (SELECT DISTINCT symbol, level_pos, way, sweep_pos, broken_pos, broken_price FROM cs) d JOIN x b ON b.symbol = d.symbol AND b.pos > d.sweep_pos AND CASE WHEN d.way = 1 THEN b.close > broken_price ELSE b.close < broken_price END GROUP BY ALL),
 ct AS (SELECT cs.*, CASE WHEN confirm_pos <= c THEN confirm_pos ELSE broken_pos END AS placed FROM cs LEFT JOIN cd USING (symbol, level_pos, way, sweep_pos, broken_pos, broken_price)),
 go AS (SELECT cs.symbol, c, formed_pos, cs.way, sweep_pos, level_pos, extreme, bottom, top, (top + bottom) / 2 AS entry FROM cs JOIN gf ON gf.symbol = cs.symbol AND gf.way = cs.way AND gf.formed_pos BETWEEN sweep_pos + 2 AND end_pos
@@ -23,7 +25,7 @@ _LAST = "SELECT symbol, c, kind, arg_max(price, lp) AS price FROM (SELECT b.symb
 
 @query("d26_market_states", f"""{_KNOWN}, r AS ({_LAST}), k AS (SELECT b.symbol, b.pos, b.close,
   (SELECT count(*) FROM pool p WHERE p.symbol = b.symbol AND p.pos + 2 <= b.pos AND (hit_pos IS NULL OR hit_pos > b.pos)) AS n_pools, (SELECT count(*) FROM pool p WHERE p.symbol = b.symbol AND swept AND hit_pos <= b.pos) AS n_sweeps,
-  (SELECT count(*) FROM mv m WHERE m.symbol = b.symbol AND m.end_pos < b.pos) AS n_displacements, coalesce(ns.n, 0) AS n_shifts, coalesce(ng.n, 0) AS n_gaps, h.price AS range_high, l.price AS range_low
+  (SELECT count(*) FROM mk WHERE mk.symbol = b.symbol AND mk.c = b.pos) AS n_displacements, coalesce(ns.n, 0) AS n_shifts, coalesce(ng.n, 0) AS n_gaps, h.price AS range_high, l.price AS range_low
   FROM x b LEFT JOIN (SELECT symbol, c, count(*) AS n FROM cs GROUP BY ALL) ns ON ns.symbol = b.symbol AND ns.c = b.pos LEFT JOIN (SELECT symbol, c, count(*) AS n FROM go GROUP BY ALL) ng ON ng.symbol = b.symbol AND ng.c = b.pos
   LEFT JOIN r h ON h.symbol = b.symbol AND h.c = b.pos AND h.kind = 1 LEFT JOIN r l ON l.symbol = b.symbol AND l.c = b.pos AND l.kind = -1)
 SELECT *  EXCLUDE (close), CASE WHEN close > (range_high + range_low) / 2 THEN 'premium' WHEN close < (range_high + range_low) / 2 THEN 'discount' WHEN range_high + range_low IS NOT NULL THEN 'equilibrium' END AS zone FROM k""")

@@ -21,7 +21,9 @@ pool AS (SELECT pv.*, hit_pos, hit_close, extreme, coalesce(CASE WHEN pv.kind =
 f1 AS (SELECT *, count(*) OVER a = 1 AND count(*) OVER b = 1 AND high > max(high) OVER b AND high >= max(high) OVER a AS top, count(*) OVER a = 1 AND count(*) OVER b = 1 AND low < min(low) OVER b AND low <= min(low) OVER a AS bottom
   FROM x WINDOW b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)),
 p1 AS (SELECT symbol, pos, 1 AS kind, high AS price FROM f1 WHERE top UNION ALL SELECT symbol, pos, -1, low FROM f1 WHERE bottom),
-mv AS (SELECT q.symbol, q.pos AS level_pos, -q.kind AS way, any_value(q.price) AS price, any_value(q.extreme) AS extreme, any_value(q.hit_pos) AS sweep_pos, min(v.pos) AS end_pos FROM pool q JOIN p1 v ON v.symbol = q.symbol AND v.kind = -q.kind AND v.pos > q.hit_pos WHERE q.swept GROUP BY q.symbol, q.pos, q.kind),
+mv0 AS (SELECT q.symbol, q.pos AS level_pos, -q.kind AS way, any_value(q.price) AS price, any_value(q.extreme) AS extreme, any_value(q.hit_pos) AS sweep_pos, min(v.pos) AS turn_pos FROM pool q LEFT JOIN p1 v ON v.symbol = q.symbol AND v.kind = -q.kind AND v.pos > q.hit_pos WHERE q.swept GROUP BY q.symbol, q.pos, q.kind),
+mv1 AS (SELECT *, coalesce(turn_pos, (SELECT max(pos) FROM x WHERE x.symbol = mv0.symbol)) AS end_pos, turn_pos IS NOT NULL AS exhausted FROM mv0),
+mv AS (SELECT m.symbol, level_pos, way, price, extreme, sweep_pos, end_pos, exhausted FROM mv1 m JOIN x e ON e.symbol = m.symbol AND e.pos = end_pos WHERE end_pos > sweep_pos AND CASE WHEN way = 1 THEN e.high > extreme ELSE e.low < extreme END),
 sm AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER o THEN 1 ELSE 0 END AS ch FROM pv WINDOW o AS (PARTITION BY symbol ORDER BY pos, kind)),
 sr AS (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS run FROM sm),
 sk AS (SELECT symbol, run, kind, first(pos ORDER BY kind * price DESC, pos) AS pos, first(price ORDER BY kind * price DESC, pos) AS price FROM sr GROUP BY ALL),
@@ -96,7 +98,7 @@ _QUALITY = f"""{_CHAIN}, dr AS (SELECT symbol, arg_max(price, pos) FILTER (WHERE
 q0 AS (SELECT st.*, rh, rl, (rh + rl) / 2 AS ce, CASE WHEN rh <> rl THEN rh - rl ELSE 1e-9 END AS span FROM st JOIN dr USING (symbol)),
 q1 AS (SELECT *, round({_CLAMP.format("CASE WHEN way = 1 THEN (ce - entry) / CASE WHEN ce <> rl THEN ce - rl ELSE 1e-9 END ELSE (entry - ce) / CASE WHEN rh <> ce THEN rh - ce ELSE 1e-9 END END")}, 4) AS pd_location, round({_CLAMP.format("1 - abs(entry - ce) / (0.5 * span)")}, 4) AS ce_distance,
   round(CASE WHEN rr BETWEEN 3 AND 8 THEN 1 WHEN rr > 8 THEN {_CLAMP.format("1 - (rr - 8) / 24")} ELSE {_CLAMP.format("rr / 3")} END, 4) AS rr_realism,
-  round({_CLAMP.format("0.5 * CASE state WHEN 'confirmed' THEN 1.0 WHEN 'candidate' THEN 0.6 ELSE 0.2 END + 0.15 + 0.2 * " + _CLAMP.format("abs(extreme - price) / (0.25 * span)"))}, 4) AS confirmation,
+  round({_CLAMP.format("0.5 * CASE state WHEN 'confirmed' THEN 1.0 WHEN 'candidate' THEN 0.6 ELSE 0.2 END + CASE WHEN exhausted THEN 0.3 ELSE 0.15 END + 0.2 * " + _CLAMP.format("abs(extreme - price) / (0.25 * span)"))}, 4) AS confirmation,
   round({_CLAMP.format("0.7 * CASE status WHEN 'unfilled' THEN 1.0 WHEN 'touched' THEN 0.6 ELSE 0.0 END + 0.3 * " + _CLAMP.format("1 - abs((top - bottom) / span - 0.05) / 0.15"))}, 4) AS fvg_location FROM q0)"""
 
 

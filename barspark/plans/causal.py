@@ -18,7 +18,7 @@ from barspark.operators import structure as D
 from barspark.operators.firsthit import first_beyond
 from barspark.operators.joins import as_of
 from barspark.operators.ordered import fold
-from barspark.plans.setups import MIN_RR
+from barspark.plans.setups import MIN_RR, moved_to, turns
 from barspark.sources.shared import written
 
 #: The end of what stays known.
@@ -42,10 +42,18 @@ def legs(pivots: DataFrame) -> DataFrame:
     return out.select("symbol", "run", "kind", "pos", "price", "known_from", "known_to")
 
 
-def moves(pools: DataFrame, minor: DataFrame) -> DataFrame:
-    """Displacements that followed swept levels, known from the bar that confirms the pivot which ends them."""
-    found = D.displacements(pools, minor)
-    return found.select("symbol", F.col("pos").alias("level_pos"), (-F.col("kind")).alias("way"), "price", "extreme", F.col("hit_pos").alias("sweep_pos"), "end_pos", (F.col("end_pos") + 1).cast("long").alias("known_from"))
+def moves(pools: DataFrame, minor: DataFrame, bars: DataFrame) -> DataFrame:
+    """Displacements that followed swept levels as they were known.
+
+    While no pivot against it is confirmed a displacement goes on to the bar at
+    hand, a row for each; from the confirmation on it ends at that pivot.
+    """
+    going = F.transform(F.sequence(F.col("sweep_pos") + 1, F.coalesce("turn_pos", "last_pos")), lambda c: F.struct(c.alias("end_pos"), F.lit(False).alias("exhausted"), c.alias("known_from"), (c + 1).alias("known_to")))
+    ended = F.when(F.col("turn_pos").isNotNull(), F.array(F.struct(F.col("turn_pos").alias("end_pos"), F.lit(True).alias("exhausted"), (F.col("turn_pos") + 1).alias("known_from"), F.lit(FOREVER).alias("known_to"))))
+    found = turns(pools, minor, bars).where("sweep_pos < coalesce(turn_pos, last_pos)")
+    rows = found.withColumn("e", F.explode(F.concat(going, F.coalesce(ended, F.array())))).select(*found.columns, "e.*")
+    # the pivot is confirmed a bar later, which may not have come
+    return moved_to(rows.where("known_from <= last_pos"), bars)
 
 
 def shifts(moved: DataFrame, known: DataFrame, bars: DataFrame) -> DataFrame:
@@ -62,10 +70,10 @@ def shifts(moved: DataFrame, known: DataFrame, bars: DataFrame) -> DataFrame:
     before = last.where(F.col("leg_to") == FOREVER).select("symbol", (F.col("run") + 2).alias("run"), F.col("broken_pos").alias("old_pos"), F.col("broken_price").alias("old_price"))
     both = first.join(before, ["symbol", "run"], "left")
     versions = F.array(
-        F.struct(F.col("broken_pos"), F.col("broken_price"), F.col("known_from"), F.col("leg_to").alias("known_to")),
-        F.struct(F.col("old_pos").alias("broken_pos"), F.col("old_price").alias("broken_price"), F.greatest("known_from", "leg_to").alias("known_from"), F.lit(FOREVER).alias("known_to")),
+        F.struct(F.col("broken_pos"), F.col("broken_price"), F.col("known_from"), F.least("known_to", "leg_to").alias("known_to")),
+        F.struct(F.col("old_pos").alias("broken_pos"), F.col("old_price").alias("broken_price"), F.greatest("known_from", "leg_to").alias("known_from"), F.col("known_to")),
     )
-    own = ["symbol", "level_pos", "way", "price", "extreme", "sweep_pos", "end_pos"]
+    own = ["symbol", "level_pos", "way", "price", "extreme", "sweep_pos", "end_pos", "exhausted"]
     out = both.select(*own, F.explode(versions).alias("v")).select(*own, "v.*").where("broken_pos is not null and known_from < known_to")
     points = out.withColumn("side", F.col("way")).withColumn("level", F.col("broken_price"))
     closed = first_beyond(points, bars, "sweep_pos", up="close", down="close").withColumnRenamed("hit_pos", "confirm_pos")
@@ -156,7 +164,7 @@ class Known:
         pivots = written(D.pivots(self.bars), "pivots")
         self.pools = written(D.pools(pivots, self.bars), "pools")
         self.legs = written(legs(pivots), "legs")
-        self.moves = written(moves(self.pools, D.pivots(self.bars, 1)), "moves")
+        self.moves = written(moves(self.pools, D.pivots(self.bars, 1), self.bars), "moves")
         self.shifts = written(shifts(self.moves, self.legs, self.bars), "shifts")
         self.gaps = written(gaps(self.shifts, self.bars), "gaps")
 
@@ -194,7 +202,7 @@ class Known:
         spans = {
             "n_pools": self.pools.select("symbol", F.col("confirm_pos").cast("long").alias("known_from"), F.coalesce("hit_pos", F.lit(FOREVER)).alias("known_to")),
             "n_sweeps": self.pools.where("swept").select("symbol", F.col("hit_pos").alias("known_from"), F.lit(FOREVER).alias("known_to")),
-            "n_displacements": self.moves.select("symbol", "known_from", F.lit(FOREVER).alias("known_to")),
+            "n_displacements": self.moves.select("symbol", "known_from", "known_to"),
             "n_shifts": self.shifts.select("symbol", "known_from", "known_to"),
             "n_gaps": self.gaps.select("symbol", "known_from", "known_to"),
         }

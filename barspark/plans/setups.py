@@ -19,10 +19,30 @@ from barspark.operators.joins import as_of
 MIN_RR = 3.0
 
 
+def turns(pools: DataFrame, minor: DataFrame, bars: DataFrame) -> DataFrame:
+    """Swept levels with turn_pos, the first later pivot against the move that follows (null while there is none), and the symbol's last_pos."""
+    opposite = minor.select("symbol", (-F.col("kind")).alias("kind"), F.col("pos").alias("turn_pos"))
+    after = pools.where("swept").withColumn("from_pos", F.col("hit_pos") + 1)
+    met = as_of(after, opposite, ["symbol", "kind"], "from_pos", "turn_pos", ["turn_pos"], forward=True)
+    last = bars.groupBy("symbol").agg(F.max("pos").alias("last_pos"))
+    return met.join(last, "symbol").select("symbol", F.col("pos").alias("level_pos"), (-F.col("kind")).alias("way"), "price", "extreme", F.col("hit_pos").alias("sweep_pos"), F.col("turn_pos").cast("long").alias("turn_pos"), F.col("last_pos").cast("long").alias("last_pos"))
+
+
+def moved_to(ended: DataFrame, bars: DataFrame) -> DataFrame:
+    """Displacements with end_price and net_move at their end_pos; those that went nowhere are none."""
+    at = bars.select("symbol", F.col("pos").cast("long").alias("end_pos"), F.col("high").alias("end_high"), F.col("low").alias("end_low"))
+    out = ended.where("end_pos > sweep_pos").join(at, ["symbol", "end_pos"]).withColumn("end_price", F.when(F.col("way") == 1, F.col("end_high")).otherwise(F.col("end_low")))
+    return out.withColumn("net_move", F.col("way") * (F.col("end_price") - F.col("extreme"))).where("net_move > 0").drop("end_high", "end_low", "turn_pos", "last_pos")
+
+
 def moves(bars: DataFrame) -> DataFrame:
-    """Swept levels with the displacement that followed: sweep_pos, way (1 up, -1 down), extreme, end_pos, end_price, level_pos."""
-    swept = D.displacements(D.pools(D.pivots(bars), bars), D.pivots(bars, 1))
-    return swept.select("symbol", F.col("pos").alias("level_pos"), (-F.col("kind")).alias("way"), "price", "extreme", F.col("hit_pos").alias("sweep_pos"), "end_pos", "end_price", "net_move")
+    """Swept levels with the displacement that followed: sweep_pos, way (1 up, -1 down), extreme, end_pos, end_price, level_pos.
+
+    A displacement ends at the first pivot against it (``exhausted``) or is still
+    going on at the last bar.
+    """
+    found = turns(D.pools(D.pivots(bars), bars), D.pivots(bars, 1), bars)
+    return moved_to(found.withColumn("end_pos", F.coalesce("turn_pos", "last_pos")).withColumn("exhausted", F.col("turn_pos").isNotNull()), bars)
 
 
 def shifts(bars: DataFrame) -> DataFrame:
@@ -132,7 +152,7 @@ def execution_quality(found: DataFrame, ranges: DataFrame, threshold: float = 0.
     size = clamp(1 - F.abs((F.col("top") - F.col("bottom")) / span - 0.05) / 0.15)
     rows = rows.withColumns({
         "pd_location": F.round(clamp(place), 4), "ce_distance": F.round(clamp(1 - F.abs(F.col("entry") - ce) / (0.5 * span)), 4), "rr_realism": F.round(realism, 4),
-        "confirmation": F.round(clamp(0.5 * shift + 0.3 * 0.5 + 0.2 * rejection), 4), "fvg_location": F.round(clamp(0.7 * status + 0.3 * size), 4),
+        "confirmation": F.round(clamp(0.5 * shift + 0.3 * F.when(F.col("exhausted"), 1.0).otherwise(0.5) + 0.2 * rejection), 4), "fvg_location": F.round(clamp(0.7 * status + 0.3 * size), 4),
     })
     quality = F.round(0.6 * F.col("pd_location") + 0.4 * F.col("ce_distance"), 4)
     weakest = F.when(F.col("pd_location") <= F.col("ce_distance"), "pd_location").otherwise("ce_distance")
