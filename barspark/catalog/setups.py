@@ -14,6 +14,7 @@ from barspark.operators import bars as B
 from barspark.operators import structure as D
 from barspark.operators import windows as V
 from barspark.plans import setups as P
+from barspark.sources.shared import written
 
 _CHAIN = f"""{_PIVOTS}, hit AS (SELECT p.symbol, p.pos, p.kind, min(b.pos) AS hit_pos, arg_min(b.close, b.pos) AS hit_close, arg_min(CASE WHEN p.kind = 1 THEN b.high ELSE b.low END, b.pos) AS extreme
   FROM pv p JOIN x b ON b.symbol = p.symbol AND b.pos > p.pos + 2 AND CASE WHEN p.kind = 1 THEN b.high > p.price ELSE b.low < p.price END GROUP BY ALL),
@@ -93,6 +94,46 @@ def _(spark, d):
     return P.lifecycle(P.setups(bars), bars).groupBy("symbol", "state", "status").agg(F.count("*").alias("n"))
 
 
+_EDGES = f"""{_LIFE}, ed AS (
+  SELECT symbol, 'level:' || symbol || ':' || pos || ':' || kind AS child, 'swing:' || symbol || ':' || pos || ':' || kind AS parent FROM pool
+  UNION SELECT symbol, 'sweep:' || symbol || ':' || pos || ':' || -kind, 'level:' || symbol || ':' || pos || ':' || kind FROM pool WHERE swept
+  UNION SELECT symbol, 'move:' || symbol || ':' || level_pos || ':' || way, 'sweep:' || symbol || ':' || level_pos || ':' || way FROM mv
+  UNION SELECT symbol, 'shift:' || symbol || ':' || level_pos || ':' || way, 'move:' || symbol || ':' || level_pos || ':' || way FROM ms
+  UNION SELECT symbol, 'shift:' || symbol || ':' || level_pos || ':' || way, 'swing:' || symbol || ':' || broken_pos || ':' || way FROM ms
+  UNION SELECT symbol, 'gap:' || symbol || ':' || formed_pos || ':' || way, k || symbol || ':' || level_pos || ':' || way FROM st, (VALUES ('move:'), ('shift:')) v(k)
+  UNION SELECT symbol, 'setup:' || symbol || ':' || formed_pos || ':' || way, k || symbol || ':' || level_pos || ':' || way FROM st, (VALUES ('shift:'), ('sweep:')) v(k)
+  UNION SELECT symbol, 'setup:' || symbol || ':' || formed_pos || ':' || way, 'gap:' || symbol || ':' || formed_pos || ':' || way FROM st
+  UNION SELECT st.symbol, 'setup:' || st.symbol || ':' || formed_pos || ':' || way, 'level:' || st.symbol || ':' || pool.pos || ':' || pool.kind FROM st JOIN pool ON pool.symbol = st.symbol AND pool.kind = way AND pool.hit_pos IS NULL AND pool.price = target),
+rc AS (SELECT life AS root, 'setup:' || symbol || ':' || formed_pos || ':' || way AS node FROM lc WHERE life IN ('current', 'active') UNION SELECT rc.root, ed.parent FROM rc JOIN ed ON ed.child = rc.node),
+ob AS (SELECT symbol, child AS object FROM ed UNION SELECT symbol, parent FROM ed UNION SELECT symbol, 'swing:' || symbol || ':' || pos || ':' || kind FROM sk),
+os AS (SELECT symbol, object, CASE WHEN object IN (SELECT node FROM rc WHERE root = 'current') THEN 'current' WHEN object IN (SELECT node FROM rc) THEN 'active' ELSE 'historical' END AS state FROM ob)"""
+
+
+def chained(spark, d):
+    """Bars, setups with their lifecycle and the dependencies, the latter two written once."""
+    bars = written(placed(spark, d), "bars")
+    lived = written(P.lifecycle(P.setups(bars), bars), "setups")
+    return bars, lived, written(P.dependencies(bars, lived), "dependencies")
+
+
+@query("d23_object_states", f"{_EDGES} SELECT symbol, object, state FROM os")
+def _(spark, d):
+    return P.object_states(*chained(spark, d))
+
+
+@query("d23_object_counts", f"""{_EDGES}, oc AS (SELECT symbol, count(*) FILTER (WHERE state = 'current') AS current_objects, count(*) FILTER (WHERE state = 'active') AS active_objects, count(*) FILTER (WHERE state = 'historical') AS historical_objects FROM os GROUP BY symbol),
+sc AS (SELECT symbol, count(*) FILTER (WHERE life = 'current') AS a, count(*) FILTER (WHERE life = 'active') AS b, count(*) FILTER (WHERE life = 'historical') AS c FROM lc GROUP BY symbol)
+SELECT oc.*, coalesce(a, 0) AS current_setups, coalesce(b, 0) AS active_setups, coalesce(c, 0) AS historical_setups FROM oc LEFT JOIN sc USING (symbol)""")
+def _(spark, d):
+    bars, lived, edges = chained(spark, d)
+    return P.state_counts(lived, P.object_states(bars, lived, edges))
+
+
+@query("j15_dependency_lookup", f"""{_EDGES} SELECT symbol, child AS setup, min(parent) FILTER (WHERE parent LIKE 'gap:%') AS gap, min(parent) FILTER (WHERE parent LIKE 'shift:%') AS shift, min(parent) FILTER (WHERE parent LIKE 'sweep:%') AS sweep, count(*) FILTER (WHERE parent LIKE 'level:%') AS levels FROM ed WHERE child LIKE 'setup:%' GROUP BY symbol, child""")
+def _(spark, d):
+    return P.looked_up(chained(spark, d)[2])
+
+
 _CLAMP = "greatest(0.0, least(1.0, {0}))"
 _QUALITY = f"""{_CHAIN}, dr AS (SELECT symbol, arg_max(price, pos) FILTER (WHERE kind = 1) AS rh, arg_max(price, pos) FILTER (WHERE kind = -1) AS rl FROM sk GROUP BY symbol),
 q0 AS (SELECT st.*, rh, rl, (rh + rl) / 2 AS ce, CASE WHEN rh <> rl THEN rh - rl ELSE 1e-9 END AS span FROM st JOIN dr USING (symbol)),

@@ -123,7 +123,7 @@ def _(spark, d):
 
 @query("d28_ancestors", f"""{_POOLS}, e AS (SELECT 'sweep:' || symbol || ':' || pos || ':' || kind AS child, 'pivot:' || symbol || ':' || pos || ':' || kind AS parent FROM pool WHERE swept
   UNION ALL SELECT 'pivot:' || symbol || ':' || pos || ':' || kind, 'bar:' || symbol || ':' || pos FROM pv),
-t AS (SELECT child AS root, child AS node, 0 AS depth FROM e WHERE child LIKE 'sweep%' UNION SELECT t.root, e.parent, t.depth + 1 FROM t JOIN e ON e.child = t.node WHERE t.depth < 6)
+t AS (SELECT child AS root, child AS node, 0 AS depth FROM e WHERE child LIKE 'sweep%' UNION SELECT t.root, e.parent, t.depth + 1 FROM t JOIN e ON e.child = t.node)
 SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node""")
 def _(spark, d):
     bars = placed(spark, d)
@@ -132,7 +132,7 @@ def _(spark, d):
     pivot = F.concat_ws(":", F.lit("pivot"), "symbol", "pos", "kind")
     a = swept.select(F.concat_ws(":", F.lit("sweep"), "symbol", "pos", "kind").alias("child"), pivot.alias("parent"))
     b = found.select(pivot.alias("child"), F.concat_ws(":", F.lit("bar"), "symbol", "pos").alias("parent"))
-    return D.ancestors(a.unionByName(b), a.select(F.col("child").alias("root"), F.col("child").alias("node")), 6).withColumn("depth", F.col("depth").cast("long"))
+    return D.ancestors(a.unionByName(b), a.select(F.col("child").alias("root"), F.col("child").alias("node"))).withColumn("depth", F.col("depth").cast("long"))
 
 
 _DAILY = "dd AS (SELECT o_orderstatus AS symbol, o_orderdate::DATE AS day, first(o_totalprice ORDER BY o_orderkey) AS open, last(o_totalprice ORDER BY o_orderkey) AS close FROM orders GROUP BY ALL)"

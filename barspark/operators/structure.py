@@ -10,6 +10,7 @@ from barspark.operators import windows as V
 from barspark.operators.bars import session_bars
 from barspark.operators.firsthit import first_beyond
 from barspark.operators.joins import as_of
+from barspark.sources.shared import written
 
 
 def pivots(bars: DataFrame, width: int = 2) -> DataFrame:
@@ -102,13 +103,19 @@ def segments(daily: DataFrame, found: DataFrame) -> DataFrame:
     return marked.withColumn("segment", F.coalesce(F.sum("roll").over(line), F.lit(0)))
 
 
-def ancestors(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
-    """Nodes reachable from ``start(root, node)`` over ``edges(child, parent)`` in at most ``depth`` steps."""
-    found = frontier = start.select("root", "node", F.lit(0).alias("depth"))
-    for step in range(1, depth + 1):
-        frontier = frontier.join(edges, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node"), F.lit(step).alias("depth")).distinct()
-        found = found.unionByName(frontier)
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes reachable from ``start(root, node)`` over ``edges(child, parent)``, with the fewest steps to each.
+
+    A step joins only the nodes that the last one found and goes on until there are
+    no new ones, so cycles end too; each step is written and cuts the lineage.
+    """
+    edges = written(edges.select("child", "parent").where("child is not null and parent is not null").distinct(), "edges")
+    found = frontier = written(start.select("root", "node").distinct().withColumn("depth", F.lit(0)), "reached")
+    while not frontier.isEmpty():
+        step = frontier.join(edges, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = written(step.join(found.select("root", "node"), ["root", "node"], "left_anti"), "reached")
+        found = written(found.unionByName(frontier), "reached")
+    return found
 
 
 def impulse_legs(bars: DataFrame) -> DataFrame:

@@ -157,3 +157,58 @@ def execution_quality(found: DataFrame, ranges: DataFrame, threshold: float = 0.
     quality = F.round(0.6 * F.col("pd_location") + 0.4 * F.col("ce_distance"), 4)
     weakest = F.when(F.col("pd_location") <= F.col("ce_distance"), "pd_location").otherwise("ce_distance")
     return rows.withColumn("quality", quality).withColumn("weakest", weakest).withColumn("verdict", F.when(F.col("quality") >= threshold, "TRADE").otherwise("PASS"))
+
+
+def node(kind: str, *parts):  # noqa: ANN002, ANN201
+    """Name of an object of the chain."""
+    return F.concat_ws(":", F.lit(kind), "symbol", *(F.col(p) if isinstance(p, str) else p for p in parts))
+
+
+def dependencies(bars: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (symbol, child, parent) of all that the chain found: setup, gap, shift, displacement, sweep, level, swing.
+
+    A setup depends on its gap, shift and sweep and on the open levels at its
+    target; a gap on its displacement and shift; a shift on its displacement and
+    the swing that it reverses.
+    """
+    pools = D.pools(D.pivots(bars), bars).withColumnRenamed("pos", "level_pos").withColumn("way", -F.col("kind"))
+    level, swing = node("level", "level_pos", "kind"), node("swing", "level_pos", "kind")
+    broken = node("swing", "broken_pos", F.col("way"))
+    targets = pools.where("hit_pos is null").select("symbol", F.col("kind").alias("way"), F.col("price").alias("target"), level.alias("parent"))
+    own = {k: node(k, "level_pos", "way") for k in ("sweep", "move", "shift")}
+    gap, setup = node("gap", "formed_pos", "way"), node("setup", "formed_pos", "way")
+    edge = lambda frame, *pairs: frame.select("symbol", F.explode(F.array(*(F.struct(a.alias("child"), b.alias("parent")) for a, b in pairs))).alias("e")).select("symbol", "e.*")
+    parts = [
+        edge(pools, (level, swing)), edge(pools.where("swept"), (own["sweep"], level)), edge(moves(bars), (own["move"], own["sweep"])),
+        edge(shifts(bars), (own["shift"], own["move"]), (own["shift"], broken)),
+        edge(found, (gap, own["move"]), (gap, own["shift"]), (setup, gap), (setup, own["shift"]), (setup, own["sweep"])),
+        found.join(targets, ["symbol", "way", "target"]).select("symbol", setup.alias("child"), "parent"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def object_states(bars: DataFrame, lived: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every object as current, active or historical: what a current setup depends on is current, what else an active one does is active."""
+    seeds = lived.where("state in ('current', 'active')").select(F.col("state").alias("root"), node("setup", "formed_pos", "way").alias("node"))
+    reached = D.ancestors(edges, seeds).groupBy(F.col("node").alias("object")).agg(F.min(F.when(F.col("root") == "current", 0).otherwise(1)).alias("tier"))
+    swings = D.skeleton(D.pivots(bars)).select("symbol", node("swing", "pos", "kind").alias("object"))
+    objects = edges.select("symbol", F.explode(F.array("child", "parent")).alias("object")).unionByName(swings).distinct()
+    state = F.when(F.col("tier") == 0, "current").when(F.col("tier") == 1, "active").otherwise("historical")
+    return objects.join(reached, "object", "left").select("symbol", "object", state.alias("state"))
+
+
+def state_counts(lived: DataFrame, objects: DataFrame) -> DataFrame:
+    """Setups and objects of each state by symbol."""
+    count = lambda frame, name: frame.groupBy("symbol").agg(*(F.count_if(F.col("state") == s).alias(f"{s}_{name}") for s in ("current", "active", "historical")))
+    names = [f"{s}_setups" for s in ("current", "active", "historical")]
+    return count(objects, "objects").join(count(lived, "setups"), "symbol", "left").fillna(0, names)
+
+
+def looked_up(edges: DataFrame) -> DataFrame:
+    """The gap, shift and sweep that each setup depends on, found by the kinds of its dependencies."""
+    kind = F.substring_index("parent", ":", 1)
+    rows = edges.where("child like 'setup:%'").groupBy("symbol", F.col("child").alias("setup"))
+    return rows.agg(*(F.min(F.when(kind == k, F.col("parent"))).alias(k) for k in ("gap", "shift", "sweep")), F.count_if(kind == "level").alias("levels"))
