@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspark.catalog import ORACLES, query
-from barspark.catalog.bars import _SESSION, _SWING, hourly, placed, r6, secs, swings
+from barspark.catalog.bars import _SESSION, _SWING, hourly, placed, r6, secs, swings, ticks
 from barspark.catalog.signals import _PIVOTS
-from barspark.catalog.sql import POS
+from barspark.catalog.sql import POS, _bars
 from barspark.functions import session as T
 from barspark.operators import bars as B
 from barspark.operators import structure as D
@@ -60,6 +60,32 @@ def _(spark, d):
     return P.setups(placed(spark, d)).select("symbol", "formed_pos", "way", r6("entry", "entry"), "stop", "target", "rr", "reject", "actionable")
 
 
+_FINE = _bars(15).replace("bars AS (", "fine AS (", 1)
+_MSS = f"""{_CHAIN}, dm AS (SELECT symbol, kind AS way, pos AS broken_pos, (coalesce(kind * price > kind * lag(price) OVER k, true) AND coalesce(kind * price > kind * lead(price) OVER k, true))::INT AS dominant FROM sk WINDOW k AS (PARTITION BY symbol, kind ORDER BY pos)),
+mr AS (SELECT ms.*, dominant, row_number() OVER (PARTITION BY ms.symbol ORDER BY CASE state WHEN 'confirmed' THEN 2 WHEN 'candidate' THEN 1 ELSE 0 END DESC, dominant DESC, acceptance DESC, broken_pos DESC, sweep_pos, level_pos) AS rank,
+  count(*) OVER (PARTITION BY ms.symbol, state, dominant, acceptance, broken_pos) > 1 AS tied FROM ms JOIN dm USING (symbol, way, broken_pos))"""
+
+
+@query("d25_ranked_shifts", f"{_MSS} SELECT symbol, level_pos, way, state, dominant, round(acceptance, 6) AS acceptance, broken_pos, rank, tied FROM mr")
+def _(spark, d):
+    bars = placed(spark, d)
+    out = P.ranked_shifts(P.shifts(bars), bars)
+    return out.select("symbol", "level_pos", "way", "state", F.col("f_dominant").alias("dominant"), r6("acceptance", "acceptance"), "broken_pos", F.col("rank").cast("long").alias("rank"), "tied")
+
+
+@query("d20_refined_gaps", f"""{_MSS}, {_FINE}, fq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM fine), fl AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0, lag(ts, 2) OVER w AS start FROM fq WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+fg AS (SELECT symbol, pos AS formed_pos, start, CASE WHEN low > h0 THEN 1 ELSE -1 END AS way, CASE WHEN low > h0 THEN h0 ELSE high END AS bottom, CASE WHEN low > h0 THEN low ELSE l0 END AS top FROM fl WHERE low > h0 OR high < l0),
+fo AS (SELECT g.symbol, g.formed_pos, g.way, any_value(g.bottom) AS bottom, any_value(g.top) AS top, any_value(g.top + g.bottom) / 2 AS middle, arg_min(m.sweep_pos, m.rank) AS sweep_pos, arg_min(m.level_pos, m.rank) AS level_pos, min(m.rank) AS rank
+  FROM fg g JOIN mr m ON m.symbol = g.symbol AND m.way = g.way JOIN x s ON s.symbol = m.symbol AND s.pos = m.sweep_pos AND s.ts <= g.start GROUP BY g.symbol, g.formed_pos, g.way),
+fs AS (SELECT f.symbol, f.formed_pos, f.way, min(b.pos) FILTER (WHERE CASE WHEN f.way = 1 THEN b.low <= middle ELSE b.high >= middle END) AS tp, min(b.pos) FILTER (WHERE CASE WHEN f.way = 1 THEN b.close < bottom ELSE b.close > top END) AS mp FROM fo f JOIN fq b ON b.symbol = f.symbol AND b.pos > f.formed_pos GROUP BY ALL)
+SELECT symbol, formed_pos, way, sweep_pos, level_pos, rank, round(middle, 6) AS middle, CASE WHEN mp IS NULL OR tp <= mp THEN tp END AS touch_pos, mp AS mitigated_pos, CASE WHEN mp IS NOT NULL THEN 'mitigated' WHEN tp IS NOT NULL THEN 'touched' ELSE 'unfilled' END AS status FROM fo LEFT JOIN fs USING (symbol, formed_pos, way)""")
+def _(spark, d):
+    bars = written(placed(spark, d), "bars")
+    fine = B.bars_of_ticks(ticks(spark, d), 15).withColumn("pos", V.position())
+    out = P.refined_gaps(P.ranked_shifts(P.shifts(bars), bars), bars, fine)
+    return out.select("symbol", F.col("formed_pos").cast("long").alias("formed_pos"), "way", "sweep_pos", "level_pos", F.col("rank").cast("long").alias("rank"), r6("middle", "middle"), "touch_pos", "mitigated_pos", "status")
+
+
 _RANKED = f"""{_CHAIN}, rk AS (SELECT *, (reject = '')::INT AS fa, rr AS fr, -round(risk, 2) AS fk FROM st),
 rn AS (SELECT *, row_number() OVER o AS rank, count(*) OVER (PARTITION BY symbol, fa, fr, fk) > 1 AS tied, lag(fa) OVER o AS la, lag(fr) OVER o AS lr, lag(fk) OVER o AS lk FROM rk WINDOW o AS (PARTITION BY symbol ORDER BY fa DESC, fr DESC, fk DESC, formed_pos, way))"""
 

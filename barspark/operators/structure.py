@@ -57,14 +57,18 @@ def shifts(sweeps: DataFrame, found: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumnRenamed("hit_pos", "mss_pos").withColumnRenamed("sweep_pos", "hit_pos").drop("side", "level")
 
 
-def gaps(bars: DataFrame) -> DataFrame:
-    """Three-bar gaps, with the first later bars that touch and that fill them."""
+def gap_shapes(bars: DataFrame) -> DataFrame:
+    """Three-bar gaps at their third bar: symbol, pos, ts, way, bottom, top and start_ts, the first bar's time."""
     w = Window.partitionBy("symbol").orderBy("pos")
-    marked = bars.withColumn("h0", F.lag("high", 2).over(w)).withColumn("l0", F.lag("low", 2).over(w))
+    marked = bars.withColumn("h0", F.lag("high", 2).over(w)).withColumn("l0", F.lag("low", 2).over(w)).withColumn("start_ts", F.lag("ts", 2).over(w))
     up, down = F.col("low") > F.col("h0"), F.col("high") < F.col("l0")
-    found = marked.where(up | down).select(
-        "symbol", "pos", "ts", F.when(up, 1).otherwise(-1).alias("way"), F.when(up, F.col("h0")).otherwise(F.col("high")).alias("bottom"), F.when(up, F.col("low")).otherwise(F.col("l0")).alias("top")
-    )
+    bottom, top = F.when(up, F.col("h0")).otherwise(F.col("high")), F.when(up, F.col("low")).otherwise(F.col("l0"))
+    return marked.where(up | down).select("symbol", "pos", "ts", F.when(up, 1).otherwise(-1).alias("way"), bottom.alias("bottom"), top.alias("top"), "start_ts")
+
+
+def gaps(bars: DataFrame) -> DataFrame:
+    """Three-bar gaps, with the first later bars that touch and that fill them."""
+    found = gap_shapes(bars).drop("start_ts")
     near = F.when(F.col("way") == 1, F.col("top")).otherwise(F.col("bottom"))
     far = F.when(F.col("way") == 1, F.col("bottom")).otherwise(F.col("top"))
     points = found.withColumn("x", F.explode(F.array(F.struct(F.lit("touch").alias("what"), near.alias("level")), F.struct(F.lit("fill").alias("what"), far.alias("level")))))

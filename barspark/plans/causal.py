@@ -86,7 +86,7 @@ def gaps(shifted: DataFrame, bars: DataFrame) -> DataFrame:
     A gap inside several displacements belongs, at each bar, to the earliest sweep
     among those that are known then.
     """
-    found = D.gaps(bars).select("symbol", F.col("pos").alias("formed_pos"), F.col("side").alias("way"), "bottom", "top")
+    found = D.gap_shapes(bars).select("symbol", F.col("pos").alias("formed_pos"), "way", "bottom", "top")
     alive = shifted.groupBy("symbol", "level_pos", "way", "sweep_pos", "end_pos", "extreme").agg(F.min("known_from").alias("known_from"), F.max("known_to").alias("known_to"))
     inside = alive.where("end_pos >= sweep_pos + 2").withColumn("formed_pos", F.explode(F.sequence(F.col("sweep_pos") + 2, F.col("end_pos"))))
     owned = inside.join(found, ["symbol", "formed_pos", "way"])

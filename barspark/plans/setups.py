@@ -68,10 +68,15 @@ def imbalances(bars: DataFrame, moved: DataFrame) -> DataFrame:
     touched: a bar came back to the middle; mitigated: one closed beyond the far
     side; ``touch_pos`` counts only up to the latter.
     """
-    found = D.gaps(bars).select("symbol", F.col("pos").alias("formed_pos"), F.col("side").alias("way"), "bottom", "top")
+    found = D.gap_shapes(bars).select("symbol", F.col("pos").alias("formed_pos"), "way", "bottom", "top")
     inside = moved.where("end_pos >= sweep_pos + 2").withColumn("formed_pos", F.explode(F.sequence(F.col("sweep_pos") + 2, F.col("end_pos"))))
     first = Window.partitionBy("symbol", "formed_pos", "way").orderBy("sweep_pos", "level_pos")
     gaps = inside.join(found, ["symbol", "formed_pos", "way"]).withColumn("at_", F.row_number().over(first)).where("at_ = 1").drop("at_")
+    return gap_states(gaps, bars)
+
+
+def gap_states(gaps: DataFrame, bars: DataFrame) -> DataFrame:
+    """Gaps (formed_pos, way, bottom, top) with their middle, touch_pos, mitigated_pos and status."""
     gaps = gaps.withColumn("middle", (F.col("top") + F.col("bottom")) / 2).withColumn("side", -F.col("way"))
     touched = first_beyond(gaps.withColumn("level", F.col("middle")), bars, "formed_pos", strict=False).withColumnRenamed("hit_pos", "touch_pos")
     far = F.when(F.col("way") == 1, F.col("bottom")).otherwise(F.col("top"))
@@ -80,6 +85,31 @@ def imbalances(bars: DataFrame, moved: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("mitigated_pos").isNotNull(), "mitigated").when(F.col("touch_pos").isNotNull(), "touched").otherwise("unfilled"))
 
 
+def ranked_shifts(found: DataFrame, bars: DataFrame) -> DataFrame:
+    """Structure shifts ranked by state, a dominant broken swing, acceptance and recency; earlier sweeps first on ties."""
+    legs = D.skeleton(D.pivots(bars)).select("symbol", F.col("kind").alias("way"), F.col("pos").alias("broken_pos"), F.col("dominant").cast("int").alias("f_dominant"))
+    state = F.when(F.col("state") == "confirmed", 2).when(F.col("state") == "candidate", 1).otherwise(0)
+    keyed = found.join(legs, ["symbol", "way", "broken_pos"]).withColumn("f_state", state).withColumn("place_", F.struct("sweep_pos", "level_pos"))
+    return D.ranked(keyed, ["symbol"], ["f_state", "f_dominant", "acceptance", "broken_pos"], "place_").drop("place_")
+
+
+def refined_gaps(ranked: DataFrame, coarse: DataFrame, fine: DataFrame) -> DataFrame:
+    """Entry gaps on a lower timeframe, each owned by the best ranked shift of its way whose window was open.
+
+    A shift opens a window on the fine bars when its sweep's bar opens, and it never
+    closes.  Openings and gaps lie on one time line along which the best rank so
+    far is carried, so a gap meets one owner and no window is laid out.
+    """
+    opened = ranked.join(coarse.select("symbol", F.col("pos").alias("sweep_pos"), F.col("ts").alias("line_")), ["symbol", "sweep_pos"])
+    owner = F.struct("rank", "sweep_pos", "level_pos", "extreme").alias("owner")
+    shapes = D.gap_shapes(fine).withColumn("gap_", F.struct(F.col("pos").alias("formed_pos"), "ts", "bottom", "top"))
+    # an opening comes before a gap that starts with it
+    line = opened.select("symbol", "way", "line_", F.lit(0).alias("side_"), owner).unionByName(shapes.select("symbol", "way", F.col("start_ts").alias("line_"), F.lit(1).alias("side_"), "gap_"), allowMissingColumns=True)
+    so_far = Window.partitionBy("symbol", "way").orderBy("line_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    owned = line.withColumn("owner", F.min("owner").over(so_far)).where("gap_ is not null and owner is not null")
+    return gap_states(owned.select("symbol", "way", "gap_.*", "owner.*"), fine)
+
+
 def setups(bars: DataFrame, least_stop: float | None = None) -> DataFrame:
     """A row per fair value gap: entry, stop, target, risk, reward, rr and why it is not actionable, if so.
 
