@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.catalog import query
+from barspark.catalog.bars import hourly, placed, r6, secs, ticks
+from barspark.catalog.sql import ATR, BARS
 from barspark.operators import windows as V
 from barspark.plans import strategies as G
 from barspark.sources import tables
 from barspark.sources.shared import shared_dir
+from barspark.streaming import engine as E
 from barspark.streaming import ingest as I
 
 _SENT = """WITH RECURSIVE py AS (
@@ -100,3 +103,59 @@ def _(spark, d):
     rows = I.Store(spark, config.root).read("signals", "symbol string, ts timestamp_ntz, direction int")
     local = F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts")).cast("timestamp"))
     return rows.select("symbol", F.floor(local / 3600).alias("cell"), "direction")
+
+
+#: A model as it might be frozen: more of a stretch or a move, more of it to come.
+FROZEN = E.Bundle((-1, 0, 1), ((-0.2, -8.0, -0.3), (0.1, 0.0, 0.0), (-0.2, 8.0, 0.3)), (-1.0, 0.05, 1.1), cost=6.0, point_value=2.0)
+
+
+def in_parts(frame: DataFrame, at: str, root: str, parts: int = 3):
+    """Write a table's rows in files by time, one after another, and give the folder; ``yield`` between, so that streams run meanwhile."""
+    span = frame.agg(F.min(F.unix_seconds(F.col(at))).alias("a"), F.max(F.unix_seconds(F.col(at))).alias("b")).first()
+    for i in range(parts):
+        low, high = (span.a + (span.b - span.a) * k // parts for k in (i, i + 1)) if span.a is not None else (0, 0)
+        seconds = F.unix_seconds(F.col(at))
+        chosen = frame.where(((seconds > low) | F.lit(i == 0)) & (seconds <= high))
+        chosen.coalesce(1).write.parquet(f"{root}/part={i}")
+        yield root
+
+
+_FRAME = f"""{ATR}, f0 AS (SELECT z.*, CASE WHEN pos >= 9 THEN close / avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING) - 1 END AS stretch, (close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts)) / CASE WHEN atr > 0 THEN atr END AS move FROM z),
+f1 AS (SELECT *, exp(-0.2 - 8.0 * stretch - 0.3 * move) AS a, exp(CASE WHEN stretch + move IS NOT NULL THEN 0.1 END) AS b, exp(-0.2 + 8.0 * stretch + 0.3 * move) AS c, 6.0 / (CASE WHEN atr > 0 THEN atr END * 2.0) AS hurdle FROM f0),
+f2 AS (SELECT *, (1.1 * c + 0.05 * b - a) / (a + b + c) AS ev FROM f1), f3 AS (SELECT *, CASE WHEN ev > hurdle THEN 1 WHEN ev < -hurdle THEN -1 WHEN ev IS NOT NULL AND hurdle IS NOT NULL THEN 0 END AS raw FROM f2),
+re AS (SELECT symbol, pos, CASE WHEN coalesce(raw, 0) <> 0 THEN raw ELSE 0 END AS fired, CASE WHEN coalesce(raw, 0) <> 0 THEN 3 ELSE -1 END AS rest, coalesce(raw, 0) AS before FROM f3 WHERE pos = 0
+  UNION ALL SELECT r.symbol, r.pos, CASE WHEN r.pos > rest AND coalesce(r.raw, 0) <> 0 AND r.raw <> before THEN r.raw ELSE 0 END, CASE WHEN r.pos > rest AND coalesce(r.raw, 0) <> 0 AND r.raw <> before THEN r.pos + 3 ELSE rest END, coalesce(r.raw, 0) FROM re JOIN f3 r ON r.symbol = re.symbol AND r.pos = re.pos + 1),
+fl AS (SELECT f3.*, fired, hour(et) * 60 + minute(et) AS t FROM f3 JOIN re USING (symbol, pos))
+SELECT symbol, epoch(ts)::BIGINT AS ts, round(ev, 6) AS ev, round(atr, 6) AS atr, round(hurdle, 6) AS cost_hurdle, fired AS direction, (t >= 570 AND t < 690) OR (t >= 810 AND t < 960) AS entry_allowed, t + 60 >= 960 AS session_ending, NOT (((t >= 570 AND t < 690) OR (t >= 810 AND t < 960)) AND t + 60 < 960) AS off_hours FROM fl"""
+_FLAGS = ("entry_allowed", "session_ending", "off_hours")
+
+
+@query("r08_signal_engine", _FRAME)
+def _(spark, d):
+    """Three files of bars; the engine stops and starts again after each."""
+    root = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
+    bars = hourly(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), *I.FIELDS)
+    for folder in in_parts(bars, "ts", f"{root}/bars"):
+        found = E.run_engine(spark, folder, root, FROZEN)
+    return found.select("symbol", secs(), r6("ev", "ev"), r6("atr", "atr"), r6("cost_hurdle", "cost_hurdle"), "direction", *_FLAGS)
+
+
+@query("r09_frozen_frame", _FRAME)
+def _(spark, d):
+    found = E.frame(placed(spark, d), FROZEN)
+    return found.select("symbol", secs(), r6("ev", "ev"), r6("atr", "atr"), r6("cost_hurdle", "cost_hurdle"), "direction", *_FLAGS)
+
+
+def contract_of(column: str):
+    return F.when(F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / 864000) % 2 == 0, "A").otherwise("B").alias("contract")
+
+
+@query("r11_contract_guard", f"""{BARS}, q AS (SELECT symbol, ts AS qts, price, CASE WHEN floor(epoch(ts) / 864000) % 2 = 0 THEN 'A' ELSE 'B' END AS qc FROM ticks), b AS (SELECT symbol, ts + INTERVAL 1 HOUR AS done, CASE WHEN floor(epoch(ts) / 864000) % 2 = 0 THEN 'A' ELSE 'B' END AS bc FROM bars),
+m AS (SELECT b.symbol, done, bc, arg_max(qc, (qts, price)) AS qc FROM b LEFT JOIN q ON q.symbol = b.symbol AND qts <= done AND qts > done - INTERVAL 6 HOUR GROUP BY ALL) SELECT symbol, epoch(done)::BIGINT AS ts, bc AS bar_contract, qc AS quote_contract, coalesce(bc = qc, false) AS valid FROM m""")
+def _(spark, d):
+    root = f"{shared_dir(spark)}/guard-{uuid.uuid4().hex}"
+    quotes = ticks(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("qts"), "price", contract_of("ts"))
+    bars = hourly(spark, d).select("symbol", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).cast("timestamp").alias("done"), "close", contract_of("ts"))
+    for one, other in zip(in_parts(quotes, "qts", f"{root}/quotes"), in_parts(bars, "done", f"{root}/bars")):
+        found = E.run_guard(spark, one, other, root, late="2 hours")
+    return found.select("symbol", secs("done"), "bar_contract", "quote_contract", "valid")
