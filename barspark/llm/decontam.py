@@ -89,7 +89,10 @@ class ItemIndex:
             low = np.searchsorted(self.prints, hashes, "left")
             high = np.searchsorted(self.prints, hashes, "right")
             done: dict[int, int] = {}
-            for j in np.flatnonzero(high > low):
+            crowded = self._crowded(hashes, low, high)
+            ranges = dict(zip(low[crowded].tolist(), high[crowded].tolist()))  # of each such fingerprint once
+            found += self._windows(values, np.unique(np.concatenate([self.owner[a:b] for a, b in ranges.items()]))) if ranges else []
+            for j in np.flatnonzero((high > low) & ~crowded):
                 p = int(at[j])
                 for i in range(low[j], high[j]):
                     q, n = int(self.where[i]), int(self.owner[i])
@@ -107,6 +110,23 @@ class ItemIndex:
                     found += [(n, int(p), int(p) + size) for h, n in owners if h == int(grams[p])]
         return found
 
+    def _crowded(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Fingerprints that would meet far more often than they occur, as those of one word again and again do."""
+        _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        times, owners = count[which], high - low
+        return times * owners > 16 * (times + owners)
+
+    def _windows(self, values: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int]]:
+        """Shared runs with some items, from all their windows and not from fingerprints: linear in both texts, whatever repeats."""
+        own = ngrams(values, self.config.span)
+        found = []
+        for n in items:
+            wanted = np.unique(ngrams(self.values[self.starts[n] : self.ends[n]], self.config.span))
+            place = np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))
+            hit = np.diff(np.concatenate([[False], wanted[place] == own, [False]]).astype(np.int8)) if len(wanted) else np.zeros(1)
+            found += [(int(n), int(a), int(b) + self.config.span - 1) for a, b in zip(np.flatnonzero(hit == 1), np.flatnonzero(hit == -1))]
+        return found
+
     def _extend(self, values: np.ndarray, p: int, q: int, n: int) -> tuple[int, int]:
         ahead = min(len(values) - p, int(self.ends[n]) - q)
         differs = np.flatnonzero(values[p : p + ahead] != self.values[q : q + ahead])

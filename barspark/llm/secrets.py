@@ -17,7 +17,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,9 +162,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], config: BatteryConfig = BatteryConfig()) -> list[tuple[int, int, str]]:
-    """Candidates outside the taken spans that the battery finds random."""
+    """Candidates outside the taken spans, which come by start, that the battery finds random."""
+    starts = [s for s, _, _ in taken]
+    reach = [0, *accumulate((e for _, e, _ in taken), max)]  # how far the first spans go
     tokens = [(m.start(), m.end()) for m in CANDIDATE.finditer(text)]
-    tokens = [(a, b) for a, b in tokens if infer_encoding(text[a:b]) and not any(a < e and s < b for s, e, _ in taken)]
+    tokens = [(a, b) for a, b in tokens if reach[bisect_left(starts, b)] <= a and infer_encoding(text[a:b])]
     chosen = discoveries([text_p_value(text[a:b], config) for a, b in tokens], [b - a for a, b in tokens], config)
     return [(a, b, "random") for (a, b), good in zip(tokens, chosen) if good]
 
