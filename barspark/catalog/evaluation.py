@@ -140,11 +140,13 @@ def _(spark, d):
 def _(spark, d):
     bars = with_atr(spark, d)
     marks = bars.withColumn("direction", F.when(F.col("close") != F.col("open"), F.signum(F.col("close") - F.col("open"))))
-    grid = [(k, m) for k in (1.0, 2.0) for m in (2.0, 4.0)]
-    runs = marks.withColumn("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(m).alias("m")) for i, (k, m) in enumerate(grid)))))
-    # a run is a symbol under one of the settings; distances carry the settings, so that all runs are one fold
-    runs = runs.select(F.concat_ws("|", "symbol", "g.i").alias("symbol"), "ts", "open", "high", "low", "close", (F.col("atr") * F.col("g.k")).alias("dist"), "direction", F.col("g.m").alias("m"))
-    out = P.channel(runs, k=1.0, m=2.0, slip=0.05, distance="dist")
+    out = None
+    for j, m in enumerate((2.0, 4.0)):
+        # a run is a symbol under one of the settings; distances carry the stop's multiple, so that runs of one target are one fold
+        runs = marks.withColumn("g", F.explode(F.array(*(F.struct(F.lit(2 * i + j).alias("i"), F.lit(k).alias("k")) for i, k in enumerate((1.0, 2.0))))))
+        runs = runs.select(F.concat_ws("|", "symbol", "g.i").alias("symbol"), "ts", "open", "high", "low", "close", (F.col("atr") * F.col("g.k")).alias("dist"), "direction")
+        part = P.channel(runs, k=1.0, m=m, slip=0.05, distance="dist")
+        out = part if out is None else out.unionByName(part)
     pnl = F.col("direction") * (F.col("exit") - F.col("entry"))
     return out.groupBy(F.split("symbol", r"\|")[0].alias("symbol"), F.split("symbol", r"\|")[1].alias("setting")).agg(F.count("*").alias("n"), r6(F.avg(pnl), "mean"), r6(F.sum(pnl), "total"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barspark.catalog import query
 from barspark.catalog.bars import placed, r6
 from barspark.catalog.setups import _CHAIN, _DAY
+from barspark.plans import stall
 from barspark.plans.causal import Known
 
 #: Every displacement known at every bar, with the structural swing before its sweep as of that bar.
@@ -60,3 +61,29 @@ def _(spark, d):
     known = Known(placed(spark, d))
     rows = known.lifecycle(known.live_setups())
     return rows.select("symbol", "pos", "formed_pos", "way", "sweep_pos", (F.col("pos") - F.col("formed_pos")).alias("age"), "status", r6("entry", "entry"), r6("risk", "risk"), "target", "rr", "reject", "state")
+
+
+_STALL = f"""{_LIVE}, ta0 AS (SELECT symbol, formed_pos, way, c AS k, entry, stop, risk, rr, sweep_pos, level_pos FROM li WHERE reject = '' QUALIFY row_number() OVER (PARTITION BY symbol, formed_pos, way ORDER BY c) = 1),
+ta AS (SELECT t.*, CASE WHEN t.way = 1 THEN e.high ELSE e.low END AS dend FROM ta0 t JOIN mk ON mk.symbol = t.symbol AND mk.c = k AND mk.level_pos = t.level_pos AND mk.way = t.way JOIN x e ON e.symbol = t.symbol AND e.pos = mk.end_pos),
+sw AS (SELECT t.symbol, t.formed_pos, t.way, min(t.way * (lv.price - entry)) AS ahead FROM ta t JOIN lv ON lv.symbol = t.symbol AND lv.kind = t.way AND lv.kf <= k AND lv.kt > k AND t.way * (lv.price - entry) > 0 GROUP BY ALL),
+rg0 AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS sp FROM x), rg AS (SELECT symbol, pos, avg(sp) OVER (PARTITION BY symbol ORDER BY pos ROWS 13 PRECEDING) AS mean_range FROM rg0),
+fi AS (SELECT t.symbol, t.formed_pos, t.way, min(b.pos) AS fill FROM ta t JOIN x b ON b.symbol = t.symbol AND b.pos BETWEEN k AND k + 96 AND b.low <= entry AND b.high >= entry GROUP BY ALL),
+pa AS (SELECT t.symbol, t.formed_pos, t.way, fill, b.pos, CASE WHEN t.way = 1 THEN b.high - entry ELSE entry - b.low END AS gain, CASE WHEN t.way = 1 THEN b.low - entry ELSE entry - b.high END AS dip FROM ta t JOIN fi USING (symbol, formed_pos, way) JOIN x b ON b.symbol = t.symbol AND b.pos BETWEEN fill AND fill + 96),
+pb AS (SELECT *, greatest(0, coalesce(max(gain) OVER (PARTITION BY symbol, formed_pos, way ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best0, max(pos) OVER (PARTITION BY symbol, formed_pos, way) AS ende FROM pa),
+me AS (SELECT symbol, formed_pos, way, any_value(fill) AS fill, any_value(ende) AS ende, greatest(0, max(gain)) AS best, coalesce(max(pos) FILTER (WHERE gain > best0), any_value(fill)) AS best_bar, max(best0 - dip) FILTER (WHERE pos > fill) AS back FROM pb GROUP BY ALL),
+mk2 AS (SELECT symbol, formed_pos, way, pos FROM pb WHERE gain > best0 OR pos = fill UNION SELECT symbol, formed_pos, way, ende FROM me), ls AS (SELECT symbol, formed_pos, way, coalesce(max(gap), 0) AS longest_stall FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY symbol, formed_pos, way ORDER BY pos) AS gap FROM mk2) GROUP BY ALL),
+tu AS (SELECT m.symbol, m.formed_pos, m.way, max(CASE WHEN m.way = 1 THEN b.high - entry ELSE entry - b.low END) AS peak, max(CASE WHEN m.way = 1 THEN b.high - entry ELSE entry - b.low END) FILTER (WHERE b.pos > best_bar) AS after FROM me m JOIN ta USING (symbol, formed_pos, way) JOIN x b ON b.symbol = m.symbol AND b.pos BETWEEN best_bar - 2 AND best_bar + 2 GROUP BY ALL),
+sr2 AS (SELECT t.symbol, t.formed_pos, t.way, k AS pos, fill, best_bar, longest_stall, round(best / risk, 3) AS mfe_r, round(rr, 3) AS reward_r, round(abs(dend - stop) / risk, 3) AS leg_r, round((entry - stop) / CASE WHEN dend <> stop THEN dend - stop END, 3) AS entry_share, round(t.way * (dend - entry) / risk, 3) AS to_leg_end_r,
+  round(CASE WHEN t.way * (dend - entry) > 0 THEN best / (t.way * (dend - entry)) END, 3) AS mfe_to_leg_end, round(risk / CASE WHEN mean_range <> 0 THEN mean_range END, 3) AS risk_ranges, round(best / CASE WHEN mean_range <> 0 THEN mean_range END, 3) AS mfe_ranges, round(ahead / risk, 3) AS swing_r, round(back / risk, 3) AS retrace_r,
+  CASE WHEN best_bar + 2 <= ende THEN best >= peak - 1e-9 AND after < best - 1e-9 END AS turned
+  FROM ta t JOIN me USING (symbol, formed_pos, way) JOIN ls USING (symbol, formed_pos, way) JOIN tu USING (symbol, formed_pos, way) LEFT JOIN sw USING (symbol, formed_pos, way) JOIN rg ON rg.symbol = t.symbol AND rg.pos = k WHERE risk > 0)"""
+
+
+@query("d35_stall_measures", f"{_STALL} SELECT * FROM sr2")
+def _(spark, d):
+    return stall.measures(Known(placed(spark, d)))
+
+
+@query("g18_stall_report", f"""{_STALL} SELECT symbol, count(*) AS n, round(100 * avg(turned::INT)) AS turned_percent, round(avg(longest_stall), 6) AS mean_stall, count(*) FILTER (WHERE mfe_to_leg_end < 0.8) AS below_end, count(*) FILTER (WHERE mfe_to_leg_end BETWEEN 0.8 AND 1.2) AS at_end, count(*) FILTER (WHERE mfe_to_leg_end > 1.2) AS beyond_end FROM sr2 GROUP BY symbol""")
+def _(spark, d):
+    return stall.report(stall.measures(Known(placed(spark, d))))

@@ -43,5 +43,5 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
-    """Their values are checked against plain versions in test_features.py, test_models.py, test_folds.py and test_simulation.py."""
+    """Most values are checked in test_features.py, test_models.py, test_folds.py and test_simulation.py; README names those that are not."""
     assert len(catalog.QUERIES[name](spark, SMALL).toPandas()) > 0
