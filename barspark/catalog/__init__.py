@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from barspark.catalog import bars, evaluation, joins, known, models, outcomes, setups, signals, strategies, stream, trades  # noqa: E402, F401
+from barspark.catalog import bars, evaluation, joins, known, models, outcomes, research, setups, signals, strategies, stream, trades  # noqa: E402, F401
 from barspark.catalog.bars import flagship  # noqa: E402, F401
