@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from barspark.catalog import query
 from barspark.catalog.bars import placed, r6, with_atr
 from barspark.catalog.models import logs
-from barspark.catalog.outcomes import labelled
+from barspark.catalog.outcomes import HORIZON
 from barspark.catalog.setups import _CHAIN
 from barspark.functions import scalars as C
 from barspark.functions.session import eastern
 from barspark.operators import structure as D
+from barspark.operators import windows as V
 from barspark.operators.windows import in_time
 from barspark.plans import logistic as L
+from barspark.plans import outcomes as O
 from barspark.plans import research as R
 from barspark.plans import setups as P
 from barspark.sources.shared import written
@@ -96,10 +98,10 @@ def considered(spark, d):
     first = F.row_number().over(Window.partitionBy("symbol", "scene").orderBy(F.desc("body_"), "pos")) == 1
     hour = F.hour(eastern(F.col("ts")))
     return bars.select(
-        "symbol", "scene", F.col("pos").cast("long").alias("row_id"), F.concat_ws(":", "symbol", "pos").alias("id"), (span / F.col("atr")).alias("span"), (F.greatest("open", "close") - F.col("low")).alias("top_"),
+        "symbol", "scene", F.col("pos").cast("long").alias("row_id"), F.concat_ws(":", "symbol", "pos").alias("id"), (span / F.col("atr")).alias("span"),
         ((F.col("high") - F.greatest("open", "close")) / span).alias("upper"), ((F.least("open", "close") - F.col("low")) / span).alias("lower"), F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").alias("way"),
         F.when(hour < 3, "asia").when(hour < 9, "london").when(hour < 16, "new_york").otherwise("late").alias("session"), (first & (F.col("body_") >= 0.5 * F.col("atr"))).alias("chosen"),
-    ).drop("top_")
+    )
 
 
 LEVELS = {"way": ["up", "down"], "session": ["asia", "london", "new_york", "late"]}
@@ -114,9 +116,25 @@ def _(spark, d):
     return test.groupBy("symbol", "fold", "chosen").agg(F.count("*").alias("n"), r6(F.avg(C.neg_log_likelihood(own)), "loss"))
 
 
+def bracketed(spark, d):
+    """An order at every bar's body middle between the extremes of the last six bars, both of which prices can reach.
+
+    Brackets of average ranges would not do here: prices are positive and smaller
+    than an average range, so no short could reach its target and hardly a long its
+    stop, and the way alone would tell the outcome.
+    """
+    high, low = F.max("high").over(V.rows(-5, 0)), F.min("low").over(V.rows(-5, 0))
+    frame = placed(spark, d).withColumn("top_", high).withColumn("bottom_", low).where("close <> open")
+    long, middle = F.col("close") > F.col("open"), (F.col("open") + F.col("close")) / 2
+    stop, target = F.when(long, F.col("bottom_")).otherwise(F.col("top_")), F.when(long, F.col("top_")).otherwise(F.col("bottom_"))
+    orders = frame.select(F.concat_ws(":", "symbol", "pos").alias("id"), "symbol", (F.col("pos") + 1).alias("decision"), long.alias("is_long"), middle.alias("price"), stop.alias("stop"), target.alias("target"))
+    return orders.where("stop <> price and target <> price")
+
+
 @query("ml17_outcome_classifiers")
 def _(spark, d):
-    outcomes = labelled(spark, d).select("id", "decision", "final", F.when(F.col("result") == "TARGET", 1).when(F.col("result") == "STOP", 0).alias("label"))
+    outcomes = O.labels(bracketed(spark, d), placed(spark, d), HORIZON)
+    outcomes = outcomes.select("id", "decision", "final", F.when(F.col("result") == "TARGET", 1).when(F.col("result") == "STOP", 0).alias("label"))
     rows = considered(spark, d).join(outcomes, "id")
     out = R.classifiers(rows, ["span", "upper", "lower"], ["way", "session", "symbol"], "label", "decision", "final")
     return out.select("model", "n_train", "n_val", *(F.round(c, 4).alias(c) for c in ("positive_rate", "majority_accuracy", "auc", "accuracy")))
