@@ -108,7 +108,7 @@ def _(spark, d):
 
 @query("g17_nearest_rank_quantiles", f"{_TR}, l AS (SELECT symbol, list_sort(list(r)) AS v FROM tr GROUP BY symbol) SELECT symbol, round(v[least(len(v), floor(0.25 * len(v))::INT + 1)], 6) AS q25, round(v[least(len(v), floor(0.9 * len(v))::INT + 1)], 6) AS q90 FROM l")
 def _(spark, d):
-    return trades(spark, d).groupBy("symbol").agg(r6(S.nearest_rank("r", 0.25), "q25"), r6(S.nearest_rank("r", 0.9), "q90"))
+    return S.nearest_ranks(trades(spark, d), "r", {"q25": 0.25, "q90": 0.9}, "symbol").select("symbol", r6("q25", "q25"), r6("q90", "q90"))
 
 
 @query("g20_daily_pnl", f"{_TR} SELECT symbol, day::VARCHAR AS day, round(sum(pnl), 6) AS pnl, round(sum(r), 6) AS r FROM tr GROUP BY symbol, day")

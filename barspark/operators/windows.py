@@ -94,9 +94,16 @@ def confirmed(flag: Column, price: str, k: int) -> Column:
 
 
 def last_pivots(flag: str, price: str, k: int, n: int) -> Column:
-    """The last n swings known at a row, oldest first."""
-    known = F.collect_list(F.when(F.col(flag), F.struct("pos", price))).over(rows(UNBOUNDED, -k))
-    return F.slice(F.concat(F.array_repeat(F.lit(None), n), known), -n, n)
+    """The last n swings known at a row, oldest first; those there are not yet are null.
+
+    Each swing carries the ones before it, so a row holds n of them and no more.
+    """
+    at = F.col(flag)
+    chain = [F.when(at, F.struct("pos", price))]
+    for _ in range(n - 1):
+        chain.append(F.when(at, F.last(chain[-1], ignorenulls=True).over(rows(UNBOUNDED, -1))))
+    known = F.last(F.when(at, F.array(*reversed(chain))), ignorenulls=True).over(rows(UNBOUNDED, -k))
+    return F.coalesce(known, F.array_repeat(F.lit(None), n))
 
 
 def fractal(column: str, high: bool, width: int) -> Column:

@@ -84,10 +84,17 @@ def drop_best(daily: DataFrame, by: str, period: Column, value: str = "pnl") ->
     return sums.join(best, by).where("p_ <> best").groupBy(by).agg(F.avg(value).alias("mean"))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """Quantile without interpolation: the value at index floor(share * n) of the sorted ones."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, F.least(F.size(ordered), F.floor(share * F.size(ordered)).cast("int") + 1))
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], by: str) -> DataFrame:
+    """Quantiles without interpolation: the value at index floor(share * n) of a group's sorted ones, null if it has none.
+
+    Equal values are counted first; counts run up in order and nothing is gathered.
+    """
+    total = rows.groupBy(by).agg(F.count(value).alias("total_"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n_"))
+    running = F.sum("n_").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = total.join(counts.withColumn("upto_", running), by, "left")
+    index = lambda share: F.least(F.col("total_"), F.floor(share * F.col("total_")) + 1)
+    return placed.groupBy(by).agg(*(F.min(F.when(F.col("upto_") >= index(share), F.col(value))).alias(name) for name, share in shares.items()))
 
 
 def auc(scores: DataFrame, score: str, label: str, by: str) -> DataFrame:
