@@ -73,6 +73,19 @@ def _(spark, d):
     return out.select("symbol", "level_pos", "way", "state", F.col("f_dominant").alias("dominant"), r6("acceptance", "acceptance"), "broken_pos", F.col("rank").cast("long").alias("rank"), "tied")
 
 
+_SWEEPS = f"""{_MSS}, dg AS (SELECT symbol, arg_max(price, pos) FILTER (WHERE kind = 1) AS rh, arg_max(price, pos) FILTER (WHERE kind = -1) AS rl FROM sk GROUP BY symbol), lx AS (SELECT symbol, arg_max(close, pos) AS lc FROM x GROUP BY symbol),
+sf AS (SELECT q.symbol, q.pos, q.kind, hit_pos, price, extreme, rh, rl, lc, coalesce(dominant, 0) AS fd, coalesce((q.kind * price > q.kind * ((rh + rl) / 2))::INT, 0) AS fa, round(greatest(q.kind * (price - hit_close), 0.0) / (abs(extreme - price) + 1e-9), 3) AS fj
+  FROM pool q LEFT JOIN dm ON dm.symbol = q.symbol AND dm.broken_pos = q.pos AND dm.way = q.kind LEFT JOIN dg ON dg.symbol = q.symbol JOIN lx ON lx.symbol = q.symbol WHERE swept),
+so AS (SELECT *, row_number() OVER o AS rank, count(*) OVER (PARTITION BY symbol, fd, fa, fj, hit_pos) > 1 AS tied, count(*) OVER (PARTITION BY symbol) AS competing, lag(fd) OVER o AS ld, lag(fa) OVER o AS la, lag(fj) OVER o AS lj, lag(hit_pos) OVER o AS lh FROM sf WINDOW o AS (PARTITION BY symbol ORDER BY fd DESC, fa DESC, fj DESC, hit_pos DESC, pos, kind))"""
+
+
+@query("d30_sweep_records", f"""{_SWEEPS} SELECT symbol, pos AS level_pos, hit_pos AS sweep_pos, -kind AS way, round(abs(extreme - price), 4) AS penetration, fd AS dominant, fa AS aligned, fj AS rejection, rank, tied, CASE WHEN rank = 1 THEN '' WHEN ld <> fd THEN 'dominant' WHEN la <> fa THEN 'aligned' WHEN lj <> fj THEN 'rejection' WHEN lh <> hit_pos THEN 'recency' ELSE 'tie' END AS lost_by, competing,
+  CASE WHEN rh > rl THEN round((lc - rl) / (rh - rl), 4) END AS location, CASE WHEN rh > rl THEN CASE WHEN lc > (rh + rl) / 2 THEN 'premium' WHEN lc < (rh + rl) / 2 THEN 'discount' ELSE 'equilibrium' END END AS zone FROM so""")
+def _(spark, d):
+    out = P.sweep_records(written(placed(spark, d), "bars"))
+    return out.select("symbol", "level_pos", "sweep_pos", "way", "penetration", F.col("f_dominant").alias("dominant"), F.col("f_aligned").alias("aligned"), F.col("f_rejection").alias("rejection"), F.col("rank").cast("long").alias("rank"), "tied", "lost_by", "competing", "location", "zone")
+
+
 @query("d20_refined_gaps", f"""{_MSS}, {_FINE}, fq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM fine), fl AS (SELECT *, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0, lag(ts, 2) OVER w AS start FROM fq WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
 fg AS (SELECT symbol, pos AS formed_pos, start, CASE WHEN low > h0 THEN 1 ELSE -1 END AS way, CASE WHEN low > h0 THEN h0 ELSE high END AS bottom, CASE WHEN low > h0 THEN low ELSE l0 END AS top FROM fl WHERE low > h0 OR high < l0),
 fo AS (SELECT g.symbol, g.formed_pos, g.way, any_value(g.bottom) AS bottom, any_value(g.top) AS top, any_value(g.top + g.bottom) / 2 AS middle, arg_min(m.sweep_pos, m.rank) AS sweep_pos, arg_min(m.level_pos, m.rank) AS level_pos, min(m.rank) AS rank

@@ -154,6 +154,39 @@ def recommendations(ranked: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("way") == 1, "LONG").when(F.col("way") == -1, "SHORT").otherwise("NO-TRADE"))
 
 
+def sweep_records(bars: DataFrame) -> DataFrame:
+    """A row per swept level: its ranking with the factor that lost to the one above, how many compete, and where the last close lies in the dealing range.
+
+    Factors: a dominant swing was swept, on the right side of the range's middle
+    (none without a range), how much of the wick beyond the level the close took
+    back, the later sweep.  Without a range that has a height, location and zone are
+    null.
+    """
+    pivots = D.pivots(bars)
+    legs = D.skeleton(pivots)
+    swept = D.pools(pivots, bars).where("swept")
+    strong = legs.select("symbol", "pos", "kind", F.col("dominant").cast("int").alias("f_dominant"))
+    ranges = D.dealing_range(legs).select("symbol", "range_high", "range_low", "equilibrium")
+    last = bars.groupBy("symbol").agg(F.max_by("close", "pos").alias("last_close"))
+    rows = swept.join(strong, ["symbol", "pos", "kind"], "left").join(ranges, "symbol", "left").join(last, "symbol")
+    back = F.col("kind") * (F.col("price") - F.col("hit_close"))
+    rows = rows.withColumns({
+        "f_dominant": F.coalesce("f_dominant", F.lit(0)), "f_aligned": F.coalesce((F.col("kind") * F.col("price") > F.col("kind") * F.col("equilibrium")).cast("int"), F.lit(0)),
+        "f_rejection": F.round(F.greatest(back, F.lit(0.0)) / (F.abs(F.col("extreme") - F.col("price")) + 1e-9), 3), "penetration": F.round(F.abs(F.col("extreme") - F.col("price")), 4), "place_": F.struct("pos", "kind"),
+    })
+    factors = ["f_dominant", "f_aligned", "f_rejection", "hit_pos"]
+    order = Window.partitionBy("symbol").orderBy(*(F.col(c).desc() for c in factors), "place_")
+    lost = F.when(F.row_number().over(order) == 1, "")
+    for c, name in zip(factors, ("dominant", "aligned", "rejection", "recency")):
+        lost = lost.when(F.lag(c).over(order) != F.col(c), name)
+    ranked = D.ranked(rows, ["symbol"], factors, "place_").withColumn("lost_by", lost.otherwise("tie"))
+    some = F.col("range_high") > F.col("range_low")
+    zone = F.when(F.col("last_close") > F.col("equilibrium"), "premium").when(F.col("last_close") < F.col("equilibrium"), "discount").otherwise("equilibrium")
+    ranked = ranked.withColumn("location", F.when(some, F.round((F.col("last_close") - F.col("range_low")) / (F.col("range_high") - F.col("range_low")), 4))).withColumn("zone", F.when(some, zone))
+    competing = swept.groupBy("symbol").agg(F.count("*").alias("competing"))
+    return ranked.join(competing, "symbol").withColumn("way", -F.col("kind")).withColumnsRenamed({"pos": "level_pos", "hit_pos": "sweep_pos"}).drop("place_")
+
+
 def lifecycle(found: DataFrame, bars: DataFrame) -> DataFrame:
     """Setups as current, active or historical (mitigated, superseded by a later opposite shift, or from an earlier session)."""
     at = F.coalesce("confirm_pos", "broken_pos")
