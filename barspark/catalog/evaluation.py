@@ -20,6 +20,7 @@ from barspark.operators import windows as V
 from barspark.plans import models as M
 from barspark.plans import setups as U
 from barspark.plans import simulation as P
+from barspark.plans import resample as R
 from barspark.plans import stats as S
 
 _RET = f"""{_FOLD}, nx AS (SELECT symbol, pos, lead(close) OVER (PARTITION BY symbol ORDER BY pos) - close AS ret FROM x), fr AS (SELECT f.*, ret FROM f JOIN nx USING (symbol, pos)), fs AS (SELECT symbol, fold, min(i) AS fi FROM fr WHERE fold >= 0 GROUP BY ALL),
@@ -194,25 +195,25 @@ def _(spark, d):
 @query("st02_decile_spread_bootstrap")
 def _(spark, d):
     rows = scored(spark, d).withColumn("conf", F.greatest(F.col("p"), 1 - F.col("p"))).withColumn("hit", ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))
-    return S.bootstrap_spread(S.quantile_cells(rows, "conf", 10, "symbol"), "hit", "cell", "symbol")
+    return R.bootstrap_spread(S.quantile_cells(rows, "conf", 10, "symbol"), "hit", "cell", "symbol")
 
 
 @query("st03_block_bootstrap")
 def _(spark, d):
     daily = trades(spark, d).groupBy("symbol", F.unix_date("day").alias("day")).agg(F.sum("r").alias("r"))
-    return S.bootstrap_mean(daily, "r", "symbol", draws=2000, block=5, order="day", circular=False)
+    return R.bootstrap_mean(daily, "r", "symbol", draws=2000, block=5, order="day", circular=False)
 
 
 @query("st05_paired_sharpe_bootstrap")
 def _(spark, d):
     rows = trades(spark, d).groupBy("symbol", F.unix_date("day").alias("day")).agg(F.sum(F.when(F.col("side") == "long", F.col("pnl")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("side") == "short", F.col("pnl")).otherwise(0.0)).alias("b"))
-    return S.bootstrap_sharpe_difference(rows, "a", "b", "symbol", "day")
+    return R.bootstrap_sharpe_difference(rows, "a", "b", "symbol", "day")
 
 
 @query("st06_slippage_probability")
 def _(spark, d):
     rows = trades(spark, d).withColumn("net", F.col("pnl") - 1.0)
-    return S.bootstrap_mean(rows, "net", "symbol", order="entry").select("key", "n", "p")
+    return R.bootstrap_mean(rows, "net", "symbol", order="entry").select("key", "n", "p")
 
 
 @query("st11_deflated_best")

@@ -10,6 +10,7 @@ from barspark.catalog.bars import placed, r6, ticks
 from barspark.catalog.sql import POS, TICKS
 from barspark.functions.session import eastern
 from barspark.operators.windows import in_time
+from barspark.plans import resample as R
 from barspark.plans import stats as S
 
 _TR = f"""{POS}, tr AS (
@@ -184,13 +185,13 @@ def _(spark, d):
 
 @query("st01_bootstrap_mean")
 def _(spark, d):
-    return S.bootstrap_mean(trades(spark, d), "r", "symbol", order="entry")
+    return R.bootstrap_mean(trades(spark, d), "r", "symbol", order="entry")
 
 
 @query("st04_circular_block_bootstrap")
 def _(spark, d):
     daily = trades(spark, d).groupBy("symbol", F.unix_date("day").alias("day")).agg(F.sum("r").alias("r"))
-    return S.bootstrap_mean(daily, "r", "symbol", draws=5000, block=5, order="day", seed=20260724)
+    return R.bootstrap_mean(daily, "r", "symbol", draws=5000, block=5, order="day", seed=20260724)
 
 
 @query("g01_tick_counts", f"WITH {TICKS} SELECT symbol, count(*) AS n, count(DISTINCT ts::DATE) AS days FROM ticks GROUP BY symbol")

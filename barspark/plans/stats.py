@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,36 +141,6 @@ def prior_fold_percentile(rows: DataFrame, value: str, fold: str, by: str) -> Da
     return counted.withColumn("percentile", F.when(F.col("total") > 0, F.col("below") / F.col("total"))).drop("target", "below", "total")
 
 
-def bootstrap_mean(rows: DataFrame, value: str, by: str, draws: int = 2000, block: int = 1, order: str | None = None, seed: int = 42, circular: bool = True) -> DataFrame:
-    """Confidence interval of a mean by (circular) block resampling, and the share of means at most zero.
-
-    Groups are one day or trade per row; a group's draws run in one task, in
-    chunks of bounded size.  One value has itself as interval; none is no row.
-    """
-    columns = [by, value] + ([order] if order else [])
-
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        if order:
-            part = part.sort_values(order, kind="stable")
-        x = part[value].to_numpy(float)
-        n = len(x)
-        if n == 1:
-            return pd.DataFrame([(part[by].iat[0], 1, x[0], x[0], x[0], float(x[0] <= 0))], columns=["key", "n", "mean", "low", "high", "p"])
-        rng = np.random.default_rng(seed)
-        means = np.empty(draws)
-        per = -(-n // block)
-        chunk = max(1, (1 << 22) // (per * block))
-        for at in range(0, draws, chunk):
-            many = min(chunk, draws - at)
-            start = rng.integers(0, n if circular else max(1, n - block + 1), (many, per))
-            index = (start[:, :, None] + np.arange(block)).reshape(many, -1)[:, :n]
-            means[at : at + many] = x[index % n if circular else np.minimum(index, n - 1)].mean(1)
-        low, high = np.quantile(means, [0.05, 0.95])
-        return pd.DataFrame([(part[by].iat[0], n, x.mean(), low, high, float((means <= 0).mean()))], columns=["key", "n", "mean", "low", "high", "p"])
-
-    return rows.where(F.col(value).isNotNull()).select(*columns).groupBy(by).applyInPandas(draw, "key string, n long, mean double, low double, high double, p double")
-
-
 def deflated_sharpe(ratio: float, n: int, skew: float, kurtosis: float, trials: int, spread: float) -> float:
     """Probability that a per-period Sharpe ratio beats the best expected of ``trials`` null ones."""
     if n < 2:
@@ -204,47 +173,6 @@ def sign_stability(rows: DataFrame, by: str, value: str) -> DataFrame:
     return out.withColumn("consistency", F.when(F.col("s_") != 0, F.col("m_") / F.col("t_"))).drop("s_", "m_", "t_")
 
 
-def bootstrap_spread(rows: DataFrame, value: str, cell: str, by: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Resampled difference of a value's mean between a key's highest and lowest cell: mean, low, high, p (share at most zero)."""
-    edges = rows.groupBy(by).agg(F.min(cell).alias("low_"), F.max(cell).alias("high_"))
-    ends = rows.where(F.col(value).isNotNull()).join(edges, by).where((F.col(cell) == F.col("low_")) | (F.col(cell) == F.col("high_"))).where("low_ < high_")
-    ends = ends.select(by, F.col(value).cast("double").alias("v"), (F.col(cell) == F.col("high_")).alias("top"))
-
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(part["v"][~part["top"]].to_numpy()), np.sort(part["v"][part["top"]].to_numpy())
-        rng = np.random.default_rng(seed)
-        low, high = (np.concatenate([v[rng.integers(0, len(v), (min(64, draws - at), len(v)))].mean(1) for at in range(0, draws, 64)]) for v in values)
-        gap = high - low
-        return pd.DataFrame([(part[by].iat[0], gap.mean(), *np.quantile(gap, [0.05, 0.95]), (gap <= 0).mean())], columns=["key", "mean", "low", "high", "p"])
-
-    return ends.groupBy(by).applyInPandas(draw, "key string, mean double, low double, high double, p double")
-
-
-def bootstrap_sharpe_difference(daily: DataFrame, a: str, b: str, by: str, order: str, block: int = 5, draws: int = 2000, seed: int = 20260724) -> DataFrame:
-    """Difference of two daily series' Sharpe ratios, with days drawn in circular blocks for both at once."""
-
-    def ratio(x: np.ndarray) -> np.ndarray:
-        spread = x.std(-1, ddof=1)
-        return np.where(spread > 0, x.mean(-1) / np.where(spread > 0, spread, 1), 0.0) * math.sqrt(252)
-
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        x, y = part[a].to_numpy(float), part[b].to_numpy(float)
-        n = len(x)
-        if n < 2:
-            return pd.DataFrame([(part[by].iat[0], 0.0, 0.0, 0.0, 1.0)], columns=["key", "observed", "low", "high", "p"])
-        rng = np.random.default_rng(seed)
-        gaps = []
-        for at in range(0, draws, 64):
-            start = rng.integers(0, n, (min(64, draws - at), -(-n // block)))
-            index = (start[:, :, None] + np.arange(block)).reshape(len(start), -1)[:, :n] % n
-            gaps.append(ratio(x[index]) - ratio(y[index]))
-        gap = np.concatenate(gaps)
-        return pd.DataFrame([(part[by].iat[0], float(ratio(x) - ratio(y)), *np.quantile(gap, [0.025, 0.975]), (gap <= 0).mean())], columns=["key", "observed", "low", "high", "p"])
-
-    return daily.select(by, a, b, order).groupBy(by).applyInPandas(draw, "key string, observed double, low double, high double, p double")
-
-
 def deflated_best(daily: DataFrame, by: list[str], value: str) -> DataFrame:
     """Each series' daily Sharpe ratio and its deflated probability among all of them (their number and spread)."""
     moments = daily.groupBy(*by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count("*").alias("n"), F.skewness(value).alias("sk"), F.kurtosis(value).alias("ku"))

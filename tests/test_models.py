@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from barspark.plans import models as M
+from barspark.plans import resample as R
 from barspark.plans import stats as S
 
 
@@ -94,7 +95,7 @@ def test_bootstraps_cover_the_mean(spark):
     values = rng.normal(0.3, 1.0, 200)
     frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(values)] + [("b", 0, -1.0)], "k string, day int, v double")
     for block, circular in ((1, True), (5, True), (5, False)):
-        got = {r.key: r for r in S.bootstrap_mean(frame, "v", "k", block=block, order="day", circular=circular).collect()}
+        got = {r.key: r for r in R.bootstrap_mean(frame, "v", "k", block=block, order="day", circular=circular).collect()}
         r = got["a"]
         assert r.mean == pytest.approx(values.mean()) and r.low < r.mean < r.high
         assert r.high - r.low == pytest.approx(2 * 1.645 * values.std() / math.sqrt(200), rel=0.35)
@@ -105,10 +106,10 @@ def test_paired_sharpe_and_decile_spread(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(0, 1, 300)
     frame = spark.createDataFrame([("a", i, float(b + 0.3), float(b)) for i, b in enumerate(base)], "k string, day int, x double, y double")
-    r = S.bootstrap_sharpe_difference(frame, "x", "y", "k", "day").first()
+    r = R.bootstrap_sharpe_difference(frame, "x", "y", "k", "day").first()
     assert r.observed == pytest.approx(0.3 / base.std(ddof=1) * math.sqrt(252)) and r.low < r.observed < r.high and r.p < 0.01
     cells = spark.createDataFrame([("a", c, float(c + rng.normal())) for c in range(10) for _ in range(60)], "k string, cell int, v double")
-    spread = S.bootstrap_spread(cells, "v", "cell", "k").first()
+    spread = R.bootstrap_spread(cells, "v", "cell", "k").first()
     assert spread.mean == pytest.approx(9.0, abs=0.5) and spread.low < spread.mean < spread.high
 
 
