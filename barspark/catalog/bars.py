@@ -150,11 +150,11 @@ def _(spark, d):
 
 
 @query("f05_annotate_session", f"""{POS}, m AS (SELECT *, hour(et) * 60 + minute(et) AS t FROM x)
-SELECT {KEY}, et::DATE::VARCHAR AS et_date, t >= 570 AND t < 960 AS in_rth, t >= 600 AND t <= 925 AS forecast_eligible, t >= 955 AS force_flat FROM m""")
+SELECT {KEY}, et::DATE::VARCHAR AS et_date, t >= 570 AND t < 960 AS in_rth, t >= 600 AND t <= 925 AS forecast_eligible, t >= 600 AND t < 900 AS entry_eligible, t >= 955 AND t < 960 AS force_flat FROM m""")
 def _(spark, d):
     local = T.eastern(F.col("ts"))
     t = T.minute_of_day(local)
-    return hourly(spark, d).select("symbol", secs(), F.to_date(local).cast("string").alias("et_date"), T.in_window(t, 570, 960).alias("in_rth"), ((t >= 600) & (t <= 925)).alias("forecast_eligible"), (t >= 955).alias("force_flat"))
+    return hourly(spark, d).select("symbol", secs(), F.to_date(local).cast("string").alias("et_date"), T.in_window(t, 570, 960).alias("in_rth"), ((t >= 600) & (t <= 925)).alias("forecast_eligible"), T.in_window(t, 600, 900).alias("entry_eligible"), T.in_window(t, 955, 960).alias("force_flat"))
 
 
 @query("f09_open_minutes", f"""{POS}, g AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM bars),

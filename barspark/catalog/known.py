@@ -56,6 +56,20 @@ def _(spark, d):
     return out.select("symbol", "pos", "n_live", "n_actionable", "n_current", "formed_pos", "decision", r6("entry", "entry"), "stop", "target", "rr")
 
 
+_C = "greatest(0.0, least(1.0, {0}))"
+_TICKETS = f"""{_LIVE}, r AS ({_LAST}), bs AS (SELECT symbol, c, way, entry, stop, target, rr FROM li WHERE life = 'current' QUALIFY row_number() OVER (PARTITION BY symbol, c ORDER BY rr DESC, round(risk, 2), formed_pos, way) = 1),
+t0 AS (SELECT x.symbol, x.pos, x.ts, way, entry, stop, target, rr, h.price AS rh, l.price AS rl, (h.price + l.price) / 2 AS ce FROM x LEFT JOIN bs ON bs.symbol = x.symbol AND bs.c = x.pos LEFT JOIN r h ON h.symbol = x.symbol AND h.c = x.pos AND h.kind = 1 LEFT JOIN r l ON l.symbol = x.symbol AND l.c = x.pos AND l.kind = -1),
+t1 AS (SELECT *, CASE WHEN way IS NOT NULL AND ce IS NOT NULL THEN round({_C.format("CASE WHEN way = 1 THEN (ce - entry) / CASE WHEN ce <> rl THEN ce - rl ELSE 1e-9 END ELSE (entry - ce) / CASE WHEN rh <> ce THEN rh - ce ELSE 1e-9 END END")}, 4) END AS pd,
+  CASE WHEN way IS NOT NULL AND ce IS NOT NULL THEN round({_C.format("1 - abs(entry - ce) / (0.5 * CASE WHEN rh <> rl THEN rh - rl ELSE 1e-9 END)")}, 4) END AS cd FROM t0), t2 AS (SELECT *, round(0.6 * pd + 0.4 * cd, 4) AS q FROM t1)"""
+
+
+@query("r07_tickets", f"""{_TICKETS} SELECT symbol, pos, symbol || ':60m:' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ticket, CASE way WHEN 1 THEN 'LONG' WHEN -1 THEN 'SHORT' ELSE 'NO-TRADE' END AS decision, CASE WHEN way IS NULL THEN 'NO_SETUP' WHEN q >= 0.39 THEN 'TAKE' ELSE 'SKIP' END AS action, CASE WHEN q >= 0.39 THEN 'TRADE' WHEN q < 0.39 THEN 'PASS' ELSE 'N/A' END AS execution,
+  coalesce(q, 0) AS confidence, CASE WHEN pd <= cd THEN 'pd_location' WHEN pd > cd THEN 'ce_distance' ELSE '' END AS weakest, CASE WHEN pd <= cd THEN concat_ws(',', CASE WHEN pd < 0.5 THEN 'pd_location' END, CASE WHEN cd < 0.5 THEN 'ce_distance' END) WHEN pd > cd THEN concat_ws(',', CASE WHEN cd < 0.5 THEN 'ce_distance' END, CASE WHEN pd < 0.5 THEN 'pd_location' END) ELSE '' END AS issues,
+  round(entry, 6) AS entry, stop, round(abs(entry - stop), 4) AS risk, round(entry + way * 2.0 * abs(entry - stop), 4) AS exit_target, target, rr FROM t2""")
+def _(spark, d):
+    return Known(placed(spark, d)).tickets("60m").withColumn("entry", F.round("entry", 6))
+
+
 @query("d29_setup_records", f"{_LIVE} SELECT symbol, c AS pos, formed_pos, way, sweep_pos, c - formed_pos AS age, status, round(entry, 6) AS entry, round(risk, 6) AS risk, target, rr, reject, life AS state FROM li")
 def _(spark, d):
     known = Known(placed(spark, d))

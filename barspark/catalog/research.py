@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspark.catalog import query
-from barspark.catalog.bars import placed, r6, with_atr
+from barspark.catalog.bars import placed, r6, swings, with_atr
 from barspark.catalog.models import logs
 from barspark.catalog.outcomes import HORIZON
 from barspark.catalog.setups import _CHAIN
@@ -15,11 +17,14 @@ from barspark.functions.session import eastern
 from barspark.operators import structure as D
 from barspark.operators import windows as V
 from barspark.operators.windows import in_time
+from barspark.plans import bundles as B
+from barspark.plans import features as X
 from barspark.plans import logistic as L
 from barspark.plans import outcomes as O
 from barspark.plans import research as R
 from barspark.plans import setups as P
-from barspark.sources.shared import written
+from barspark.sources import stores
+from barspark.sources.shared import shared_dir, written
 
 _COMPARED = f"""{_CHAIN}, dy AS (SELECT symbol, pos, et::DATE AS day FROM x),
 cd AS (SELECT q.symbol, dy.day, 'manipulation' AS dimension, -q.kind AS way, q.price, row_number() OVER (PARTITION BY q.symbol, dy.day ORDER BY abs(extreme - price) DESC, q.pos DESC, q.kind) AS rank FROM pool q JOIN dy ON dy.symbol = q.symbol AND dy.pos = q.hit_pos WHERE swept
@@ -151,3 +156,30 @@ def _(spark, d):
     rows = considered(spark, d).withColumn("label", F.col("chosen").cast("int"))
     out = L.case_deletion(rows, ["span", "upper", "lower"], "symbol")
     return out.select("symbol", F.col("row_id").alias("pos"), "label", r6("p", "p"))
+
+
+def frozen(spark, d, causal: bool):
+    """Fit on the first seven tenths of each symbol's time, store, read back and score what comes after."""
+    features = B.CAUSAL if causal else X.MARKET_STATE
+    rows = B.labelled(X.market_state(swings(spark, d), causal=causal), 5).select("symbol", "ts", "known_at", "atr", *features, "ahead", "label")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    ends = rows.groupBy("symbol").agg(F.min(seconds).alias("a"), F.max(seconds).alias("b"))
+    until = F.timestamp_seconds(F.floor(F.col("a") + (F.col("b") - F.col("a")) * 0.7)).cast("timestamp_ntz")
+    rows = written(rows.join(ends.select("symbol", until.alias("until")), "symbol"), "matrix")
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    stores.save_bundle(B.build(rows, features, F.col("until"), cost=6.0, point_value=2.0, settled=causal), path, horizon="5", left_out=",".join(B.LEAKY if causal else []))
+    bundle, _ = stores.load_bundle(spark, path)
+    ahead = B.score(rows.where("ts > until"), bundle, features)
+    own = -F.ln(F.greatest(F.element_at("proba", F.col("label") + 1), F.lit(1e-15)))
+    judged = ahead.groupBy("symbol").agg(F.count("ev").alias("n_scored"), r6(F.avg(own), "loss"), r6(F.avg("ev"), "mean_ev"), F.count_if(F.abs("ev") > F.col("cost_hurdle")).alias("n_beyond_cost"))
+    return judged.join(bundle.select("symbol", "n_train", F.size("features").alias("n_features")), "symbol")
+
+
+@query("ml15_frozen_bundle")
+def _(spark, d):
+    return frozen(spark, d, causal=False)
+
+
+@query("ml16_causal_bundle")
+def _(spark, d):
+    return frozen(spark, d, causal=True)

@@ -18,7 +18,7 @@ from barspark.operators import structure as D
 from barspark.operators.firsthit import first_beyond
 from barspark.operators.joins import as_of
 from barspark.operators.ordered import fold
-from barspark.plans.setups import MIN_RR, moved_to, turns
+from barspark.plans.setups import EXIT_RISKS, MIN_RR, QUALITY, judged, moved_to, turns
 from barspark.sources.shared import written
 
 #: The end of what stays known.
@@ -229,3 +229,29 @@ class Known:
         each = rows.groupBy("symbol", "pos").agg(F.count("*").alias("n_live"), F.count_if("actionable").alias("n_actionable"), F.count_if(current).alias("n_current"), best)
         out = self.bars.select("symbol", F.col("pos").cast("long").alias("pos")).join(each, ["symbol", "pos"], "left").select("symbol", "pos", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_actionable", "n_current")), "best.*")
         return out.withColumn("decision", F.when(F.col("way") == 1, "LONG").when(F.col("way") == -1, "SHORT").otherwise("NO-TRADE"))
+
+    def tickets(self, timeframe: str, threshold: float = QUALITY) -> DataFrame:
+        """A ticket for every bar: what to do by the best current setup, where to get in and out, and what speaks against it.
+
+        ``action`` is TAKE if the setup's quality in the dealing range known at the bar
+        reaches the threshold, SKIP if not or without a range, NO_SETUP without a
+        current setup; prices are null then.  ``exit_target`` lies EXIT_RISKS risks
+        beyond the entry; the open level that the setup aims at stays beside it.
+        ``issues`` names the scores below a half, the worst first.
+        """
+        ranges = self.states().select("symbol", "pos", "range_high", "range_low")
+        times = self.bars.select("symbol", F.col("pos").cast("long").alias("pos"), F.col("ts"))
+        rows = judged(self.decisions().join(ranges, ["symbol", "pos"]).join(times, ["symbol", "pos"]), threshold)
+        some = F.col("way").isNotNull()
+        ranged = some & F.col("range_high").isNotNull() & F.col("range_low").isNotNull()
+        risk = F.abs(F.col("entry") - F.col("stop"))
+        poor = {c: F.when(F.col(c) < 0.5, c) for c in ("pd_location", "ce_distance")}
+        first = F.col("pd_location") <= F.col("ce_distance")
+        issues = F.when(first, F.concat_ws(",", poor["pd_location"], poor["ce_distance"])).otherwise(F.concat_ws(",", poor["ce_distance"], poor["pd_location"]))
+        return rows.select(
+            "symbol", "pos", F.concat_ws(":", "symbol", F.lit(timeframe), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("ticket"), "decision",
+            F.when(~some, "NO_SETUP").when(ranged & (F.col("verdict") == "TRADE"), "TAKE").otherwise("SKIP").alias("action"),
+            F.when(ranged, F.col("verdict")).otherwise("N/A").alias("execution"), F.when(ranged, F.col("quality")).otherwise(0.0).alias("confidence"),
+            F.when(ranged, F.col("weakest")).otherwise("").alias("weakest"), F.when(ranged, issues).otherwise("").alias("issues"),
+            "entry", "stop", F.round(risk, 4).alias("risk"), F.round(F.col("entry") + F.col("way") * EXIT_RISKS * risk, 4).alias("exit_target"), "target", "rr",
+        )

@@ -8,7 +8,7 @@ target at the nearest open level on the other side).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.session import session_day
@@ -199,27 +199,43 @@ def lifecycle(found: DataFrame, bars: DataFrame) -> DataFrame:
     return out.withColumn("state", state)
 
 
-def execution_quality(found: DataFrame, ranges: DataFrame, threshold: float = 0.39) -> DataFrame:
-    """Five scores between 0 and 1 of each setup in its symbol's dealing range, and the verdict on two of them."""
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    rows = found.join(ranges.select("symbol", "range_high", "range_low"), "symbol")
+#: What a setup's quality must reach to be traded, and the risks at which a traded one is closed with a gain.
+QUALITY, EXIT_RISKS = 0.39, 2.0
+
+
+def clamp(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def range_span() -> Column:
     span = F.col("range_high") - F.col("range_low")
-    span = F.when(span != 0, span).otherwise(1e-9)
+    return F.when(span != 0, span).otherwise(1e-9)
+
+
+def judged(rows: DataFrame, threshold: float = QUALITY) -> DataFrame:
+    """Rows with way, entry, range_high and range_low, scored by where the entry lies in the range: pd_location, ce_distance, quality, weakest and verdict."""
     ce = (F.col("range_high") + F.col("range_low")) / 2
     some = lambda c: F.when(c != 0, c).otherwise(1e-9)
     place = F.when(F.col("way") == 1, (ce - F.col("entry")) / some(ce - F.col("range_low"))).otherwise((F.col("entry") - ce) / some(F.col("range_high") - ce))
+    rows = rows.withColumns({"pd_location": F.round(clamp(place), 4), "ce_distance": F.round(clamp(1 - F.abs(F.col("entry") - ce) / (0.5 * range_span())), 4)})
+    quality = F.round(0.6 * F.col("pd_location") + 0.4 * F.col("ce_distance"), 4)
+    weakest = F.when(F.col("pd_location") <= F.col("ce_distance"), "pd_location").otherwise("ce_distance")
+    return rows.withColumn("quality", quality).withColumn("weakest", weakest).withColumn("verdict", F.when(F.col("quality") >= threshold, "TRADE").otherwise("PASS"))
+
+
+def execution_quality(found: DataFrame, ranges: DataFrame, threshold: float = QUALITY) -> DataFrame:
+    """Five scores between 0 and 1 of each setup in its symbol's dealing range, and the verdict on two of them."""
+    rows = found.join(ranges.select("symbol", "range_high", "range_low"), "symbol")
+    span = range_span()
     realism = F.when(F.col("rr").between(3.0, 8.0), 1.0).when(F.col("rr") > 8, clamp(1 - (F.col("rr") - 8) / 24)).otherwise(clamp(F.col("rr") / 3))
     shift = F.when(F.col("state") == "confirmed", 1.0).when(F.col("state") == "candidate", 0.6).otherwise(0.2)
     rejection = clamp(F.abs(F.col("extreme") - F.col("price")) / (0.25 * span))
     status = F.when(F.col("status") == "unfilled", 1.0).when(F.col("status") == "touched", 0.6).otherwise(0.0)
     size = clamp(1 - F.abs((F.col("top") - F.col("bottom")) / span - 0.05) / 0.15)
     rows = rows.withColumns({
-        "pd_location": F.round(clamp(place), 4), "ce_distance": F.round(clamp(1 - F.abs(F.col("entry") - ce) / (0.5 * span)), 4), "rr_realism": F.round(realism, 4),
-        "confirmation": F.round(clamp(0.5 * shift + 0.3 * F.when(F.col("exhausted"), 1.0).otherwise(0.5) + 0.2 * rejection), 4), "fvg_location": F.round(clamp(0.7 * status + 0.3 * size), 4),
+        "rr_realism": F.round(realism, 4), "confirmation": F.round(clamp(0.5 * shift + 0.3 * F.when(F.col("exhausted"), 1.0).otherwise(0.5) + 0.2 * rejection), 4), "fvg_location": F.round(clamp(0.7 * status + 0.3 * size), 4),
     })
-    quality = F.round(0.6 * F.col("pd_location") + 0.4 * F.col("ce_distance"), 4)
-    weakest = F.when(F.col("pd_location") <= F.col("ce_distance"), "pd_location").otherwise("ce_distance")
-    return rows.withColumn("quality", quality).withColumn("weakest", weakest).withColumn("verdict", F.when(F.col("quality") >= threshold, "TRADE").otherwise("PASS"))
+    return judged(rows, threshold)
 
 
 def node(kind: str, *parts):  # noqa: ANN002, ANN201

@@ -99,3 +99,31 @@ def test_counts_at_every_bar(known, cut, cursors):
         assert {k: r[name] for k, r in got.items()} == {k: counts.get(k, 0) for k in got}, name
     ranges = {r.symbol: (r.range_high, r.range_low) for r in D.dealing_range(D.skeleton(D.pivots(cut))).collect()}
     assert {k: (r.range_high, r.range_low) for k, r in got.items()} == {k: ranges.get(k, (None, None)) for k in got}
+
+
+def test_tickets(known, cut, cursors):
+    """Each ticket from the chain on cut bars: its best current setup, judged in the dealing range by the formula written out."""
+    whole = P.lifecycle(P.setups(cut).withColumnRenamed("state", "shift_state"), cut).where("status <> 'mitigated' and state = 'current'").collect()
+    ranges = {r.symbol: (r.range_high, r.range_low) for r in D.dealing_range(D.skeleton(D.pivots(cut))).collect()}
+    best = {}
+    for r in sorted(whole, key=lambda r: (-r.rr, round(r.risk, 2), r.formed_pos, r.way)):
+        best.setdefault(r.symbol, r)
+    seen = set()
+    for t in known.tickets("60m").where(F.col("pos").isin(cursors)).collect():
+        want, (high, low) = best.get(f"{t.symbol}@{t.pos}"), ranges.get(f"{t.symbol}@{t.pos}", (None, None))
+        if want is None:
+            assert (t.action, t.execution, t.confidence, t.entry, t.exit_target, t.issues) == ("NO_SETUP", "N/A", 0.0, None, None, "")
+            continue
+        assert (t.entry, t.stop, t.target, t.rr) == (want.entry, want.stop, want.target, want.rr) and t.ticket.startswith(f"{t.symbol}:60m:20")
+        assert t.exit_target == pytest.approx(want.entry + want.way * 2 * abs(want.entry - want.stop), abs=1e-4)
+        if high is None or low is None:
+            assert (t.action, t.execution, t.confidence) == ("SKIP", "N/A", 0.0)
+            continue
+        middle, clamp = (high + low) / 2, lambda x: max(0.0, min(1.0, x))
+        place = clamp((middle - want.entry) / ((middle - low) or 1e-9) if want.way == 1 else (want.entry - middle) / ((high - middle) or 1e-9))
+        near = clamp(1 - abs(want.entry - middle) / (0.5 * ((high - low) or 1e-9)))
+        assert t.confidence == pytest.approx(0.6 * place + 0.4 * near, abs=2e-4) and t.weakest == ("pd_location" if round(place, 4) <= round(near, 4) else "ce_distance")
+        assert (t.action, t.execution) == (("TAKE", "TRADE") if t.confidence >= 0.39 else ("SKIP", "PASS"))
+        assert t.issues.split(",") == ([n for v, n in sorted([(place, "pd_location"), (near, "ce_distance")], key=lambda e: e[0]) if v < 0.5] or [""])
+        seen.add(t.action)
+    assert seen
