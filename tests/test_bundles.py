@@ -50,7 +50,8 @@ def test_stored_bundles_score_as_plain_fits(spark, table, tmp_path, settled):
         means = [own.ahead[own.label == c].mean() if (own.label == c).any() else 0.0 for c in range(5)]
         assert np.allclose(held[symbol].returns, means)
         ask = got[got.symbol == symbol]
-        want = plain_fit(own[FEATURES].to_numpy(float), own.label.to_numpy(int), np.array(classes), 1.0 if len(classes) > 2 else 1.0)(ask[FEATURES].to_numpy(float))
+        # two classes have one vector v with penalty 1; as two vectors, v / 2 and -v / 2, that is a penalty of 2
+        want = plain_fit(own[FEATURES].to_numpy(float), own.label.to_numpy(int), np.array(classes), 1.0 if len(classes) > 2 else 2.0)(ask[FEATURES].to_numpy(float))
         proba = np.stack(ask.proba.to_numpy()).astype(float)
         assert np.allclose(proba[:, classes], want, atol=2e-3) and np.allclose(proba.sum(1), 1)
         assert np.allclose(ask.ev, proba @ np.array(means)) and (ask.cost_hurdle == 1.5).all()
