@@ -12,6 +12,7 @@ from barspark.functions import session as T
 from barspark.operators import bars as B
 from barspark.operators import joins as J
 from barspark.operators import windows as V
+from barspark.operators.windows import in_time
 
 _COARSE = """h1 AS (SELECT symbol, ts + INTERVAL 1 HOUR AS end_ts, close AS c1 FROM bars), h4 AS (SELECT symbol, to_timestamp(floor(epoch(ts) / 14400)::BIGINT * 14400 + 14400) AT TIME ZONE 'UTC' AS end_ts, last(close ORDER BY bars.ts) AS c4 FROM bars GROUP BY symbol, floor(epoch(ts) / 14400))"""
 _FINE = f"WITH RECURSIVE {TICKS}, {_bars(15).replace('bars AS', 'fine AS', 1)}, {_bars(60)}"
@@ -125,6 +126,26 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg("close"), "mean"))
 
 
+_ARMS = [("hour", "close - open"), ("day", "close - lag(close, 24) OVER w"), ("range", "high - low")]
+
+
+@query("u06_concatenated_arms", f"""{POS}, arms AS ({" UNION ALL ".join(f"SELECT '{n}' AS arm, symbol, pos, ts, {e} AS gain FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)" for n, e in _ARMS)}),
+zipped AS (SELECT *, row_number() OVER (PARTITION BY arm, symbol ORDER BY ts) AS i FROM arms WHERE gain IS NOT NULL), base AS (SELECT symbol, i, gain AS b FROM zipped WHERE arm = 'hour')
+SELECT arm, symbol, count(*) AS n, round(avg(gain - b), 6) AS mean, round(sum(gain - b), 6) AS total FROM zipped JOIN base USING (symbol, i) WHERE arm <> 'hour' GROUP BY arm, symbol""")
+def _(spark, d):
+    """Arms stacked under their names, each row against the base arm's row of the same place, up to the shorter one's end."""
+    bars = placed(spark, d)
+    gains = {"hour": F.col("close") - F.col("open"), "day": F.col("close") - F.lag("close", 24).over(in_time()), "range": F.col("high") - F.col("low")}
+    stacked = None
+    for name, gain in gains.items():
+        arm = bars.select(F.lit(name).alias("arm"), "symbol", "ts", gain.alias("gain"))
+        stacked = arm if stacked is None else stacked.unionByName(arm)
+    zipped = stacked.where("gain is not null").withColumn("i", F.row_number().over(Window.partitionBy("arm", "symbol").orderBy("ts")))
+    base = zipped.where("arm = 'hour'").select("symbol", "i", F.col("gain").alias("b"))
+    met = zipped.where("arm <> 'hour'").join(base, ["symbol", "i"])
+    return met.groupBy("arm", "symbol").agg(F.count("*").alias("n"), r6(F.avg(F.col("gain") - F.col("b")), "mean"), r6(F.sum(F.col("gain") - F.col("b")), "total"))
+
+
 @query("u07_gaps_of_both_timeframes", f"""{_FINE}, g AS (SELECT 'fine' AS timeframe, symbol, ts, high, low, lag(high, 2) OVER w AS h0, lag(low, 2) OVER w AS l0 FROM fine WINDOW w AS (PARTITION BY symbol ORDER BY ts) UNION ALL SELECT 'hour', symbol, ts, high, low, lag(high, 2) OVER w, lag(low, 2) OVER w FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
 SELECT timeframe, symbol, count(*) AS n, count(*) FILTER (WHERE low > h0) AS up FROM g WHERE low > h0 OR high < l0 GROUP BY ALL""")
 def _(spark, d):

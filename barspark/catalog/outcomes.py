@@ -163,6 +163,19 @@ def _(spark, d):
     return labelled(spark, d).where(F.col("result").isin("TARGET", "STOP")).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg((F.col("result") == "TARGET").cast("int")), "positive"))
 
 
+@query("u08_label_sets", f"""{_ORDERS}, st AS (SELECT DISTINCT lb.symbol, result || ':' || hour(x.et) AS label, x.ts < TIMESTAMP '2024-01-20 00:00:00' AS dev FROM lb JOIN x ON x.symbol = lb.symbol AND x.pos = lb.decision - 1)
+SELECT symbol, label, 'dev only' AS side FROM (SELECT symbol, label FROM st WHERE dev EXCEPT SELECT symbol, label FROM st WHERE NOT dev) UNION ALL SELECT symbol, label, 'holdout only' FROM (SELECT symbol, label FROM st WHERE NOT dev EXCEPT SELECT symbol, label FROM st WHERE dev)
+UNION ALL SELECT symbol, label, 'both' FROM (SELECT symbol, label FROM st WHERE dev INTERSECT SELECT symbol, label FROM st WHERE NOT dev)""")
+def _(spark, d):
+    """Labels by hour of the day that only the development split has, only the holdout, or both."""
+    from barspark.functions.session import eastern
+
+    bars = placed(spark, d).select("symbol", (F.col("pos") + 1).alias("decision"), F.hour(eastern(F.col("ts"))).alias("hour"), (F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).alias("dev"))
+    rows = labelled(spark, d).join(bars, ["symbol", "decision"]).groupBy("symbol", F.concat_ws(":", "result", "hour").alias("label"))
+    side = F.when(~F.bool_or("dev"), "holdout only").when(F.bool_and("dev"), "dev only").otherwise("both")
+    return rows.agg(side.alias("side"))
+
+
 #: Columns that tell how an order ended, which no feature may be.
 OUTCOME_COLUMNS = {"result", "realized", "final", "fill", "mfe", "mae", "mark", "r1", "r2", "r3", "before_stop", "stop_pos", "target_pos"}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.bars import resample
@@ -125,6 +125,47 @@ def read_log(spark: SparkSession, path: str, record_type: str, schema: str) -> D
     return spark.read.schema(f"record_type string, {schema}").json(path).where(F.col("record_type") == record_type).drop("record_type")
 
 
+#: The calls, error tags and reasons to pass that an annotation may hold.
+DECISIONS = ["LONG", "SHORT", "NO_TRADE", "ACCEPT", "REJECT"]
+ERROR_TAGS = ["wrong_manipulation", "wrong_sweep", "wrong_mss", "wrong_fvg", "wrong_dealing_range_context", "bad_location", "insufficient_confirmation", "other"]
+PASS_REASONS = ["premium_discount", "too_far_from_ce", "rr_misleading", "insufficient_confirmation", "fvg_location", "other"]
+
+ANNOTATION = "candidate_id string, candidate_time string, annotator string, decisions array<string>, error_tags array<string>, note string, confidence double, would_execute boolean, location_quality int, reason_for_pass array<string>, created_at timestamp"
+
+
+def annotation_fault() -> Column:
+    """The first rule that an annotation breaks; null if none.  Missing tags, reasons and notes count as empty ones."""
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    strange = lambda c, known: F.exists(listed(c), lambda x: ~F.coalesce(x.isin(known), F.lit(False)))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    other = lambda c: F.coalesce(F.array_contains(listed(c), "other"), F.lit(False)) & blank("note")
+    return (
+        F.when((F.size(listed("decisions")) == 0) | strange("decisions", DECISIONS), "decisions")
+        .when(strange("error_tags", ERROR_TAGS), "error_tags")
+        .when(strange("reason_for_pass", PASS_REASONS), "reason_for_pass")
+        .when(other("error_tags") | other("reason_for_pass"), "note")
+        .when(~F.col("confidence").between(0.0, 1.0) | F.isnan("confidence"), "confidence")
+        .when(~F.col("location_quality").between(1, 5), "location_quality")
+        .when(blank("annotator"), "annotator")
+    )
+
+
+def append_annotations(rows: DataFrame, path: str) -> None:
+    """Append annotations to a log, all or, if one breaks a rule, none."""
+    faults = rows.groupBy(annotation_fault().alias("fault")).count().where("fault is not null").collect()  # a row for each rule at most
+    if faults:
+        raise ValueError(f"annotations break rules: {sorted((r['fault'], r['count']) for r in faults)}")
+    append_log(rows, "human_fidelity", path)
+
+
+def latest_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """The newest annotation of each candidate; no rows where there is no log."""
+    rows = read_log(spark, path, "human_fidelity", ANNOTATION) if _exists(spark, path) else spark.createDataFrame([], ANNOTATION)
+    names = [c for c in rows.columns if c != "candidate_id"]
+    newest = F.max_by(F.struct(*names), F.struct(F.col("created_at"), F.to_json(F.struct(*names))))
+    return rows.groupBy("candidate_id").agg(newest.alias("a_")).select("candidate_id", "a_.*")
+
+
 def import_annotations(rows: DataFrame, path: str, keys: tuple[str, ...] = ("round", "scene_id")) -> int:
     """Add annotations that the table does not have yet, by key; the number added."""
     spark = rows.sparkSession

@@ -73,3 +73,32 @@ def test_outcomes_are_no_features(bars):
     with pytest.raises(ValueError):
         check_features(bars.withColumn("realized", F.lit(1.0)), ["open", "realized"])
     assert check_features(bars, ["open"]).columns == ["open"]
+
+
+def test_parquet_provider(spark, bars, tmp_path):
+    tables.write_bars(bars, f"{tmp_path}/bars")
+    get = stores.provider(spark, "parquet", f"{tmp_path}/bars")
+    got = get("m", "2026-01-01 09:30:00", "2026-01-01 10:00:00", 15).orderBy("ts").collect()
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(100.0, 102.5, 99.5, 102.2, 3000.0), (103.0, 105.5, 102.5, 105.2, 3000.0)]
+    one = get("m", "2026-01-01 09:30:00", "2026-01-01 09:31:00", 5)
+    assert one.count() == 1 and get("nobody", "2026-01-01 09:30:00", "2026-01-01 10:00:00", 5).count() == 0
+
+
+def test_annotations_are_checked_and_the_newest_counts(spark, tmp_path):
+    path = f"{tmp_path}/marks"
+    note = dict(candidate_id="a", candidate_time=None, annotator="x", decisions=["REJECT", "NO_TRADE"], error_tags=None, note=None, confidence=0.5, would_execute=None, location_quality=None, reason_for_pass=[], created_at=datetime(2026, 1, 1))
+    frame = lambda *changes: spark.createDataFrame([note | c for c in changes], stores.ANNOTATION)
+    bad = {
+        "decisions": [{"decisions": []}, {"decisions": None}, {"decisions": ["MAYBE"]}, {"decisions": ["LONG", None]}], "error_tags": [{"error_tags": ["bad"]}], "reason_for_pass": [{"reason_for_pass": ["bad"]}],
+        "note": [{"error_tags": ["other"]}, {"reason_for_pass": ["other"], "note": " "}], "confidence": [{"confidence": 1.1}, {"confidence": float("nan")}], "location_quality": [{"location_quality": 0}, {"location_quality": 6}], "annotator": [{"annotator": " "}, {"annotator": None}],
+    }
+    for fault, changes in bad.items():
+        assert [r.f for r in frame(*changes).select(stores.annotation_fault().alias("f")).collect()] == [fault] * len(changes)
+    assert stores.latest_annotations(spark, path).count() == 0
+    with pytest.raises(ValueError, match="decisions"):
+        stores.append_annotations(frame({}, {"decisions": []}), path)
+    assert stores.latest_annotations(spark, path).count() == 0
+    stores.append_annotations(frame({}, {"candidate_id": "b", "error_tags": ["other"], "note": "why"}), path)
+    stores.append_annotations(frame({"decisions": ["LONG"], "created_at": datetime(2026, 1, 2), "confidence": None}), path)
+    got = {r.candidate_id: r for r in stores.latest_annotations(spark, path).collect()}
+    assert (got["a"].decisions, got["a"].confidence, got["b"].note, len(got)) == (["LONG"], None, "why", 2)
