@@ -159,7 +159,7 @@ def _(spark, d):
 
 
 def frozen(spark, d, causal: bool):
-    """Fit on the first seven tenths of each symbol's time, store, read back and score what comes after."""
+    """Fit on the first seven tenths of each symbol's time, store, read back and score what comes after; zeros for symbols too short for a bundle."""
     features = B.CAUSAL if causal else X.MARKET_STATE
     rows = B.labelled(X.market_state(swings(spark, d), causal=causal), 5).select("symbol", "ts", "known_at", "atr", *features, "ahead", "label")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -172,7 +172,9 @@ def frozen(spark, d, causal: bool):
     ahead = B.score(rows.where("ts > until"), bundle, features)
     own = -F.ln(F.greatest(F.element_at("proba", F.col("label") + 1), F.lit(1e-15)))
     judged = ahead.groupBy("symbol").agg(F.count("ev").alias("n_scored"), r6(F.avg(own), "loss"), r6(F.avg("ev"), "mean_ev"), F.count_if(F.abs("ev") > F.col("cost_hurdle")).alias("n_beyond_cost"))
-    return judged.join(bundle.select("symbol", "n_train", F.size("features").alias("n_features")), "symbol")
+    fitted = bundle.select("symbol", "n_train", F.size("features").alias("n_features"))
+    out = ends.select("symbol").join(fitted, "symbol", "left").join(judged, "symbol", "left")
+    return out.fillna(0, ["n_train", "n_features", "n_scored", "n_beyond_cost"])
 
 
 @query("ml15_frozen_bundle")
