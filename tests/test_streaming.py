@@ -57,3 +57,17 @@ def test_store_and_trail(spark, run):
     state = {r.symbol: (r.bars, r.last_ms) for r in I.ingest_status(spark, run).collect()}
     assert state == {"m": (7, START + (7 * 60 + 10) * MINUTE), "n": (1, START + 6 * MINUTE)}
     assert [r.arrival for r in I.events(spark, run, "accepted", 2).collect()] == [25, 24]
+
+
+def test_signals_see_the_buffer_before_many_fresh_bars(spark, tmp_path):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    config = I.IngestConfig(f"file://{tmp_path}", ("m",), token="t", timeframes=("5m",), signal_timeframe="5m", buffer=3)
+    seen = F.count("*").over(Window.partitionBy("symbol").orderBy("ts")).cast("int")
+    step = I.ingest_batch(config, lambda bars: bars.select("symbol", "ts", seen.alias("direction"), "fresh"))
+    for batch, minutes in enumerate([range(0, 25, 5), range(25, 50, 5)]):
+        step(spark.createDataFrame([(line(m, m),) for m in minutes], "value string"), batch)
+    rows = I.Store(spark, config.root).read("signals", "symbol string, ts timestamp_ntz, direction int").orderBy("ts").collect()
+    # four closed bars, then five more behind the three of the buffer
+    assert [r.direction for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, 8]
