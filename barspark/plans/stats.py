@@ -109,10 +109,28 @@ def spearman(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
     return rows.withColumn("ra", rank(a)).withColumn("rb", rank(b)).groupBy(by).agg(F.corr("ra", "rb").alias("rho"))
 
 
+def interpolated(low: pd.Series, high: pd.Series, share: pd.Series) -> pd.Series:
+    """low * (1 - share) + high * share with one rounding less, as the SQL's engine has it; equal values may give their neighbour."""
+    return pd.Series([a if s == 0 else math.fma(a, 1.0 - s, b * s) for a, b, s in zip(low, high, share)], dtype=float)
+
+
+def quantile_edges(rows: DataFrame, value: str, n: int, by: str) -> DataFrame:
+    """The n - 1 interpolated quantile edges of each key (``edges_``), by running counts of equal values."""
+    line = Window.partitionBy(by).orderBy(value)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n_"))
+    upto = counts.withColumn("to_", F.sum("n_").over(line)).withColumn("all_", F.sum("n_").over(Window.partitionBy(by)))
+    place = lambda i: (F.col("all_") - 1) * F.lit(i / n)
+    # a value holds the places to_ - n_ to to_ - 1, so it is the lower or upper neighbour of some edges' places
+    holds = lambda at: (at >= F.col("to_") - F.col("n_")) & (at < F.col("to_"))
+    near = F.filter(F.array(*(F.when(holds(F.floor(place(i))) | holds(F.ceil(place(i))), F.struct(F.lit(i).alias("i"), place(i).alias("at"))) for i in range(1, n))), lambda x: x.isNotNull())
+    met = upto.select(by, value, F.explode(near).alias("e")).groupBy(by, "e").agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    edge = F.pandas_udf(interpolated, "double")(F.col("low_").cast("double"), F.col("high_").cast("double"), F.col("e.at") - F.floor("e.at"))
+    return met.select(by, edge.alias("edge_")).groupBy(by).agg(F.sort_array(F.collect_list("edge_")).alias("edges_"))  # n - 1 a key
+
+
 def quantile_cells(rows: DataFrame, value: str, n: int, by: str) -> DataFrame:
     """Cell (0..n-1) of each value between interpolated quantile edges, closed on the right."""
-    edges = rows.groupBy(by).agg(F.percentile(value, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("edges_"))
-    joined = rows.join(edges, by)
+    joined = rows.join(quantile_edges(rows, value, n, by), by)
     return joined.withColumn("cell", F.size(F.filter("edges_", lambda e: e < F.col(value)))).drop("edges_")
 
 
