@@ -86,10 +86,10 @@ def gap_states(gaps: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def ranked_shifts(found: DataFrame, bars: DataFrame) -> DataFrame:
-    """Structure shifts ranked by state, a dominant broken swing, acceptance and recency; earlier sweeps first on ties."""
+    """Structure shifts ranked by state, a dominant broken swing, acceptance and recency; on ties earlier sweeps first, moves down before moves up."""
     legs = D.skeleton(D.pivots(bars)).select("symbol", F.col("kind").alias("way"), F.col("pos").alias("broken_pos"), F.col("dominant").cast("int").alias("f_dominant"))
     state = F.when(F.col("state") == "confirmed", 2).when(F.col("state") == "candidate", 1).otherwise(0)
-    keyed = found.join(legs, ["symbol", "way", "broken_pos"]).withColumn("f_state", state).withColumn("place_", F.struct("sweep_pos", "level_pos"))
+    keyed = found.join(legs, ["symbol", "way", "broken_pos"]).withColumn("f_state", state).withColumn("place_", F.struct("sweep_pos", "level_pos", "way"))
     return D.ranked(keyed, ["symbol"], ["f_state", "f_dominant", "acceptance", "broken_pos"], "place_").drop("place_")
 
 
