@@ -71,3 +71,17 @@ def test_signals_see_the_buffer_before_many_fresh_bars(spark, tmp_path):
     rows = I.Store(spark, config.root).read("signals", "symbol string, ts timestamp_ntz, direction int").orderBy("ts").collect()
     # four closed bars, then five more behind the three of the buffer
     assert [r.direction for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, 8]
+
+
+def test_copies_stay_out_of_the_line_of_a_symbol(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "m", 120, 1.0), (2, "m", 120, 1.0), (3, "m", 60, 1.0), (4, "m", 120, 2.0)], "arrival long, symbol string, bar_time_ms long, open double")
+    rows = rows.select("*", *(rows.open.alias(c) for c in I.FIELDS[1:]))
+    done = {r.arrival: (r.status, r.before_ms) for r in I.judged(rows, spark.createDataFrame([], I.BARS), spark.createDataFrame([("m", 30)], I.LAST)).collect()}
+    assert done == {1: ("accepted", 30), 2: ("duplicate", None), 3: ("out_of_order", 120), 4: ("conflict", None)}
+
+
+def test_stored_files_do_not_follow_the_days(spark, tmp_path):
+    config = I.IngestConfig(f"file://{tmp_path}", ("m",), token="t", timeframes=("5m",))
+    I.ingest_batch(config)(spark.createDataFrame([(line(d, d * 1440),) for d in range(40)], "value string"), 0)
+    assert len(list(tmp_path.glob("bars/batch=0/**/*.parquet"))) <= 4
+    assert I.Store(spark, config.root).read("bars", I.BARS).where("day = DATE'2026-06-03'").count() == 1
