@@ -189,6 +189,12 @@ QUOTES = "symbol string, qts timestamp, price double, contract string"
 DONE = "symbol string, done timestamp, close double, contract string"
 
 
+def interval_seconds(text: str) -> float:
+    """Length of an interval such as ``6 hours``."""
+    amount, unit = text.split()
+    return pd.Timedelta(float(amount), unit.rstrip("s")).total_seconds()
+
+
 def run_guard(spark: SparkSession, quotes: str, bars: str, root: str, within: str = "6 hours", late: str = "10 minutes", files_per_batch: int = 1) -> DataFrame:
     """Join two file streams, finished bars with the quotes of the ``within`` before them, and judge each bar by its newest quote.
 
@@ -200,7 +206,12 @@ def run_guard(spark: SparkSession, quotes: str, bars: str, root: str, within: st
     read = lambda path, schema, at: spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path).withWatermark(at, late)
     q = read(quotes, QUOTES, "qts").select(F.col("symbol").alias("quote_symbol"), "qts", "price", F.col("contract").alias("quote_contract"))
     b = read(bars, DONE, "done").select("symbol", "done", F.col("contract").alias("bar_contract"))
-    met = b.join(q, F.expr(f"quote_symbol = symbol AND qts <= done AND qts > done - INTERVAL {within}"), "left_outer")
+    # both sides meet in cells of time as long as the bound: a bar looks into its own and the one before, not at all of its symbol
+    width = F.lit(interval_seconds(within))
+    q = q.withColumn("quote_cell", F.floor(F.unix_seconds("qts") / width))
+    own = F.floor(F.unix_seconds("done") / width)
+    b = b.withColumn("cell", F.explode(F.array(own, own - 1)))
+    met = b.join(q, F.expr(f"quote_symbol = symbol AND quote_cell = cell AND qts <= done AND qts > done - INTERVAL {within}"), "left_outer")
     with rocksdb(spark):
         writer = met.select("symbol", "done", "bar_contract", "qts", "price", "quote_contract").writeStream.format("parquet").option("path", f"{root}/pairs").option("checkpointLocation", f"{root}/checkpoint")
         writer.trigger(availableNow=True).start().awaitTermination()

@@ -86,3 +86,14 @@ def test_late_quotes_within_and_beyond_the_watermark(spark, tmp_path):
     assert got[("m", 300)] == ("B", "B", True)
     assert got[("m", 400)] == ("A", "B", False)
     assert got[("m", 901)] == ("B", "B", True)
+
+
+def test_guard_meets_quotes_in_cells_of_time(spark, tmp_path):
+    """Quotes of the cell before a bar's count, those just at the bound do not."""
+    noon = datetime(2026, 6, 2, 12)
+    at = lambda minutes: noon + timedelta(minutes=minutes)
+    spark.createDataFrame([("m", at(-1), 1.0, "A"), ("m", at(240), 1.0, "B"), ("m", at(900), 1.0, "B")], E.QUOTES).coalesce(1).write.parquet(f"file://{tmp_path}/q/part=0")
+    spark.createDataFrame([("m", at(1), 1.0, "A"), ("m", at(359), 1.0, "B"), ("m", at(601), 1.0, "B"), ("m", at(900), 1.0, "B")], E.DONE).coalesce(1).write.parquet(f"file://{tmp_path}/b/part=0")
+    found = E.run_guard(spark, f"file://{tmp_path}/q", f"file://{tmp_path}/b", f"file://{tmp_path}/out", within="6 hours", late="10 minutes")
+    got = {(r.done - noon).total_seconds() / 60: (r.quote_contract, r.valid) for r in found.collect()}
+    assert got == {1: ("A", True), 359: ("B", True), 601: (None, False), 900: ("B", True)}
